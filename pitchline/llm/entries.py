@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import EXACT_SQL, exact_duplicates
 from .minmax_dedup import near_duplicates
+from .mixing import mix_report
 from .quality_rules import QUALITY_SQL, quality_report
 
 
@@ -23,12 +24,16 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op8_minmax_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_mixing, op8_minmax_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
