@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import EXACT_SQL, exact_duplicates
 from .minmax_dedup import near_duplicates
 from .mixing import mix_report
+from .packing import packed
 from .quality_rules import QUALITY_SQL, quality_report
 
 
@@ -32,8 +33,12 @@ def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_mixing, op8_minmax_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_mixing, op8_minmax_near_dedup, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
