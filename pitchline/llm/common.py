@@ -153,10 +153,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a chunk of texts: byte range [lo, hi) of each, first[r]:first[r+1] the words of row r, 64-bit hashes."""
 
-    def __init__(self, texts: pa.Array, fold: bool = True, hashes: bool = True):
+    def __init__(self, texts: pa.Array, fold: bool = True, hashes: bool = True, spaces: np.ndarray = _SPACES):
         self.buf, off = raw_bytes(texts)
         buf, n = self.buf, len(self.buf)
-        word = ~_SPACES[buf]
+        word = ~spaces[buf]
         edge = np.zeros(n + 1, bool)
         edge[off] = True
         before = np.empty(n, bool)
