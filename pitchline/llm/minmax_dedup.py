@@ -7,10 +7,13 @@ Values are banded; documents that share a band are candidates and every link is
 Plan
 1. One pass over the texts writes a slim table: id, set size, 128-bit set key, band keys.
 2. Documents with equal sets fold into the smallest id (partially aggregated, so thousands of copies are cheap).
-3. In each band bucket all members are compared with the bucket's leader only; the confirmed links give
-   components. Buckets that still hold several components then compare members of different components of
-   fitting sizes, so every link that the bands propose is either confirmed or known to lie within a component.
-4. Components of the confirmed links, joined back by set key.
+3. In each band bucket all members are compared with the bucket's leader only, its most connected member; the
+   confirmed links give components.
+4. Documents of buckets that still hold several components are joined exactly across components by prefix and
+   position filters: shingles are ordered from rare to common, a link's first common shingle must come early in
+   both sets, and a document with many shingles of its own can't link at all. So every link that the bands
+   propose is confirmed, refuted by its bound, or lies within a component, without listing a group's pairs.
+5. Components of the confirmed links, joined back by set key.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +31,8 @@ from .common import Words, as_strings, base_view, components, cut, mix, shingles
 #: 20 bands of two permutations (four values): a pair at similarity 0.85 shares no band with probability 4e-7.
 BANDS = 20
 PERMS_PER_BAND = 2
+#: Bits of the map of documents whose sets are needed: 8 MB.
+BITMAP_BITS = 1 << 26
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +54,11 @@ def min_max_signature(flat: np.ndarray, off: np.ndarray, perms: int) -> np.ndarr
     return out
 
 
+def _node(own: np.ndarray) -> np.uint64:
+    """64-bit key of a set of hashes; equal sets are one node of the link graph."""
+    return mix(mix(own).sum(keepdims=True) + mix(own.sum(keepdims=True)))[0]
+
+
 def _signatures(k: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,10 +66,10 @@ def _signatures(k: int, bands: int):
             for a, b in text_chunks(texts):
                 flat, off = shingles(Words(texts.slice(a, b - a)), k)
                 size = np.zeros(b - a, np.int64)
-                key = np.zeros((b - a, 2), np.uint64)
+                node = np.zeros(b - a, np.uint64)
                 for r in np.flatnonzero(np.diff(off)):
                     own = np.unique(flat[off[r] : off[r + 1]])
-                    size[r], key[r] = len(own), (own.sum(), mix(own).sum())
+                    size[r], node[r] = len(own), _node(own)
                 full = np.flatnonzero(size)
                 values = np.zeros((b - a, bands), np.uint64)
                 if len(full):
@@ -72,38 +83,65 @@ def _signatures(k: int, bands: int):
                     [
                         ids.slice(a, b - a),
                         pa.array(size),
-                        pa.array(key[:, 0].view(np.int64), mask=size == 0),
-                        pa.array(key[:, 1].view(np.int64), mask=size == 0),
+                        pa.array(node.view(np.int64), mask=size == 0),
                         pa.ListArray.from_arrays(np.arange(0, (b - a) * bands + 1, bands, dtype=np.int32), pa.array(values.view(np.int64).ravel())),
                     ],
-                    ["doc_id", "n_shingles", "key_a", "key_b", "bands"],
+                    ["doc_id", "n_shingles", "node", "bands"],
                 )
 
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, bitmap: Broadcast | None):
+    """(node, hashes) of texts whose bit is set in the bitmap, all without one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = as_strings(batch["text"]), batch["doc_id"]
+            if bitmap is not None:
+                bit = batch["bit"].to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array((bitmap.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            texts = as_strings(batch["text"])
             for a, b in text_chunks(texts):
                 flat, off = shingles(Words(texts.slice(a, b - a)), k)
-                rows = [np.unique(flat[off[r] : off[r + 1]]).tobytes() for r in range(b - a)]
-                yield pa.record_batch([ids.slice(a, b - a), pa.array(rows, pa.binary())], ["doc_id", "hashes"])
+                rows = [np.unique(flat[off[r] : off[r + 1]]) for r in np.flatnonzero(np.diff(off))]
+                if not rows:
+                    continue
+                ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+                yield pa.record_batch([pa.array(np.array([_node(x) for x in rows]).view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows).view(np.int64)))], ["node", "hashes"])
 
     return run
 
 
+def _hashed(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, hashes) of the wanted (node, doc_id).
+
+    Texts needn't be shuffled for it: a bitmap of hashed ids, of fixed size whatever the data, tells each task
+    which texts to shingle; what it lets through by chance goes in the join with the wanted nodes. Past the
+    number of ids that it can tell apart, texts are shuffled to the ids instead.
+    """
+    spark = docs.sparkSession
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
+    if wanted.count() <= BITMAP_BITS // 4:
+        packed = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits")).toPandas()
+        bitmap = np.zeros(BITMAP_BITS // 64, np.uint64)
+        bitmap[packed["word"].to_numpy(np.int64)] = packed["bits"].to_numpy(np.int64).view(np.uint64)
+        found = docs.where("doc_id is not null").select("text", bit.alias("bit")).mapInArrow(_sets(k, spark.sparkContext.broadcast(bitmap)), "node long, hashes array<long>")
+    else:
+        found = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(k, None), "node long, hashes array<long>")
+    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
 def _confirmed(percent: int):
     """Pairs whose sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch["hashes_a"], batch["hashes_b"]
+            x, y = left.values.to_numpy(), right.values.to_numpy()
+            xo, yo = left.offsets.to_numpy(), right.offsets.to_numpy()
             ok = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
+                both = np.concatenate([x[xo[i] : xo[i + 1]], y[yo[i] : yo[i + 1]]])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 ok[i] = 100 * common >= percent * (len(both) - common)
@@ -113,64 +151,72 @@ def _confirmed(percent: int):
     return run
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Confirm pairs (a, b) on the full shingle sets of both; only texts that occur in a pair are shingled again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, hashes binary").dropDuplicates(["doc_id"]), "sets")
-    rows = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hashes_b")), "b")
-    rows = rows.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("hashes_a")), "a")
+def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by the full shingle sets of both."""
+    rows = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b")
+    rows = rows.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a")
     return rows.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_confirmed(percent), "a long, b long")
 
 
+def _across(sets: DataFrame, rooted: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes (node, root) with different roots that may link: exact, by prefixes and positions."""
+    tokens = sets.join(rooted, "node", "left_semi").select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("token"))
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    listed = tokens.join(common, "token").groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))
+    alone = F.col("size") - F.size("shared")
+    prefix = F.floor(F.col("size") * F.lit(100 - percent) / F.lit(100)).cast("int") + 1
+    early = listed.withColumn("alone", alone).select("node", "size", "alone", F.posexplode(F.slice("shared", F.lit(1), F.greatest(prefix - F.col("alone"), F.lit(0)))).alias("at", "e")).join(rooted, "node")
+    early = cut(early.select("node", "root", "size", (F.col("alone") + F.col("at")).alias("at"), F.col("e.token").alias("token")), "prefixes")
+    x, y = early.alias("x"), early.alias("y")
+    rest = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    may = (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & (F.lit(100 + percent) * rest >= F.lit(percent) * (F.col("x.size") + F.col("y.size")))
+    return x.join(y, may).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
     """Classes of near-duplicate documents: doc_id, n_shingles, component_id, kept; one row per input row.
 
     Needs columns doc_id and text; others are ignored. Sets are distinct runs of k words after lower-casing
     A-Z; a text with fewer words is one run. Texts without words (or null) have size 0 and are linked with
-    nothing. Repeated rows and equal texts are linked; rows that share a doc_id are one document with the
-    links of each of its texts. A row whose doc_id is null links with nothing: its component_id is null and
-    it is kept. An empty table gives an empty result.
+    nothing. Links hold between texts: repeated rows and equal texts share a class, and rows that share a
+    doc_id each get the class of their own text. A row whose doc_id is null belongs to no class: its
+    component_id is null and it is kept. An empty table gives an empty result.
     """
     docs = base_view(docs)
-    slim = cut(docs.mapInArrow(_signatures(k, bands), "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>"), "signatures")
-    full = slim.where("n_shingles > 0 and doc_id is not null")
-    sets = full.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most"), F.max("n_shingles").alias("size"))
-    reps = full.join(sets.select("key_a", "key_b", F.col("rep").alias("doc_id")), ["key_a", "key_b", "doc_id"], "left_semi")
-    members = reps.select("doc_id", F.col("n_shingles").alias("size"), F.explode("bands").alias("band")).distinct()
-    buckets = members.groupBy("band").agg(F.min_by("doc_id", F.xxhash64("doc_id", "band")).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(members.join(buckets.select("band", "leader"), "band"), "buckets")
-    fits = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
-
-    to_leader = shared.where("doc_id != leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-    links = cut(_verify(docs, to_leader, k, percent), "links")
-    roots = components(links)
-
-    rooted = shared.join(roots.select(F.col("a").alias("doc_id"), F.col("b").alias("root")), "doc_id", "left").select("band", "leader", "doc_id", "size", F.coalesce("root", "doc_id").alias("root"))
+    slim = cut(docs.mapInArrow(_signatures(k, bands), "doc_id long, n_shingles long, node long, bands array<long>"), "signatures")
+    full = slim.where("node is not null and doc_id is not null")
+    sets = full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most"))
+    members = full.select("node", F.explode("bands").alias("band")).distinct()
+    buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(members.join(buckets, "band"), "buckets")
+    weights = cut(shared.groupBy("node").agg(F.sum("n").alias("weight")).join(sets, "node"), "weights")
+    leaders = shared.join(weights, "node").groupBy("band").agg(F.max_by("node", F.struct("weight", "rep")).alias("leader"))
+    hashed = cut(_hashed(docs, weights.select("node", F.col("rep").alias("doc_id")), k), "sets")
+
+    to_leader = shared.join(leaders, "band").where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    roots = components(_verify(hashed, to_leader, percent))
+
+    rooted = shared.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
-    open_ = cut(rooted.join(mixed, "band", "left_semi"), "open")
-    more = None
+    open_ = cut(rooted.join(mixed, "band", "left_semi").select("node", "root").distinct(), "open")
     if not open_.isEmpty():
-        x, y = open_.alias("x"), open_.alias("y")
-        led = (F.col("x.doc_id") == F.col("x.leader")) | (F.col("y.doc_id") == F.col("y.leader"))
-        across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & ~led & fits(F.col("x.size"), F.col("y.size")))
-        across = cut(across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), "across")
-        more = None if across.isEmpty() else cut(_verify(docs, across, k, percent), "more")
-
-    if full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        # Copies follow their representative's component, so no links are made for them.
-        roots = roots if more is None or more.isEmpty() else components(roots.union(more))
-        by_set = sets.join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").where("root is not null or most != rep").select("key_a", "key_b", F.coalesce("root", "rep").alias("root"))
-        out = slim.join(by_set, ["key_a", "key_b"], "left")
-    else:
-        # An id that repeats ties all its texts together: copies become links of their own.
-        copies = full.join(sets.where("most != rep"), ["key_a", "key_b"]).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-        roots = components(roots.union(copies) if more is None else roots.union(more).union(copies))
-        out = slim.join(roots.select(F.col("a").alias("doc_id"), F.col("b").alias("root")), "doc_id", "left")
-    component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        more = cut(_verify(hashed, _across(hashed, open_, percent), percent), "more")
+        if not more.isEmpty():
+            roots = components(roots.union(more))
+
+    of_root = roots.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select("b", "b").distinct())
+    smallest = of_root.join(sets, "node").groupBy("root").agg(F.min("rep").alias("component"))
+    classes = of_root.join(smallest, "root").select("node", "component")
+    classes = sets.join(classes, "node", "left").where("component is not null or most != rep").select("node", F.coalesce("component", "rep").alias("component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    out = slim.join(classes, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay when one document of each near-duplicate class is kept; columns as in docs."""
-    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    """The rows of docs that stay when one document of each near-duplicate class is kept; columns as in docs.
+
+    Where ids repeat, a row stays if any row with its id is kept.
+    """
+    gone = near_duplicates(docs, k, percent).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti").select(*docs.columns)
