@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .compact_windows import repeated_passages
 from .exact_dedup import EXACT_SQL, exact_duplicates
 from .licenses import license_report
 from .line_dedup import LINE_SQL, line_report
@@ -41,6 +42,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,7 +63,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_mixing, op4_line_dedup, op5_license_scan, op7_toxicity, op8_minmax_near_dedup, op9_best_fit_packing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_mixing, op4_line_dedup, op5_license_scan, op6_substring_dedup, op7_toxicity, op8_minmax_near_dedup, op9_best_fit_packing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
