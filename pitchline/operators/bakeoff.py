@@ -16,7 +16,7 @@ from .calibration import Calibrated, calibrate
 from .features import fixture_features
 from .folds import require_days, with_groups
 from .models import BoostedTrees, Fitted, Goals, ImpliedOdds, Logistic, OutcomeModel, load_model, save_model
-from .scoring import leaderboard, macro_scores, score_summary, select_best
+from .scoring import leaderboard, score_summary, select_best
 
 
 @dataclass(frozen=True)
@@ -52,19 +52,30 @@ def out_of_sample(candidate: Candidate, table: DataFrame, n_splits: int = SETTIN
     return out
 
 
-def fold_scores(candidate: Candidate, table: DataFrame, n_splits: int = SETTINGS.cv_splits) -> DataFrame:
-    """fold, log_loss, brier, accuracy, n_scored."""
-    return score_summary(out_of_sample(candidate, table, n_splits), "fold")
+def fold_scores(candidate: Candidate, table: DataFrame, n_splits: int = SETTINGS.cv_splits) -> list[dict]:
+    """Scores of each fold, one aggregation a fold: fold, log_loss, brier, accuracy, n_scored."""
+    split = with_groups(table, n_splits)
+    out = []
+    for fold in range(1, n_splits + 1):
+        fitted = fit_candidate(candidate, split.where(F.col("fold_group") <= fold).drop("fold_group"))
+        scores = score_summary(fitted.transform(split.where(F.col("fold_group") == fold + 1).drop("fold_group")))
+        out.append({"fold": fold} | scores.first().asDict())
+    return out
 
 
 def compare(table: DataFrame, candidates: tuple[Candidate, ...] = CANDIDATES, n_splits: int = SETTINGS.cv_splits) -> DataFrame:
-    """name, place, deployable, log_loss, brier, accuracy: plain means over folds, best first."""
+    """name, place, deployable, log_loss, brier, accuracy: plain means over folds, best first.
+
+    The table is passed over many times; it should be a written one.
+    """
     require_days(table, n_splits)
-    out = None
+    rows = []
     for place, c in enumerate(candidates):
-        own = macro_scores(out_of_sample(c, table, n_splits)).select(F.lit(c.name).alias("name"), F.lit(place).alias("place"), F.lit(c.deployable).alias("deployable"), "log_loss", "brier", "accuracy")
-        out = own if out is None else out.unionByName(own)
-    return leaderboard(out)
+        found = fold_scores(c, table, n_splits)
+        mean = {k: [f[k] for f in found if f[k] is not None] for k in ("log_loss", "brier", "accuracy")}
+        rows.append((c.name, place, c.deployable, *[sum(v) / len(v) if v else None for v in mean.values()]))
+    schema = "name string, place int, deployable boolean, log_loss double, brier double, accuracy double"
+    return leaderboard(table.sparkSession.createDataFrame(rows, schema))
 
 
 @dataclass(frozen=True)
@@ -77,13 +88,12 @@ class Winner:
 
 def run(table: DataFrame, candidates: tuple[Candidate, ...] = CANDIDATES, n_splits: int = SETTINGS.cv_splits, data_version: dict | None = None) -> Winner:
     """Compare, choose by log-loss among the deployable, refit on the whole table with the method chosen on held-out days."""
-    scores = compare(table, candidates, n_splits).persist()
+    scores = compare(table, candidates, n_splits)
     best = select_best(scores).first()["name"]
     found = next(c for c in candidates if c.name == best)
     model = fit_candidate(found, table, "auto")
     method = model.method if isinstance(model, Calibrated) else None
     by_name = {r["name"]: {k: r[k] for k in ("log_loss", "brier", "accuracy", "deployable")} for r in scores.collect()}
-    scores.unpersist()
     metadata = {"created_at": datetime.now(timezone.utc).isoformat(), "random_seed": SETTINGS.random_seed, "cv_splits": n_splits, "data_version": data_version, "selected_model": best, "calibration_method": method, "feature_columns": list(FEATURE_COLUMNS), "models": by_name, "library_versions": {p: version(p) for p in ("pyspark", "numpy", "pandas", "pyarrow")}}
     return Winner(best, model, method, metadata)
 

@@ -12,6 +12,7 @@ from ..operators import bakeoff as contest
 from ..operators import calibration, folds, goals, models
 from ..operators.features import feature_table, fixture_features
 from ..schema import FEATURE_COLUMNS, KEY
+from ..sources.shared import materialised
 from ..sources.warehouse import matches
 from .base import CUTOFF, KEYS, Book, number, rounded, sql
 from .features import ELO_CTES, FORM_CTES, H2H_CTES, SEASON_CTES, STRENGTH_CTES, fixtures_of
@@ -110,8 +111,8 @@ def dc_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature table, kept while models are fitted on it."""
-    return feature_table(matches(spark, sf_dir)).persist()
+    """The feature table, written once for the many passes of fitting."""
+    return materialised(feature_table(matches(spark, sf_dir)), "features")
 
 
 def _last_fold(table: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -154,14 +155,14 @@ def _contestants() -> tuple[contest.Candidate, ...]:
 @BOOK.add()
 def bakeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates under two forward-chaining folds."""
-    table = feature_table(matches(spark, sf_dir).where(usable())).persist()
+    table = materialised(feature_table(matches(spark, sf_dir).where(usable())), "features")
     return contest.compare(table, _contestants(), n_splits=2)
 
 
 @BOOK.add()
 def predict_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixtures as of a cutoff by a calibrated model of what was played before it."""
-    m = matches(spark, sf_dir)
-    table = feature_table(m.where(F.col("date") < F.lit(CUTOFF).cast("date"))).persist()
+    m = materialised(matches(spark, sf_dir), "matches")
+    table = materialised(feature_table(m.where(F.col("date") < F.lit(CUTOFF).cast("date"))), "features")
     model = contest.fit_candidate(contest.Candidate(models.Logistic(), calibrated=True), table)
     return model.transform(fixture_features(m, fixtures_of(m), CUTOFF)).select(*KEY, *_P)
