@@ -52,22 +52,30 @@ def _form_columns(out: DataFrame, side: str) -> DataFrame:
     return _record_columns(out.withColumns({f"{side}_{f}": total(f) for f in ("points", "gf", "ga")} | {f"{side}_n": F.size(recent)}), "form", side).drop(f"{side}_recent")
 
 
-def form_features(matches: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """Means of points and goals over each side's last few matches of strictly earlier days.
+def _form_state(rows: DataFrame, settings: Settings) -> DataFrame:
+    """league, team, date, recent: each team's last few matches before every day that it plays.
 
     A day keeps its last rows only, so a window over days holds all that can count: as many earlier days as
     matches are wanted.
     """
     most = settings.rolling_window_n
-    days = _latest(team_rows(matches), ["league", "team", "date"], most)
+    days = _latest(rows, ["league", "team", "date"], most)
     earlier = Window.partitionBy("league", "team").orderBy("date").rowsBetween(-most, -1)
     recent = F.flatten(F.collect_list("recent").over(earlier))
     tail = F.slice(recent, F.greatest(F.size(recent) - most, F.lit(0)) + 1, F.lit(most))
-    state = days.select("league", "team", "date", tail.alias("recent"))
-    out = matches
-    for side in ("home", "away"):
-        out = _form_columns(joined(out, state, {"league": "league", side: "team", "date": "date"}, f"{side}_"), side)
-    return out
+    return days.select("league", "team", "date", tail.alias("recent"))
+
+
+def _with_sides(matches: DataFrame, home: DataFrame, away: DataFrame) -> DataFrame:
+    """matches with the columns of either side's state (league, team, date, ...) as home_... and away_..."""
+    out = joined(matches, home, {"league": "league", "home": "team", "date": "date"}, "home_")
+    return joined(out, away, {"league": "league", "away": "team", "date": "date"}, "away_")
+
+
+def form_features(matches: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+    """Means of points and goals over each side's last few matches of strictly earlier days."""
+    state = _form_state(team_rows(matches), settings)
+    return _form_columns(_form_columns(_with_sides(matches, state, state), "home"), "away")
 
 
 def form_as_of(fixtures: DataFrame, history: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
@@ -125,13 +133,14 @@ def _at_venue(matches: DataFrame, side: str) -> DataFrame:
     return matches.select("league", "date", F.col(side).alias("team"), season_of(F.col("date")).alias("season"), points(F.col("result"), side).alias("points"), F.col(gf).alias("gf"), F.col(ga).alias("ga"))
 
 
+def _strength_state(matches: DataFrame, side: str) -> DataFrame:
+    return before_day(_at_venue(matches, side), ["league", "team", "season"], _record_sums()).drop("season")
+
+
 def strength_features(matches: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     """The home side's home record and the away side's away record in the season so far."""
-    out = matches
-    for side in ("home", "away"):
-        state = before_day(_at_venue(matches, side), ["league", "team", "season"], _record_sums()).drop("season")
-        out = _record_columns(joined(out, state, {"league": "league", side: "team", "date": "date"}, f"{side}_"), "strength", side)
-    return out
+    out = _with_sides(matches, _strength_state(matches, "home"), _strength_state(matches, "away"))
+    return _record_columns(_record_columns(out, "strength", "home"), "strength", "away")
 
 
 def strength_as_of(fixtures: DataFrame, history: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
@@ -146,26 +155,39 @@ def strength_as_of(fixtures: DataFrame, history: DataFrame, settings: Settings =
 
 
 def _season_columns(out: DataFrame, settings: Settings) -> DataFrame:
-    matchday = {side: F.coalesce(f"{side}_n", F.lit(0)) + 1 for side in ("home", "away")}
+    matchday = {side: F.coalesce(f"{side}_played", F.lit(0)) + 1 for side in ("home", "away")}
     rest = {side: F.datediff("date", f"{side}_last_date").cast("double") for side in ("home", "away")}
     fraction = F.least(F.lit(1.0), F.greatest(matchday["home"], matchday["away"]).cast("double") / F.lit(float(settings.season_matchdays)))
     columns = (matchday["home"].cast("double"), matchday["away"].cast("double"), fraction, rest["home"], rest["away"])
-    return out.withColumns(dict(zip(FAMILIES["season"], columns))).drop(*[f"{s}_{c}" for s in ("home", "away") for c in ("n", "last_date")])
+    return out.withColumns(dict(zip(FAMILIES["season"], columns))).drop(*[f"{s}_{c}" for s in ("home", "away") for c in ("played", "last_date")])
+
+
+def _season_state(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("season", season_of(F.col("date")))
+    return before_day(rows, ["league", "team", "season"], {"played": F.lit(1)}, last_day=True).drop("season")
 
 
 def season_features(matches: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     """Matchday of either side, season's progress, and days since either side's last match this season."""
-    rows = team_rows(matches).withColumn("season", season_of(F.col("date")))
-    state = before_day(rows, ["league", "team", "season"], {"n": F.lit(1)}, last_day=True).drop("season")
-    out = matches
+    state = _season_state(team_rows(matches))
+    return _season_columns(_with_sides(matches, state, state), settings)
+
+
+def side_features(matches: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+    """Form, strength and season at once: states are put together by team and day first, so matches are joined once a side."""
+    key, rows = ["league", "team", "date"], team_rows(matches)
+    both = _form_state(rows, settings).join(_season_state(rows), key)
+    out = _with_sides(matches, *[both.join(_strength_state(matches, side), key, "left") for side in ("home", "away")])
     for side in ("home", "away"):
-        out = joined(out, state, {"league": "league", side: "team", "date": "date"}, f"{side}_")
+        # The record's n is the strength's; form counts its own.
+        out = _record_columns(out, "strength", side)
+        out = _form_columns(out, side)
     return _season_columns(out, settings)
 
 
 def season_as_of(fixtures: DataFrame, history: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     rows = team_rows(history).withColumn("season", season_of(F.col("date")))
-    state = rows.groupBy("league", "team", "season").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("last_date"))
+    state = rows.groupBy("league", "team", "season").agg(F.count(F.lit(1)).alias("played"), F.max("date").alias("last_date"))
     out = fixtures.withColumn("__season_now", season_of(F.col("date")))
     for side in ("home", "away"):
         out = joined(out, state, {"league": "league", side: "team", "__season_now": "season"}, f"{side}_")
@@ -189,3 +211,5 @@ ALL_FAMILIES = (
     Family("strength", FAMILIES["strength"], strength_features, strength_as_of),
     Family("season", FAMILIES["season"], season_features, season_as_of),
 )
+#: Families that side_features makes together.
+BY_SIDE = ("form", "strength", "season")

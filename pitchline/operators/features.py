@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings
 from ..schema import GOALS, KEY, ODDS
-from .families import ALL_FAMILIES, Family
+from .families import ALL_FAMILIES, BY_SIDE, Family, side_features
 
 
 def feature_table(matches: DataFrame, families: tuple[Family, ...] = ALL_FAMILIES, settings: Settings = SETTINGS) -> DataFrame:
     """Matches with every family's columns, which know strictly earlier days only; 40 columns with all families."""
-    out = reduce(lambda df, family: family.features(df, settings), families, matches)
+    together = [family for family in ALL_FAMILIES if family.name in BY_SIDE]
+    fused = all(family in families for family in together)
+    out = side_features(matches, settings) if fused else matches
+    rest = [family for family in families if not (fused and family in together)]
+    out = reduce(lambda df, family: family.features(df, settings), rest, out)
     return out.select(*KEY, *[c for family in families for c in family.columns], *ODDS, *GOALS, "result")
 
 

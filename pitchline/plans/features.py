@@ -11,7 +11,7 @@ from ..operators.features import feature_table as build_table
 from ..operators.features import fixture_features as build_fixtures
 from ..operators.windows import before_day, joined, team_rows
 from ..schema import FAMILIES, FEATURE_COLUMNS, KEY
-from ..sources.warehouse import matches
+from ..sources.warehouse import matches, stored_matches
 from .base import CUTOFF, KEYS, Book, rounded, season_sql, sql
 
 BOOK = Book()
@@ -29,7 +29,7 @@ TEAMS_SQL = f"""t AS (SELECT league, date, home AS mh, away AS ma, home AS team,
 def _family_rows(f):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         name = f.__name__.removesuffix("_features")
-        return rounded(f(matches(spark, sf_dir)).select(*KEY, *FAMILIES[name]))
+        return rounded(f(stored_matches(spark, sf_dir)).select(*KEY, *FAMILIES[name]))
 
     return run
 
@@ -114,20 +114,20 @@ _ALL = (*ELO_CTES, *FORM_CTES, *H2H_CTES, *STRENGTH_CTES, *SEASON_CTES)
 
 @BOOK.add(sql(f"SELECT {KEYS}, {_rounded_columns(FEATURE_COLUMNS)}, odds_home, odds_draw, odds_away, ft_home_goals, ft_away_goals, result FROM m JOIN elo USING ({KEYS}) JOIN form USING ({KEYS}) JOIN h2h USING ({KEYS}) JOIN strength USING ({KEYS}) JOIN season USING ({KEYS})", *_ALL, recursive=True))
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(build_table(matches(spark, sf_dir)))
+    return rounded(build_table(stored_matches(spark, sf_dir)))
 
 
 @BOOK.add(sql("SELECT 'rows' AS measure, count(*) AS n FROM m UNION ALL SELECT measure, n FROM (SELECT " + ", ".join(f"count({c}) AS {c}" for c in FEATURE_COLUMNS) + f" FROM m JOIN elo USING ({KEYS}) JOIN form USING ({KEYS}) JOIN h2h USING ({KEYS}) JOIN strength USING ({KEYS}) JOIN season USING ({KEYS})) UNPIVOT (n FOR measure IN ({', '.join(FEATURE_COLUMNS)}))", *_ALL, recursive=True))
 def features_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the feature table and known values of each feature: what its note holds."""
-    counts = build_table(matches(spark, sf_dir)).agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in FEATURE_COLUMNS])
+    counts = build_table(stored_matches(spark, sf_dir)).agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in FEATURE_COLUMNS])
     return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("n")) for c in ("rows", *FEATURE_COLUMNS)])))
 
 
 @BOOK.add(sql(f"SELECT {_K}, (SELECT count(*) FROM m x WHERE x.league = m.league AND x.date < m.date) AS prior FROM m"))
 def prior_match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of the league on strictly earlier days."""
-    m = matches(spark, sf_dir)
+    m = stored_matches(spark, sf_dir)
     state = before_day(m, ["league"], {"n": F.lit(1)})
     return joined(m, state, {"league": "league", "date": "date"}, "before_").select(*KEY, F.coalesce("before_n", F.lit(0)).alias("prior"))
 
@@ -146,7 +146,7 @@ def elo_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add(sql(f"SELECT {_K}, season, home_rest, away_rest FROM (SELECT {_K}, {season_sql()} AS season, days_since_last_match_home::INT AS home_rest, days_since_last_match_away::INT AS away_rest FROM season)", TEAMS_SQL, *SEASON_CTES))
 def rest_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = families.season_features(matches(spark, sf_dir))
+    out = families.season_features(stored_matches(spark, sf_dir))
     return out.select(*KEY, season_of(F.col("date")).alias("season"), F.col("days_since_last_match_home").cast("int").alias("home_rest"), F.col("days_since_last_match_away").cast("int").alias("away_rest"))
 
 
@@ -198,5 +198,5 @@ _FX_FROM = "fx JOIN meet ON meet.league = fx.league AND meet.home = fx.home AND
 
 @BOOK.add(sql(f"SELECT fx.league, fx.date, fx.home, fx.away, {_FX} FROM {_FX_FROM}", *ELO_CTES[:2], TEAMS_SQL, *FIXTURE_CTES, recursive=True))
 def fixture_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = matches(spark, sf_dir)
+    m = stored_matches(spark, sf_dir)
     return rounded(build_fixtures(m, fixtures_of(m), CUTOFF))

@@ -13,7 +13,7 @@ from ..operators import calibration, folds, goals, models
 from ..operators.features import feature_table, fixture_features
 from ..schema import FEATURE_COLUMNS, KEY
 from ..sources.shared import materialised
-from ..sources.warehouse import matches
+from ..sources.warehouse import matches, stored_matches
 from .base import CUTOFF, KEYS, Book, number, rounded, sql
 from .features import ELO_CTES, FORM_CTES, H2H_CTES, SEASON_CTES, STRENGTH_CTES, fixtures_of
 
@@ -27,7 +27,7 @@ FEW_ROUNDS = 10
 
 @BOOK.add(sql("SELECT feature, round(median, 6) AS median FROM (SELECT " + ", ".join(f"coalesce(quantile_cont({c}, 0.5), 0)::DOUBLE AS {c}" for c in FEATURE_COLUMNS) + f" FROM {_TABLE}) UNPIVOT (median FOR feature IN ({', '.join(FEATURE_COLUMNS)}))", *_ALL, recursive=True))
 def feature_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = models.feature_medians(feature_table(matches(spark, sf_dir)))
+    row = models.feature_medians(feature_table(stored_matches(spark, sf_dir)))
     return rounded(row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("median")) for c in FEATURE_COLUMNS]))))
 
 
@@ -41,7 +41,7 @@ def feature_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def feature_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = models.feature_scaling(feature_table(matches(spark, sf_dir)))
+    out = models.feature_scaling(feature_table(stored_matches(spark, sf_dir)))
     return out.select("feature", F.round("median", 6).alias("median"), F.round("mean", 4).alias("mean"), F.round("deviation", 4).alias("deviation"))
 
 
@@ -112,7 +112,7 @@ def dc_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table, written once for the many passes of fitting."""
-    return materialised(feature_table(matches(spark, sf_dir)), "features")
+    return materialised(feature_table(stored_matches(spark, sf_dir)), "features")
 
 
 def _last_fold(table: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -155,14 +155,14 @@ def _contestants() -> tuple[contest.Candidate, ...]:
 @BOOK.add()
 def bakeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates under two forward-chaining folds."""
-    table = materialised(feature_table(matches(spark, sf_dir).where(usable())), "features")
+    table = materialised(feature_table(materialised(matches(spark, sf_dir).where(usable()), "matches")), "features")
     return contest.compare(table, _contestants(), n_splits=2)
 
 
 @BOOK.add()
 def predict_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixtures as of a cutoff by a calibrated model of what was played before it."""
-    m = materialised(matches(spark, sf_dir), "matches")
+    m = stored_matches(spark, sf_dir)
     table = materialised(feature_table(m.where(F.col("date") < F.lit(CUTOFF).cast("date"))), "features")
     model = contest.fit_candidate(contest.Candidate(models.Logistic(), calibrated=True), table)
     return model.transform(fixture_features(m, fixtures_of(m), CUTOFF)).select(*KEY, *_P)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.matches import keep_first
 from ..schema import MATCHES
+from .shared import materialised
 
 _ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
@@ -42,3 +43,8 @@ def matches(spark: SparkSession, folder: str) -> DataFrame:
     """The master table: the first row of each (league, date, home, away), with odds."""
     first = keep_first(raw_matches(spark, folder), list(_ORDER))
     return with_odds(first).withColumn("source", F.lit("football-data")).select(*MATCHES.fieldNames())
+
+
+def stored_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """The master table written once, for queries that read it several times."""
+    return materialised(matches(spark, folder), "matches")
