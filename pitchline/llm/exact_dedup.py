@@ -206,9 +206,10 @@ def keep_largest(docs: DataFrame) -> DataFrame:
         gone = found.where("not kept").select(F.col("doc_id").alias("__gone"))
         return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti").select(*docs.columns)
     # Ids that repeat can't name a row: of rows with one id and one text, any one stands for the kept row.
-    marked = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__sha", F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"), 256)).dropDuplicates(["__id", "__sha"])
-    stay = found.where("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__text"))
-    return marked.join(stay, marked["__id"].eqNullSafe(stay["__keep"]) & (marked["__sha"] == stay["__text"]), "left_semi").select(*docs.columns)
+    sha = F.sha2(ascii_lower(F.coalesce(docs["text"].cast("string"), F.lit(""))).cast("binary"), 256)
+    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), sha.alias("sha")).dropDuplicates(["id", "sha"])
+    stay = found.where("kept").select(F.col("doc_id").alias("keep"), "text_sha256")
+    return marked.join(stay, marked["id"].eqNullSafe(stay["keep"]) & (marked["sha"] == stay["text_sha256"]), "left_semi").select("row.*")
 
 
 EXACT_SQL = """
