@@ -162,7 +162,10 @@ def passages():
     return rows
 
 
-def test_repeated_passages(spark, passages):
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_repeated_passages(spark, passages, monkeypatch, hot):
+    """hot: from how many windows on a centre's buckets are split; the documents found are the same."""
+    monkeypatch.setattr(cw, "HOT", hot)
     got = cw.repeated_passages(frame(spark, passages)).collect()
     text = {d: words(lower(t)) for d, t, _ in passages}
     for r in got:
