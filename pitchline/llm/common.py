@@ -13,6 +13,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,11 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df kept on the executors' disks: for slim results of one pass over texts, of which a lost part is made again from its own texts."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the files of cuts that nothing reads any more."""
     for df in frames:
