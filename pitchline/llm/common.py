@@ -38,11 +38,28 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Session settings for the jobs run inside; afterwards they are as before."""
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: recovery restarts from these files."""
+    """Write df as Parquet into the shared folder and read it back: recovery restarts from these files.
+
+    Files get the advisory size, so a small table is a few files and not one for each core.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
@@ -63,18 +80,9 @@ def release(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20):
     """Arrow batches of at most so many rows and about so many bytes for the jobs run inside, so long texts take little memory at a time."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
-    before = {key: spark.conf.get(key) for key in wanted}
-    for key, value in wanted.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
+    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)})
 
 
 def ascii_lower(text: Column) -> Column:

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_strings, base_view, components, cut, mix, shingles, text_chunks
+from .common import Words, as_strings, base_view, components, cut, kept, mix, shingles, text_chunks
 
 #: 20 bands of two permutations (four values): a pair at similarity 0.85 shares no band with probability 4e-7.
 BANDS = 20
@@ -183,14 +183,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     component_id is null and it is kept. An empty table gives an empty result.
     """
     docs = base_view(docs)
-    slim = cut(docs.mapInArrow(_signatures(k, bands), "doc_id long, n_shingles long, node long, bands array<long>"), "signatures")
+    slim = kept(docs.mapInArrow(_signatures(k, bands), "doc_id long, n_shingles long, node long, bands array<long>"))
     full = slim.where("node is not null and doc_id is not null")
     sets = full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most"))
     members = full.select("node", F.explode("bands").alias("band")).distinct()
     buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(members.join(buckets, "band"), "buckets")
     weights = cut(shared.groupBy("node").agg(F.sum("n").alias("weight")).join(sets, "node"), "weights")
-    leaders = shared.join(weights, "node").groupBy("band").agg(F.max_by("node", F.struct("weight", "rep")).alias("leader"))
+    # Small tables that rows of hot buckets and nodes are joined with are written: such joins stay splittable.
+    leaders = cut(shared.join(weights, "node").groupBy("band").agg(F.max_by("node", F.struct("weight", "rep")).alias("leader")), "leaders")
     hashed = cut(_hashed(docs, weights.select("node", F.col("rep").alias("doc_id")), k), "sets")
 
     to_leader = shared.join(leaders, "band").where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
@@ -198,6 +199,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     rooted = shared.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
+    mixed = cut(mixed, "mixed")
     open_ = cut(rooted.join(mixed, "band", "left_semi").select("node", "root").distinct(), "open")
     if not open_.isEmpty():
         more = cut(_verify(hashed, _across(hashed, open_, percent), percent), "more")
@@ -208,6 +210,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     smallest = of_root.join(sets, "node").groupBy("root").agg(F.min("rep").alias("component"))
     classes = of_root.join(smallest, "root").select("node", "component")
     classes = sets.join(classes, "node", "left").where("component is not null or most != rep").select("node", F.coalesce("component", "rep").alias("component"))
+    classes = cut(classes, "classes")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = slim.join(classes, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
