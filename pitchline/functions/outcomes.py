@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..schema import CLASSES
 
-#: A lead below this counts as too close to call.
+#: The lead below which a match is too close to call, and the wording of summaries.
 CLOSE_LEAD = 0.10
 _PHRASES = ("a home win", "a draw", "an away win")
+_CLOSE = ("Too close to call — no clear favourite (top outcome only ", "%).")
+_CLEAR = ("Model favours ", " at ", "%.")
 
 
 def encode(result: Column) -> Column:
@@ -45,5 +47,5 @@ def verbal_summary(home: Column, draw: Column, away: Column) -> Column:
     top = F.get(ranked, F.lit(0))
     percent = F.bround(top * F.lit(100.0)).cast("int").cast("string")
     phrase = F.get(F.array(*[F.lit(p) for p in _PHRASES]), argmax(home, draw, away))
-    close = F.concat(F.lit("Too close to call — no clear favourite (top outcome only "), percent, F.lit("%)."))
-    return F.when(top - F.get(ranked, F.lit(1)) < CLOSE_LEAD, close).otherwise(F.concat(F.lit("Model favours "), phrase, F.lit(" at "), percent, F.lit("%.")))
+    close = F.concat(F.lit(_CLOSE[0]), percent, F.lit(_CLOSE[1]))
+    return F.when(top - F.get(ranked, F.lit(1)) < CLOSE_LEAD, close).otherwise(F.concat(F.lit(_CLEAR[0]), phrase, F.lit(_CLEAR[1]), percent, F.lit(_CLEAR[2])))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.seasons import season_of
 from ..schema import KEY
 
-#: Dates that a match can have.
+#: The days and the sources that a match can have.
 FIRST_DAY, LAST_DAY = "1990-01-01", "2100-01-01"
 SOURCES = ("football-data", "openfootball")
 

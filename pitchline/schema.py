@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-#: Outcomes in their fixed order; a label is a place in it.
+#: Outcomes in their order (a label is a place in it) and column names of the master table.
 CLASSES = ("H", "D", "A")
 KEY = ("league", "date", "home", "away")
 ODDS = ("odds_home", "odds_draw", "odds_away")
@@ -25,7 +25,7 @@ MATCHES = T.StructType(
 )
 
 _RECORD = ("ppg", "gf", "ga", "n")
-#: Families of features and their columns, in table order.
+#: Families of features and their columns, in table order.
 FAMILIES = {
     "elo": ("elo_home", "elo_away", "elo_diff"),
     "form": tuple(f"form_{side}_{c}" for side in ("home", "away") for c in _RECORD),
