@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_strings, base_view, components, cut, kept, mix, shingles, text_chunks
+from .common import Words, as_strings, base_view, components, cut, kept, mix, shingles, small_batches, text_chunks
 
 #: 20 bands of two permutations (four values): a pair at similarity 0.85 shares no band with probability 4e-7.
 BANDS = 20
@@ -182,7 +182,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     doc_id each get the class of their own text. A row whose doc_id is null belongs to no class: its
     component_id is null and it is kept. An empty table gives an empty result.
     """
-    docs = base_view(docs)
+    with small_batches(docs.sparkSession):
+        return _classes(base_view(docs), k, percent, bands)
+
+
+def _classes(docs: DataFrame, k: int, percent: int, bands: int) -> DataFrame:
     slim = kept(docs.mapInArrow(_signatures(k, bands), "doc_id long, n_shingles long, node long, bands array<long>"))
     full = slim.where("node is not null and doc_id is not null")
     sets = full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_strings, base_view, cut, raw_bytes
+from .common import as_strings, base_view, cut, raw_bytes, small_batches
 
 LENGTH = 1024
 END_ID = 2
@@ -218,7 +218,8 @@ def packed(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int =
     sequence is filled without gaps from 0. An empty table gives an empty result.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = cut(base_view(docs).mapInArrow(_pieces(vocabulary, end_id, most), schema).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = cut(base_view(docs).mapInArrow(_pieces(vocabulary, end_id, most), schema).withColumn("row", F.monotonically_increasing_id()), "pieces")
     part = pieces.where(F.col("length") < most)
     shards = part.count() // shard_pieces + 1
     full = pieces.where(F.col("length") == most).select("doc_id", "piece", "start", "length", "ids_crc32", (-F.col("row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
