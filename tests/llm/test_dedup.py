@@ -206,3 +206,33 @@ def test_passages_at_the_threshold_are_hardly_missed():
         least = [[(h * cw._MUL[f] + cw._ADD[f]) ^ ((h * cw._MUL[f] + cw._ADD[f]) >> np.uint64(32)) for h in (both, one, other)] for f in range(cw.HASHES)]
         missed += sum(b.min() < min(x.min(), y.min()) for b, x, y in least) < cw.AGREE
     assert missed <= 0.008 * 1500
+
+
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_a_first_node_without_the_passage_hides_none(spark, monkeypatch, hot):
+    """A and B share a passage about a phrase that many others hold; the others' nodes come before theirs and after."""
+    monkeypatch.setattr(cw, "HOT", hot)
+    rows, want = [], set()
+    for case, (size, more) in enumerate([(20, 40), (35, 25), *[(49, 2)] * 24]):
+        phrase, base = prose(3000 + case, size), 1000 * (case + 1)
+        before, after = words(prose(3100 + case, 60)), words(prose(3200 + case, 60))
+        rows += [(base + i, f"{prose(10**6 + base + i, 70)} {phrase} {prose(2 * 10**6 + base + i, 70)}", "s") for i in range(10)]
+        for i in range(2):
+            passage = " ".join([*before[-(more // 2) :], phrase, *after[: more // 2]])
+            rows.append((base + 100 + i, f"{prose(3 * 10**6 + base + i, 60)} {passage} {prose(4 * 10**6 + base + i, 60)}", "s"))
+        want.add((base + 100, base + 101))
+    got = cw.repeated_passages(frame(spark, rows)).collect()
+    assert {tuple(sorted((r["doc_id"], r["match_id"]))) for r in got} == want
+    assert all(r["similarity"] == 1 for r in got)
+
+
+def test_outer_places_meet_every_passage():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        h = rng.permutation(10**6)[:200]
+        n = np.where(rng.random(200) < rng.random(), rng.integers(2, 5000, 200), 1)
+        own = set(cw.outer(h, n, 46, 80).tolist())
+        for i in range(155):
+            for j in (i + 45, i + 60, min(i + 91, 199)):
+                if j < 200 and n[i] > 1 and n[j] > 1 and (n[i : j + 1] > 1).mean() >= 0.8:
+                    assert own & set(range(i, j + 1))
