@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +19,6 @@ BOOK = Book()
 _P = ("p_home", "p_draw", "p_away")
 _ALL = (*ELO_CTES, *FORM_CTES, *H2H_CTES, *STRENGTH_CTES, *SEASON_CTES)
 _TABLE = f"m JOIN elo USING ({KEYS}) JOIN form USING ({KEYS}) JOIN h2h USING ({KEYS}) JOIN strength USING ({KEYS}) JOIN season USING ({KEYS})"
-#: Rounds of boosting in queries that fit many models; the model's own default is 200.
-FEW_ROUNDS = 10
 
 
 @BOOK.add(sql("SELECT feature, round(median, 6) AS median FROM (SELECT " + ", ".join(f"coalesce(quantile_cont({c}, 0.5), 0)::DOUBLE AS {c}" for c in FEATURE_COLUMNS) + f" FROM {_TABLE}) UNPIVOT (median FOR feature IN ({', '.join(FEATURE_COLUMNS)}))", *_ALL, recursive=True))
@@ -130,7 +126,7 @@ def logistic_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.add()
 def gbt_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _last_fold(_table(spark, sf_dir))
-    return models.BoostedTrees(rounds=FEW_ROUNDS).fit(train).transform(test).select(*KEY, "result", *_P)
+    return models.BoostedTrees().fit(train).transform(test).select(*KEY, "result", *_P)
 
 
 @BOOK.add()
@@ -148,15 +144,11 @@ def calibration_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hold_out.agg(F.lit(method).alias("method"), F.count(F.lit(1)).alias("rows"))
 
 
-def _contestants() -> tuple[contest.Candidate, ...]:
-    return tuple(replace(c, model=replace(c.model, rounds=FEW_ROUNDS)) if isinstance(c.model, models.BoostedTrees) else c for c in contest.CANDIDATES)
-
-
 @BOOK.add()
 def bakeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All candidates under two forward-chaining folds."""
+    """All candidates under the forward-chaining folds of the settings."""
     table = materialised(feature_table(materialised(matches(spark, sf_dir).where(usable()), "matches")), "features")
-    return contest.compare(table, _contestants(), n_splits=2)
+    return contest.compare(table)
 
 
 @BOOK.add()

@@ -142,3 +142,23 @@ def test_calibrated_models_are_saved_whole(spark, table, tmp_path, method):
     assert pick(winner) == pick(again)
 
 
+
+
+def test_queries_fit_the_whole_models(spark, monkeypatch):
+    """gbt_predict and bakeoff take the defaults: all rounds, all folds, all candidates."""
+    from pitchline.plans import models as plans
+
+    seen = []
+    monkeypatch.setattr(plans, "_table", lambda *_: None)
+    monkeypatch.setattr(plans, "_last_fold", lambda _: (None, None))
+    monkeypatch.setattr(models.BoostedTrees, "fit", lambda self, _: seen.append(self.rounds) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        plans.gbt_predict(spark, "")
+    monkeypatch.setattr(plans, "materialised", lambda *_: spark.range(1))
+    monkeypatch.setattr(plans, "feature_table", lambda _: None)
+    monkeypatch.setattr(plans, "matches", lambda *_: spark.range(1))
+    monkeypatch.setattr(plans, "usable", lambda: F.lit(True))
+    monkeypatch.setattr(bakeoff, "fold_scores", lambda c, _, n: seen.append((c.model.rounds if isinstance(c.model, models.BoostedTrees) else 200, n)) or [{"log_loss": 1.0, "brier": 1.0, "accuracy": 1.0}])
+    monkeypatch.setattr(bakeoff, "require_days", lambda *_: None)
+    plans.bakeoff(spark, "")
+    assert set(seen) == {200, (200, 5)} and len(seen) == 1 + len(bakeoff.CANDIDATES)
