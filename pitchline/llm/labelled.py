@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import base_view
+from .common import base_view, cut
+
+#: Most bytes of text that a training sample holds.
+SAMPLE_BYTES = 32 << 20
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -14,17 +17,23 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int) -> DataFrame:
-    """At most `rows` labelled documents outside fold `held`: doc_id, text, label (0 or 1).
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """At most `rows` labelled documents outside fold `held`, and most_bytes of text: doc_id, text, label (0 or 1).
 
-    Which ones is decided by a hash of the id, so reruns agree. Rows without a label are left out; where an id
-    has several labels the larger share decides. Ids and labels of the sample alone are broadcast, and `rows`
-    bounds them.
+    Which ones is decided by a hash of the id, so reruns agree; in that order documents are taken, whole, until the
+    next one would exceed the bytes. Rows without a label are left out; where an id has several labels the larger
+    share decides, where it has several texts the first by code point. Ids and labels of the sample alone are
+    broadcast, and `rows` bounds them.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("label")).where("doc_id is not null and label is not null")
     known = known.where(fold(F.col("doc_id"), folds) != held).groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return base_view(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    texts = base_view(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sample = cut(texts, "labelled")
+    # One window over at most `rows` numbers.
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    within = sample.select("doc_id", so_far.alias("bytes")).where(F.col("bytes") <= most_bytes).select("doc_id")
+    return sample.join(F.broadcast(within), "doc_id").select("doc_id", "text", "label")
 
 
 def platt(margins: np.ndarray, labels: np.ndarray, steps: int = 100) -> tuple[float, float]:

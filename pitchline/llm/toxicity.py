@@ -1,35 +1,41 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact cosine of TF-IDF vectors over a block-max inverted index.
 
-Terms are runs of letters and digits after lower-casing A-Z. From a bounded sample of labelled documents those
-terms are kept whose presence goes with the label (log-likelihood ratio); their document frequencies are counted
-over all documents. Examples are TF-IDF vectors over these terms in an inverted index whose postings lie in
-blocks of examples with the largest weight of each term and block. A query sums a block's bounds, visits blocks
-by falling bound and stops when none can reach the k-th best cosine, so the neighbours are exact. Their votes,
+Terms are runs of letters and digits after lower-casing A-Z. The index holds every term of a bounded sample of
+labelled documents; document frequencies are counted over all documents. A term's TF-IDF weight is scaled by the
+log-likelihood ratio of its presence with the label: no term is left out, but words that go with neither label
+weigh little (plain TF-IDF weights find neighbours of the same language, not of the same label).
+
+Examples with equal vectors are one entry with counts of their labels. Postings lie in blocks of similar examples,
+with the largest weight of each term and block. A query sums a block's bounds, scores the blocks of the highest
+bounds first and leaves out those that can't reach the k-th best cosine, so the neighbours are exact. Their votes,
 weighted by closeness, are calibrated by leaving each example out in turn; the neighbours' ids are the evidence.
 
-The index is one task's broadcast of bounded size; texts are never shuffled.
+The index is a broadcast whose size the sample bounds; texts are never shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_strings, base_view, cut, text_chunks
+from .common import Words, as_strings, base_view, cut, mix, release, small_batches, text_chunks
 from .labelled import fold, platt, training_sample
 
 #: Most labelled rows that terms and examples come from.
 SAMPLE_ROWS = 8000
-#: Most terms of the index, best first, and the log-likelihood ratio that a term needs.
-TERMS, LEAST_RATIO = 2000, 25.0
 NEIGHBOURS = 15
 BLOCK = 64
+#: Terms of more than this share of the entries are kept as dense rows.
+COMMON = 1 / 16
+#: Queries that are multiplied with the dense rows at a time.
+TOGETHER = 64
+#: Tasks that score the left-out examples.
+CALIBRATION_TASKS = 16
 
 _BREAKS = np.ones(256, bool)
 _BREAKS[128:] = False
@@ -49,7 +55,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in text_chunks(texts):
             w = terms(texts.slice(a, b - a))
             rows = [np.unique(w.hash[i:j], return_counts=True) for i, j in zip(w.first[:-1], w.first[1:])]
-            yield pa.record_batch([batch["doc_id"].slice(a, b - a), batch["label"].slice(a, b - a), pa.array([t.view(np.int64) for t, _ in rows], pa.list_(pa.int64())), pa.array([n for _, n in rows], pa.list_(pa.int64()))], ["doc_id", "label", "terms", "counts"])
+            lists = [pa.array([x[k].view(np.int64) for x in rows], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.record_batch([batch["doc_id"].slice(a, b - a), batch["label"].slice(a, b - a), *lists], ["doc_id", "label", "terms", "counts"])
 
 
 def likelihood_ratio(with_: np.ndarray, of: tuple[int, int]) -> np.ndarray:
@@ -62,26 +69,32 @@ def likelihood_ratio(with_: np.ndarray, of: tuple[int, int]) -> np.ndarray:
             expected = margin * of[c] / total
             with np.errstate(divide="ignore", invalid="ignore"):
                 out += np.where(count > 0, count * np.log(count / expected), 0.0)
-    return 2 * out
+    return np.maximum(2 * out, 0.0)
 
 
-def _telling(most: int, least: float):
-    def run(sample: pd.DataFrame) -> pd.DataFrame:
-        labels = sample["label"].to_numpy()
-        flat = np.concatenate([np.asarray(t, np.int64) for t in sample["terms"]] or [np.zeros(0, np.int64)])
-        of_row = np.repeat(labels, [len(t) for t in sample["terms"]])
-        term, at = np.unique(flat, return_inverse=True)
-        with_ = np.stack([np.bincount(at[of_row == c], minlength=len(term)) for c in (0, 1)], 1) if len(term) else np.zeros((0, 2), np.int64)
-        ratio = likelihood_ratio(with_, (int((labels == 0).sum()), int((labels == 1).sum())))
-        good = np.flatnonzero((ratio >= least) & (with_.sum(1) >= 3))
-        good = good[np.lexsort((term[good], -ratio[good]))][:most]
-        return pd.DataFrame({"term": term[good]})
+class Finder:
+    """Occurrences of wanted terms (sorted hashes): a bitmap of hash prefixes first, then a search among the hashes."""
 
-    return run
+    def __init__(self, wanted: np.ndarray):
+        self.wanted = wanted
+        self.bitmap = np.zeros(1 << 22, bool)
+        self.bitmap[(wanted >> np.uint64(42)).astype(np.int64)] = True
+
+    def __call__(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term number, count) of each wanted term in each row, by row."""
+        n = len(self.wanted)
+        if not n:
+            return (np.zeros(0, np.int64),) * 3
+        maybe = np.flatnonzero(self.bitmap[(w.hash >> np.uint64(42)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.wanted, w.hash[maybe]), n - 1)
+        hit = self.wanted[place] == w.hash[maybe]
+        row = np.searchsorted(w.first, maybe[hit], "right") - 1
+        key, count = np.unique(row * n + place[hit], return_counts=True)
+        return key // n, key % n, count
 
 
 def _present(wanted: np.ndarray):
-    """Documents that hold each wanted term, by partition."""
+    """Documents that hold each wanted term, by partition; term -1 counts the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, counts, rows = Finder(wanted), np.zeros(len(wanted), np.int64), 0
@@ -89,145 +102,239 @@ def _present(wanted: np.ndarray):
             texts = as_strings(batch["text"])
             rows += len(texts)
             for a, b in text_chunks(texts):
-                row, term, _ = find(terms(texts.slice(a, b - a)))
+                _, term, _ = find(terms(texts.slice(a, b - a)))
                 counts += np.bincount(term, minlength=len(wanted))
-        yield pa.record_batch([pa.array([-1, *range(len(wanted))], pa.int32()), pa.array([rows, *counts.tolist()], pa.int64())], ["term", "n"])
+        seen = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(np.append(seen, -1).astype(np.int32)), pa.array(np.append(counts[seen], rows))], ["term", "n"])
 
     return run
 
 
-class Finder:
-    """Occurrences of wanted terms: a bitmap of hash prefixes first, then a search among the sorted hashes."""
-
-    def __init__(self, wanted: np.ndarray):
-        self.order = np.argsort(wanted)
-        self.sorted = wanted[self.order]
-        self.bitmap = np.zeros(1 << 16, bool)
-        self.bitmap[(wanted >> np.uint64(48)).astype(np.int64)] = True
-
-    def __call__(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, term number, count) of each wanted term in each row, by row."""
-        if not len(self.sorted):
-            return (np.zeros(0, np.int64),) * 3
-        maybe = np.flatnonzero(self.bitmap[(w.hash >> np.uint64(48)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(self.sorted, w.hash[maybe]), len(self.sorted) - 1)
-        hit = self.sorted[place] == w.hash[maybe]
-        row = np.searchsorted(w.first, maybe[hit], "right") - 1
-        key, count = np.unique(row * len(self.sorted) + self.order[place[hit]], return_counts=True)
-        return key // len(self.sorted), key % len(self.sorted), count
+def spans(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All places of the ranges [low, high), one range after another."""
+    n = high - low
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors of examples by term: postings of term t are [start[t], start[t + 1]) of (example, weight), by example."""
+    """Unit vectors of entries by term. Cells are the pairs of a term and a block of BLOCK entries that has it.
 
-    start: np.ndarray
-    example: np.ndarray
+    Term t has cells [cells[t], cells[t + 1]); cell c lies in `block[c]`, has `bound[c]` as its largest weight and
+    postings [first[c], first[c + 1]) of (entry, weight). Entry e stands for count[e] examples, positive[e] of label 1.
+    Terms of many entries, whose bounds would be the same everywhere, are rows of `dense` instead; `dense_at` has
+    their row, or -1.
+    """
+
+    cells: np.ndarray
+    block: np.ndarray
+    bound: np.ndarray
+    first: np.ndarray
+    entry: np.ndarray
     weight: np.ndarray
-    bounds: np.ndarray  # (terms, blocks): the largest weight
-    edge: np.ndarray  # (terms, blocks + 1): where a block's postings begin
+    dense_at: np.ndarray
+    dense: np.ndarray
     ids: np.ndarray
-    labels: np.ndarray
+    count: np.ndarray
+    positive: np.ndarray
 
     @staticmethod
-    def build(vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, labels: np.ndarray, n_terms: int) -> BlockMaxIndex:
-        example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
-        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
-        weight = np.concatenate([v for _, v in vectors] or [np.zeros(0)]).astype(np.float64)
-        order = np.lexsort((example, term))
-        example, term, weight = example[order], term[order], weight[order]
-        start = np.searchsorted(term, np.arange(n_terms + 1))
-        blocks = -(-len(vectors) // BLOCK)
-        edge = np.searchsorted(term * (blocks + 1) + example // BLOCK, (np.arange(n_terms)[:, None] * (blocks + 1) + np.arange(blocks + 1)[None, :]).ravel()).reshape(n_terms, blocks + 1)
-        bounds = np.zeros((n_terms, blocks))
-        np.maximum.at(bounds, (term, example // BLOCK), weight)
-        return BlockMaxIndex(start, example, weight, bounds, edge, ids, labels)
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0 with the unit vector, ties to the lower number; `without` is left out."""
-        bound = weight @ self.bounds[term]
-        best_score, best = np.zeros(0), np.zeros(0, np.int64)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(best) == k and bound[block] < best_score[-1] - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for t, v in zip(term, weight):
-                a, b = self.edge[t, block], self.edge[t, block + 1]
-                if b > a:
-                    score[self.example[a:b] - block * BLOCK] += v * self.weight[a:b]
-            if block * BLOCK <= without < (block + 1) * BLOCK:
-                score[without - block * BLOCK] = 0
-            own = np.flatnonzero(score > 0)
-            best, best_score = np.concatenate([best, own + block * BLOCK]), np.concatenate([best_score, score[own]])
-            order = np.lexsort((best, -best_score))[:k]
-            best, best_score = best[order], best_score[order]
-        return best, best_score
+    def build(entry: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: np.ndarray, count: np.ndarray, positive: np.ndarray, n_terms: int, common: float = COMMON) -> BlockMaxIndex:
+        """From postings (entry, term, weight) in any order."""
+        blocks = -(-len(ids) // BLOCK)
+        frequent = np.bincount(term, minlength=n_terms) > max(common * len(ids), 1)
+        dense_at = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        dense = np.zeros((int(frequent.sum()), blocks * BLOCK))
+        often = frequent[term]
+        dense[dense_at[term[often]], entry[often]] = weight[often]
+        entry, term, weight = entry[~often], term[~often], weight[~often]
+        order = np.lexsort((entry, term))
+        entry, term, weight = entry[order], term[order], weight[order]
+        block = entry // BLOCK
+        new = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
+        bound = np.maximum.reduceat(weight, new) if len(new) else np.zeros(0)
+        return BlockMaxIndex(np.searchsorted(term[new], np.arange(n_terms + 1)), block[new], bound, np.append(new, len(term)), entry, weight, dense_at, dense, ids, count, positive)
+
+    def frequent_parts(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, low: int, high: int) -> np.ndarray:
+        """(high - low, entries): what the frequent terms add to the cosines of the queries low to high."""
+        part = slice(*np.searchsorted(row, (low, high)))
+        row, at, weight = row[part] - low, self.dense_at[term[part]], weight[part]
+        queries = np.zeros((high - low, len(self.dense)))
+        queries[row[at >= 0], at[at >= 0]] = weight[at >= 0]
+        return queries @ self.dense
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, frequent: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k entries of largest cosine above 0 with the unit vector; `without` is left out.
+
+        Cosines count as equal when they agree in ten decimals; of these the lower number comes first.
+        """
+        low, high = self.cells[term], self.cells[term + 1]
+        cell = spans(low, high)
+        of_cell = np.repeat(weight, high - low)
+        block = self.block[cell]
+        rest = np.bincount(block, of_cell * self.bound[cell], minlength=len(frequent) // BLOCK)
+        bound = frequent.reshape(-1, BLOCK).max(1) + rest
+        if without >= 0:
+            frequent = frequent.copy()
+            frequent[without] = -np.inf
+        # Frequent terms alone already say how large the k-th best cosine is at least.
+        least = np.partition(frequent, -k)[-k] if len(frequent) > k else 0.0
+        order = np.argsort(-bound, kind="stable")
+        order = order[: np.count_nonzero(bound > max(least - 1e-9, 0))]
+        best, cosine, wave = np.zeros(0, np.int64), np.zeros(0), 4
+        while len(order):
+            wanted = np.zeros(len(bound), bool)
+            wanted[order[:wave]] = True
+            now = np.flatnonzero(wanted[block])
+            a, b = self.first[cell[now]], self.first[cell[now] + 1]
+            at = spans(a, b)
+            score = frequent + np.bincount(self.entry[at], np.repeat(of_cell[now], b - a) * self.weight[at], minlength=len(frequent))
+            own = np.flatnonzero((score > max(least - 1e-9, 5e-11)) & np.repeat(wanted, BLOCK))
+            best, cosine = np.concatenate([best, own]), np.concatenate([cosine, np.round(score[own], 10)])
+            top = np.lexsort((best, -cosine))[:k]
+            best, cosine = best[top], cosine[top]
+            order = order[wave:]
+            if len(best) == k:
+                # A block that can only tie with the last neighbour is of use if it has a lower number.
+                least = max(least, cosine[-1])
+                order = order[(bound[order] > least + 5e-11) | ((bound[order] > least - 6e-11) & (order <= best[-1] // BLOCK))]
+            wave *= 4
+        return best, cosine
 
 
 @dataclass
 class ToxicityModel:
+    """Terms (sorted hashes) with their scales, the index, what a text without known terms gets, and the calibration."""
+
     wanted: np.ndarray
-    idf: np.ndarray
+    scale: np.ndarray
     index: BlockMaxIndex
     share: float
-    slope: float
-    intercept: float
-    neighbours: int
-
-    def vector(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
-        weight = (1 + np.log(count)) * self.idf[term]
-        return weight / np.linalg.norm(weight)
-
-    def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
-        """Distance-weighted share of label 1 among the neighbours, drawn towards the share of all examples."""
-        weight = 1 / (1.05 - np.minimum(cosine, 1.0))
-        return float(((weight * self.index.labels[near]).sum() + self.share) / (weight.sum() + 1))
+    neighbours: int = NEIGHBOURS
+    slope: float = 1.0
+    intercept: float = 0.0
+
+    def vectors(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, rows: int) -> np.ndarray:
+        """Weights of the postings (row, term, count), of norm 1 by row; all 0 in rows without a term of any weight."""
+        weight = (1 + np.log(count)) * self.scale[term]
+        norm = np.sqrt(np.bincount(row, weight * weight, minlength=rows))
+        return weight / np.where(norm > 0, norm, 1)[row]
+
+    def votes(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, without: np.ndarray | None = None, labels: np.ndarray | None = None) -> list[tuple[float, np.ndarray]]:
+        """Vote and neighbours of each row's vector; each row may leave out an example: its entry (or -1) and its label."""
+        out = []
+        for low in range(0, rows, TOGETHER):
+            high = min(low + TOGETHER, rows)
+            frequent = self.index.frequent_parts(row, term, weight, low, high)
+            edges = np.searchsorted(row, np.arange(low, high + 1))
+            for r, i, j in zip(range(low, high), edges[:-1], edges[1:]):
+                out.append(self.vote(term[i:j], weight[i:j], frequent[r - low], *(() if without is None else (int(without[r]), int(labels[r])))))
+        return out
+
+    def vote(self, term: np.ndarray, weight: np.ndarray, frequent: np.ndarray, without: int = -1, label: int = 0) -> tuple[float, np.ndarray]:
+        """(share of label 1 among the neighbours, weighted by closeness and drawn towards the share of all; their numbers).
+
+        An example may be left out: `without` is its entry, from which one of its label goes.
+        """
+        if not weight.any():
+            return self.share, np.zeros(0, np.int64)
+        index, last = self.index, without >= 0 and self.index.count[without] == 1
+        near, cosine = index.nearest(term, weight, frequent, self.neighbours, without if last else -1)
+        positive, count = index.positive[near].astype(float), index.count[near].astype(float)
+        if without >= 0 and not last:
+            own = near == without
+            positive, count = positive - own * label, count - own
+        closeness = 1 / (1.05 - np.minimum(cosine, 1.0))
+        return float(((closeness * positive / count).sum() + self.share) / (closeness.sum() + 1)), near
 
     def score(self, vote: float) -> float:
         vote = min(max(vote, 1e-6), 1 - 1e-6)
         return float(1 / (1 + np.exp(-(self.slope * np.log(vote / (1 - vote)) + self.intercept))))
 
 
-def fit(wanted: np.ndarray, idf: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]], neighbours: int = NEIGHBOURS) -> ToxicityModel:
-    """rows: (id, label, terms, counts) of the examples. Calibrates the votes with each example left out."""
-    place = {int(t): i for i, t in enumerate(wanted)}
-    labels = np.array([r[1] for r in rows], np.int64)
+def assemble(examples: pa.Table, wanted: np.ndarray, documents: np.ndarray, total: int, neighbours: int = NEIGHBOURS) -> tuple[ToxicityModel, np.ndarray]:
+    """The uncalibrated model of examples (doc_id, label, terms, counts), and each example's entry (-1: no vector).
+
+    documents: how many of all `total` documents hold each wanted term.
+    """
+    ids, labels = examples["doc_id"].to_numpy(), examples["label"].to_numpy().astype(np.int64)
+    lists = examples["terms"].combine_chunks()
+    n = np.diff(lists.offsets.to_numpy())
+    row, term = np.repeat(np.arange(len(ids)), n), np.searchsorted(wanted, lists.flatten().to_numpy().view(np.uint64))
+    count = examples["counts"].combine_chunks().flatten().to_numpy()
+    of = int((labels == 0).sum()), int((labels == 1).sum())
+    with_ = np.stack([np.bincount(term[labels[row] == c], minlength=len(wanted)) for c in (0, 1)], 1)
+    scale = np.log((1 + total) / (1 + documents)) + 1
+    if min(of):
+        scale = scale * likelihood_ratio(with_, of)
     share = float((labels.sum() + 0.5) / (len(labels) + 1))
-    model = ToxicityModel(wanted, idf, None, share, 1.0, 0.0, neighbours)
-    vectors, used = [], []
-    for i, (_, _, term, count) in enumerate(rows):
-        own = [(place[int(t)], n) for t, n in zip(term.view(np.uint64), count) if int(t) in place]
-        if own:
-            t, n = np.array([t for t, _ in own]), np.array([n for _, n in own], np.float64)
-            vectors.append((t, model.vector(t, n)))
-            used.append(i)
-    model.index = BlockMaxIndex.build(vectors, np.array([rows[i][0] for i in used], np.int64), labels[used], len(wanted))
-    empty = np.setdiff1d(np.arange(len(rows)), used)
-    model.share = float((labels[empty].sum() + 0.5) / (len(empty) + 1)) if len(empty) else share
-    votes = [(model.vote(*model.index.nearest(t, v, neighbours, j)), labels[used[j]]) for j, (t, v) in enumerate(vectors)]
-    votes += [(model.share, labels[i]) for i in empty]
-    if votes and 0 < labels.sum() < len(labels):
-        p = np.clip([v for v, _ in votes], 1e-6, 1 - 1e-6)
-        slope, model.intercept = platt(np.log(p / (1 - p)), np.array([y for _, y in votes]))
-        model.slope = max(slope, 0.0)
-    elif not votes:
-        model.share = 0.5
-    return model
+    model = ToxicityModel(wanted, scale, None, share, neighbours)
+    weight = model.vectors(row, term, count, len(ids))
+
+    # Equal vectors are one entry, known by two hashes; entries that share their heaviest terms stand together.
+    def key(salt: int) -> np.ndarray:
+        out = np.zeros(len(ids), np.uint64)
+        np.add.at(out, row, mix(mix(wanted[term] + np.uint64(salt)) + count.astype(np.uint64)))
+        return out
+
+    full = np.bincount(row, weight, minlength=len(ids)) > 0
+    by_weight = np.lexsort((term, -weight, row))
+    start = np.cumsum(n) - n
+    heavy = [np.where(n > j, term[by_weight[np.minimum(start + j, len(term) - 1)]], -1) if len(term) else np.full(len(ids), -1) for j in (0, 1)]
+    keys = [key(1), key(2)]
+    order = np.lexsort((ids, keys[1], keys[0], heavy[1], heavy[0], ~full))[: full.sum()]
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(keys[0][order]) != 0) | (np.diff(keys[1][order]) != 0)
+    of_row = np.full(len(ids), -1)
+    of_row[order] = np.cumsum(new) - 1
+    leader = np.zeros(len(ids), bool)
+    leader[order[new]] = True
+    entries = int(new.sum())
+    own = leader[row] & (weight > 0)
+    index = BlockMaxIndex.build(of_row[row[own]], term[own], weight[own], ids[order[new]], np.bincount(of_row[order], minlength=entries), np.bincount(of_row[order], labels[order], minlength=entries).astype(np.int64), len(wanted))
+    empty = ~full
+    return replace(model, index=index, share=float((labels[empty].sum() + 0.5) / (empty.sum() + 1)) if empty.any() else share), of_row
+
+
+def calibrated(model: ToxicityModel, votes: np.ndarray, labels: np.ndarray) -> ToxicityModel:
+    """The model with Platt's calibration of votes that each leave their own example out."""
+    if not len(labels):
+        return replace(model, share=0.5)
+    if not 0 < labels.sum() < len(labels):
+        return model
+    p = np.clip(votes, 1e-6, 1 - 1e-6)
+    slope, intercept = platt(np.log(p / (1 - p)), labels)
+    return replace(model, slope=max(slope, 0.0), intercept=intercept)
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, rows: int = SAMPLE_ROWS, neighbours: int = NEIGHBOURS) -> ToxicityModel:
     """Terms and examples from at most `rows` labelled documents outside the held-out fold, frequencies from all documents."""
-    sample = cut(training_sample(docs, labels, label, folds, held, rows).select("doc_id", "text", "label").mapInArrow(_counted, "doc_id long, label int, terms array<long>, counts array<long>"), "examples")
-    wanted = np.sort(sample.groupBy(F.lit("terms")).applyInPandas(_telling(TERMS, LEAST_RATIO), "term long").toPandas()["term"].to_numpy(np.int64).view(np.uint64))
-    held_by = base_view(docs).select("text").mapInArrow(_present(wanted), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    count = np.zeros(len(wanted) + 1)
-    count[held_by["term"].to_numpy(np.int64)] = held_by["n"].to_numpy()
-    idf = np.log((1 + count[-1]) / (1 + count[:-1])) + 1
-    list_ = F.array(*[F.lit(int(t)) for t in wanted.view(np.int64)]) if len(wanted) else F.array().cast("array<long>")
-    slim = sample.select("doc_id", "label", F.filter(F.arrays_zip("terms", "counts"), lambda e: F.array_contains(list_, e["terms"])).alias("own"))
-    found = slim.toPandas().sort_values("doc_id")
-    examples = [(int(d), int(y), np.array([e["terms"] for e in own], np.int64), np.array([e["counts"] for e in own], np.float64)) for d, y, own in zip(found["doc_id"], found["label"], found["own"])]
-    return fit(wanted, idf, examples, neighbours)
+    spark = docs.sparkSession
+    sample = training_sample(docs, labels, label, folds, held, rows)
+    sample = cut(sample.mapInArrow(_counted, "doc_id long, label int, terms array<long>, counts array<long>"), "examples")
+    examples = sample.orderBy("doc_id").toArrow()
+    wanted = np.unique(examples["terms"].combine_chunks().flatten().to_numpy().view(np.uint64))
+    held_by = base_view(docs).select("text").mapInArrow(_present(wanted), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = held_by["term"].to_numpy(), held_by["n"].to_numpy()
+    documents = np.zeros(len(wanted), np.int64)
+    documents[term[term >= 0]] = n[term >= 0]
+    model, entry = assemble(examples, wanted, documents, int(n[term < 0].sum()), neighbours)
+    shared = spark.sparkContext.broadcast((model, examples["doc_id"].to_numpy(), entry))
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, ids, of_row = shared.value
+        for batch in batches:
+            of = of_row[np.searchsorted(ids, batch["doc_id"].to_numpy())]
+            n = np.diff(batch["terms"].offsets.to_numpy())
+            row, term = np.repeat(np.arange(len(n)), n), np.searchsorted(m.wanted, batch["terms"].flatten().to_numpy().view(np.uint64))
+            weight = m.vectors(row, term, batch["counts"].flatten().to_numpy(), len(n))
+            votes = [vote for vote, _ in m.votes(row, term, weight, len(n), of, batch["label"].to_numpy())]
+            yield pa.record_batch([pa.array(votes, pa.float64()), batch["label"]], ["vote", "label"])
+
+    votes = sample.repartition(CALIBRATION_TASKS).mapInArrow(left_out, "vote double, label int").toArrow()
+    shared.unpersist()
+    release(sample)
+    return calibrated(model, votes["vote"].to_numpy(), votes["label"].to_numpy())
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -241,13 +348,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             texts = as_strings(batch["text"])
             for a, b in text_chunks(texts):
                 row, term, count = find(terms(texts.slice(a, b - a)))
-                edges = np.searchsorted(row, np.arange(b - a + 1))
-                score, evidence = np.full(b - a, m.score(m.share)), [np.zeros(0, np.int64)] * (b - a)
-                for r in np.flatnonzero(np.diff(edges)):
-                    own = slice(edges[r], edges[r + 1])
-                    near, cosine = m.index.nearest(term[own], m.vector(term[own], count[own]), m.neighbours)
-                    score[r], evidence[r] = m.score(m.vote(near, cosine)), m.index.ids[near]
-                yield pa.record_batch([batch["doc_id"].slice(a, b - a), pa.array(score), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+                weight = m.vectors(row, term, count, b - a)
+                found = m.votes(row, term, weight, b - a)
+                score = pa.array([m.score(vote) for vote, _ in found], pa.float64())
+                yield pa.record_batch([batch["doc_id"].slice(a, b - a), score, pa.array([m.index.ids[near] for _, near in found], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     return base_view(docs).mapInArrow(run, "doc_id long, score double, evidence array<long>")
 
@@ -256,9 +360,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held: in
     """Toxicity of every document: doc_id, held_out, score, predicted, evidence.
 
     Needs doc_id and text of docs, doc_id and toxic of labels; other columns are never read. A null text counts
-    as empty, a null id as not held out. Texts without telling terms, empty ones too, get the calibrated share
-    of label 1 among examples without such terms. Rows that repeat get equal scores, an empty table gives an
-    empty result, and without labels every score is 0.5.
+    as empty, a null id as not held out. Texts without a term of the examples, empty ones too, get the calibrated
+    share of label 1 among examples without terms, or of all examples if each has one. Rows that repeat get equal
+    scores, an empty table gives an empty result, and without labels every score is 0.5.
     """
-    scored = score_toxicity(docs, train_toxicity(docs, labels, folds=folds, held=held, rows=rows))
+    with small_batches(docs.sparkSession):
+        scored = score_toxicity(docs, train_toxicity(docs, labels, folds=folds, held=held, rows=rows))
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from cases import edge_rows, frame, prose, words
+from cases import edge_rows, frame, lower, prose, words
 from parity import compare, duck
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ from pitchline.llm.labelled import platt, training_sample
 from pitchline.llm.licenses import TEMPLATES, bigrams, dice, scan_licenses, tokens
 from pitchline.llm.line_dedup import boilerplate, clean_lines
 from pitchline.llm.nbsvm import dual_coordinate_descent, indicators, log_count_ratios, quality_scores
-from pitchline.llm.toxicity import BlockMaxIndex, toxicity_scores
+from pitchline.llm.toxicity import BlockMaxIndex, likelihood_ratio, toxicity_scores
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -95,22 +98,81 @@ def test_training_sample_is_bounded_and_repeats(spark):
     assert a == b and len(a) == 30
 
 
-def test_nearest_examples_are_exact():
+@pytest.mark.parametrize("common", [1 / 16, 2.0, 0.0])
+def test_nearest_examples_are_exact(common):
     rng = np.random.default_rng(3)
-    vectors = []
-    for _ in range(500):
-        t = np.sort(rng.choice(40, rng.integers(1, 9), replace=False))
-        v = rng.random(len(t))
-        vectors.append((t, v / np.linalg.norm(v)))
-    index = BlockMaxIndex.build(vectors, np.arange(500), np.zeros(500, int), 40)
-    dense = np.zeros((500, 40))
-    for i, (t, v) in enumerate(vectors):
-        dense[i, t] = v
+    n, width = 500, 40
+    dense = np.zeros((n, width))
+    for i in range(n):
+        t = rng.choice(width, rng.integers(1, 9), replace=False)
+        dense[i, t] = rng.integers(1, 4, len(t))
+    dense /= np.linalg.norm(dense, axis=1)[:, None]
+    entry, term = np.nonzero(dense)
+    index = BlockMaxIndex.build(entry, term, dense[entry, term], np.arange(n), np.ones(n, int), np.zeros(n, int), width, common)
     for i in range(60):
-        near, cosine = index.nearest(*vectors[i], 7, without=i)
-        all_ = dense @ dense[i]
+        t = np.flatnonzero(dense[i])
+        frequent = index.frequent_parts(np.zeros(len(t), int), t, dense[i, t], 0, 1)[0]
+        near, cosine = index.nearest(t, dense[i, t], frequent, 7, without=i)
+        all_ = np.round(dense @ dense[i], 10)
         all_[i] = 0
-        assert np.allclose(cosine, np.sort(all_)[::-1][: len(cosine)]) and i not in near and len(near) == min(7, (all_ > 0).sum())
+        want = np.lexsort((np.arange(n), -all_))[:7]
+        assert near.tolist() == want[all_[want] > 0].tolist() and np.allclose(cosine, all_[near], atol=1e-9)
+
+
+def dense_toxicity(texts, labels, train, k=15):
+    """Scores by dense vectors: the votes of the k nearest distinct examples, calibrated leaving each example out."""
+    token = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+    counts = [Counter(token.findall(lower(t))) for t in texts]
+    vocabulary = sorted({w for i in train for w in counts[i]})
+    tf = np.array([[c[w] for w in vocabulary] for c in counts], float)
+    has, y = tf[train] > 0, np.array([labels[i] for i in train])
+    scale = (np.log((1 + len(texts)) / (1 + (tf > 0).sum(0))) + 1) * likelihood_ratio(np.stack([has[y == 0].sum(0), has[y == 1].sum(0)], 1), ((y == 0).sum(), (y == 1).sum()))
+    v = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * scale
+    v /= np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
+    share_of = lambda y: (y.sum() + 0.5) / (len(y) + 1)
+    empty = ~v[train].any(1)
+    share = share_of(y[empty]) if empty.any() else share_of(y)
+
+    def vote(i, own):
+        if not v[i].any():
+            return share
+        groups = defaultdict(list)
+        for j, t in enumerate(train):
+            if t != own and v[t].any():
+                groups[tuple(tf[t])].append(j)
+        near = sorted(((round(float(v[i] @ v[train[g[0]]]), 10), g) for g in groups.values()), key=lambda e: -e[0])
+        near = [(1 / (1.05 - min(c, 1)), np.mean(y[g])) for c, g in near[:k] if c > 0]
+        return (sum(w * p for w, p in near) + share) / (sum(w for w, _ in near) + 1)
+
+    logit = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
+    slope, intercept = platt(logit(np.array([vote(t, t) for t in train])), y)
+    return [1 / (1 + np.exp(-(max(slope, 0) * logit(np.array(vote(i, None))) + intercept))) for i in range(len(texts))]
+
+
+def test_toxicity_is_that_of_dense_vectors(spark):
+    texts = [prose(i % 70, 20 + i % 9) + (" Vile mob" * (i % 3) if i % 4 == 1 else "") + (" calm" if i % 5 == 2 else "") for i in range(120)]
+    texts[7], texts[8], texts[20:30] = "", "--", ["the same vile text"] * 10
+    labels = [int("ile" in t) if i % 17 else 1 for i, t in enumerate(texts)]
+    docs = frame(spark, [(i, t or None, "s") for i, t in enumerate(texts)])
+    known = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity_scores(docs, known).collect()}
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5]
+    assert np.allclose([got[i]["score"] for i in range(len(texts))], dense_toxicity(texts, labels, train), atol=1e-5)
+    assert all(got[i]["held_out"] == (i not in train) for i in got)
+
+
+def test_a_text_of_unknown_words_gets_the_share(spark):
+    docs = frame(spark, [(i, prose(i, 9) + " vile" * (i % 2), "s") for i in range(40)] + [(99, "zzz yyy", "s"), (98, "", "s")])
+    known = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity_scores(docs, known).collect()}
+    assert got[98]["score"] == got[99]["score"] and list(got[99]["evidence"]) == []
+
+
+def test_training_texts_are_bounded_in_bytes(spark):
+    docs = frame(spark, [(i, "x" * 100, "s") for i in range(50)] + [(3, "a", "s")])
+    known = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    rows = training_sample(docs, known, "toxic", 5, 0, 50, most_bytes=1050).collect()
+    assert len(rows) in (10, 11) and sum(len(r["text"]) for r in rows) <= 1050
 
 
 def test_dual_coordinate_descent_separates_and_meets_its_conditions():
