@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pitchline.llm import entries, quality_rules as q
 from pitchline.llm.labelled import platt, training_sample
-from pitchline.llm.licenses import TEMPLATES, bigrams, dice, scan_licenses, tokens
+from pitchline.llm.licenses import TEMPLATES, license_report, scan_licenses
 from pitchline.llm.line_dedup import boilerplate, clean_lines
 from pitchline.llm.nbsvm import dual_coordinate_descent, indicators, log_count_ratios, quality_scores
 from pitchline.llm.toxicity import BlockMaxIndex, likelihood_ratio, toxicity_scores
@@ -204,34 +204,66 @@ def test_platt():
 # --- licences and lines ---------------------------------------------------------------------------------------------
 
 
-def test_licences_by_every_run_of_lines(spark):
-    notice = TEMPLATES["mit"]
-    near = notice.replace("hereby ", "").replace("charge", "cost")
-    rows = [(1, f"{prose(1, 40)}\n{notice}\n{prose(2, 20)}", "s"), (2, prose(3, 300), "s"), (3, near, "s"), (4, "Licensed under\nthe Apache License,\nVersion 2.0.", "s")]
-    got = {(r["doc_id"], r["license"]): r for r in scan_licenses(frame(spark, rows)).collect()}
-    assert set(got) == {(1, "mit"), (3, "mit"), (4, "apache-2.0")}
-    assert got[1, "mit"]["dice"] == 1.0 and got[4, "apache-2.0"]["last_line"] == 2
-    assert math.isclose(got[3, "mit"]["dice"], dice(bigrams(tokens(near)), bigrams(tokens(notice))))
+def licence_words(text):
+    return re.findall(r"[0-9a-z\x80-\u1fff]+", re.sub("[\u0080-\u00bf\u2000-\u206f]", " ", lower(text)))
 
 
-def test_size_bounds_lose_nothing(spark):
-    """Brute force over all runs of lines and all templates, without pruning."""
+def dice(a, b):
+    a, b = (Counter(zip(x, x[1:])) for x in (a, b))
+    return 2 * (a & b).total() / (a.total() + b.total())
+
+
+def by_every_window(text, templates, least=0.8):
+    """(licence, coefficient, first word, last word): the best end of every start, of these the best that don't overlap."""
+    w, found = licence_words(text), []
+    for name, template in templates:
+        t = licence_words(template)
+        for i in range(len(w) - 1):
+            d, j = max((round(dice(w[i : j + 1], t), 12), -j) for j in range(i + 1, len(w)))
+            if d >= least:
+                found.append((-d, -len(set(t) & set(w[i : 1 - j])), i, name, -j))
+    out = []
+    for d, _, i, name, j in sorted(found):
+        if all(j < a or i > b for _, _, a, b in out):
+            out.append((name, -d, i, j))
+    return sorted(out, key=lambda f: f[2])
+
+
+def test_licences_by_every_window(spark):
+    """Brute force over all windows of words and all templates, without pruning."""
     rng = np.random.default_rng(1)
-    names = sorted(TEMPLATES)
+    short = [t for t in TEMPLATES if len(t[1]) < 160]
     rows = []
-    for i in range(30):
-        w = TEMPLATES[names[i % len(names)]].split()
-        for _ in range(int(rng.integers(0, 3))):
+    for i in range(40):
+        w = " ".join(short[k][1] for k in rng.choice(len(short), 2)).split()
+        for _ in range(int(rng.integers(0, 4))):
             w[int(rng.integers(len(w)))] = "changed"
-        rows.append((i, "\n".join(" ".join(w[k : k + 6]) for k in range(0, len(w), 6)) + "\nother words", "s"))
-    want = set()
+        rows.append((i, f"{prose(i, 12)} {chr(10).join(w)} \u201cand\u201d {w[0]} {w[1]} {w[2]}", "s"))
+    got = defaultdict(list)
+    for r in scan_licenses(frame(spark, rows), short).collect():
+        got[r["doc_id"]].append((r["license"], r["dice"], r["first_word"], r["last_word"]))
+        text = rows[r["doc_id"]][1][r["first_char"] : r["last_char"] + 1]
+        assert licence_words(text) == licence_words(rows[r["doc_id"]][1])[r["first_word"] : r["last_word"] + 1]
     for d, text, _ in rows:
-        lines = [tokens(x) for x in text.split("\n")]
-        for a in range(len(lines)):
-            for b in range(a + 1, len(lines) + 1):
-                grams = bigrams(sum(lines[a:b], []))
-                want |= {(d, n) for n in names if dice(grams, bigrams(tokens(TEMPLATES[n]))) >= 0.8}
-    assert {(r["doc_id"], r["license"]) for r in scan_licenses(frame(spark, rows)).collect()} == want
+        want = by_every_window(text, short)
+        assert [(f[0], *f[2:]) for f in sorted(got[d], key=lambda f: f[2])] == [(f[0], *f[2:]) for f in want]
+        assert np.allclose(sorted(f[1] for f in got[d]), sorted(f[1] for f in want))
+
+
+@pytest.mark.parametrize("place", ["{}", "Before it stand words, {} and after it too.", "# {}\ncode()", "\u00abbegin\u00bb\n\n * {}"])
+def test_every_template_is_named(spark, place):
+    rows = [(i, place.format(text.replace('"', "\u201d")), "s") for i, (_, text) in enumerate(TEMPLATES)]
+    got = {r["doc_id"]: r for r in license_report(frame(spark, rows)).collect()}
+    assert [got[i]["license"] for i in range(len(rows))] == [name for name, _ in TEMPLATES]
+    assert all(r["dice"] == 1.0 for r in got.values())
+
+
+def test_licences_stay_with_their_row(spark):
+    mit, gpl = TEMPLATES[0][1], next(t for n, t in TEMPLATES if n == "gpl-3.0")
+    rows = [(None, mit, "s"), (None, None, "s"), (2, gpl, "s"), (2, "nothing here at all", "s"), (2, gpl, "s"), (3, f"{mit}\n{prose(1, 30)}\n{gpl} {mit}", "s"), (4, "", "s")]
+    got = sorted((r["doc_id"] or 0, r["license"] or "", r["n_licenses"]) for r in license_report(frame(spark, rows)).collect())
+    assert got == [(0, "", 0), (0, "mit", 1), (2, "", 0), (2, "gpl-3.0", 1), (2, "gpl-3.0", 1), (3, "mit", 2), (4, "", 0)]
+    assert scan_licenses(frame(spark, rows)).where("doc_id = 3").count() == 3
 
 
 def test_boilerplate_lines(spark):
