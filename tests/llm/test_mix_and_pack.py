@@ -8,17 +8,63 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from cases import edge_rows, frame, prose, words
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pitchline.llm.mixing import mix_report, mixed, targets
+from pitchline.llm.mixing import _ranked_sources, mix_report, mixed, with_targets
 from pitchline.llm.packing import best_fit, cut_points, local_search, packed
 
 
-def test_targets_are_reshared():
-    got = targets({"a": 100, "b": 1000, "c": 1000, None: 10})
-    assert got["a"] == 200 and abs(sum(got.values()) - 1.5 * 2110) < 1e-6 and all(got[s] <= 2 * n + 1e-9 for s, n in {"a": 100, "b": 1000, "c": 1000, None: 10}.items())
-    assert abs(got["b"] / got["c"] - 2) < 1e-9 or got["b"] == 2000
-    assert targets({}) == {}
+def targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    """Brute force: reshare the excess one round after another."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, free, out = share * sum(sizes.values()), set(names), {}
+    while free:
+        unit = left / sum(weight[s] for s in free)
+        over = [s for s in names if s in free and unit * weight[s] > most * sizes[s]]
+        if not over:
+            return out | {s: unit * weight[s] for s in free}
+        for s in over:
+            out[s] = most * sizes[s]
+            left -= out[s]
+            free.remove(s)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_are_reshared(spark, seed):
+    rng = np.random.default_rng(seed)
+    sizes = {name: int(rng.integers(0, 10 ** int(rng.integers(1, 7)))) for name in ["b", "é", "\U0001f642", "zz", "a", "\uffee", None, "", "B"]}
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    frame_ = spark.createDataFrame([(i, s, sizes[s]) for i, s in enumerate(names)], "sid long, name string, source_size long")
+    got = {r["name"]: r["target"] for r in with_targets(frame_).collect()}
+    want = targets(sizes)
+    assert all(abs(got[s] - want[s]) <= 1e-9 * max(want[s], 1) for s in names)
+
+
+def test_sources_are_ranked_by_code_point(spark):
+    names = ["b", "é", "\U0001f642", "zz", "a", "\uffee", None, "", "B"]
+    rows = spark.createDataFrame([(s, 1) for s in names for _ in range(2)], "source string, size long")
+    got = [r["name"] for r in _ranked_sources(rows).orderBy("sid").collect()]
+    assert got == sorted(names, key=lambda s: (s is None, s or ""))
+
+
+def test_repeated_rows_are_taken_one_by_one(spark):
+    text = prose(3, 10)
+    rows = [(None, text, "a")] * 100 + [(i, prose(i, 30), "b") for i in range(1, 30)] + [(1, prose(1, 30), "b")] * 3
+    out = mix_report(frame(spark, rows)).collect()
+    taken, aim = sum(r["taken"] for r in out if r["doc_id"] is None), next(r["target"] for r in out if r["doc_id"] is None)
+    assert abs(taken - aim) <= 5 and {r["taken"] for r in out if r["doc_id"] is None} <= {0, 10, 20}
+    copies = Counter(r["doc_id"] for r in mixed(frame(spark, rows)).collect())
+    assert copies == Counter({d: n for d in {r["doc_id"] for r in out} if (n := sum(r["copies"] for r in out if r["doc_id"] == d))})
+
+
+def test_many_sources(spark):
+    """Each source is a host of its own; nothing of them is collected."""
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"), F.concat(F.lit("host"), F.col("id").cast("string")).alias("source"))
+    row = mix_report(docs).agg(F.sum("taken").alias("t"), F.sum("target").alias("aim"), F.count_if(F.col("taken") > 2 * F.col("size")).alias("over"), F.count_if(F.abs(F.col("taken") - F.col("target")) > F.col("size") / 2 + 1e-6).alias("far")).first()
+    assert abs(row["aim"] - 1.5 * sum(i % 7 + 1 for i in range(100_000))) < 1 and row["over"] == 0 and row["far"] == 0
 
 
 @pytest.fixture(scope="module")
