@@ -23,7 +23,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     Which ones is decided by a hash of the id, so reruns agree; in that order documents are taken, whole, until the
     next one would exceed the bytes. Rows without a label are left out; where an id has several labels the larger
     share decides, where it has several texts the first by code point. Ids and labels of the sample alone are
-    broadcast, and `rows` bounds them.
+    broadcast, and `rows` bounds them. The sample lies in a file that `release` deletes.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("label")).where("doc_id is not null and label is not null")
     known = known.where(fold(F.col("doc_id"), folds) != held).groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
@@ -33,7 +33,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     # One window over at most `rows` numbers.
     so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
     within = sample.select("doc_id", so_far.alias("bytes")).where(F.col("bytes") <= most_bytes).select("doc_id")
-    return sample.join(F.broadcast(within), "doc_id").select("doc_id", "text", "label")
+    out = sample.join(F.broadcast(within), "doc_id").select("doc_id", "text", "label")
+    out.cut_path = sample.cut_path
+    return out
 
 
 def platt(margins: np.ndarray, labels: np.ndarray, steps: int = 100) -> tuple[float, float]:

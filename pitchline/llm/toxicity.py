@@ -32,6 +32,8 @@ NEIGHBOURS = 15
 BLOCK = 64
 #: Terms of more than this share of the entries are kept as dense rows.
 COMMON = 1 / 16
+#: Cosines within this distance may count as equal.
+SAME = 1e-6
 #: Queries that are multiplied with the dense rows at a time.
 TOGETHER = 64
 #: Tasks that score the left-out examples.
@@ -144,16 +146,21 @@ class BlockMaxIndex:
         blocks = -(-len(ids) // BLOCK)
         frequent = np.bincount(term, minlength=n_terms) > max(common * len(ids), 1)
         dense_at = np.where(frequent, np.cumsum(frequent) - 1, -1)
-        dense = np.zeros((int(frequent.sum()), blocks * BLOCK))
+        dense = np.zeros((int(frequent.sum()), blocks * BLOCK), np.float32)
         often = frequent[term]
         dense[dense_at[term[often]], entry[often]] = weight[often]
         entry, term, weight = entry[~often], term[~often], weight[~often]
         order = np.lexsort((entry, term))
-        entry, term, weight = entry[order], term[order], weight[order]
+        entry, term, weight = entry[order].astype(np.int32), term[order], weight[order].astype(np.float32)
         block = entry // BLOCK
         new = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
-        bound = np.maximum.reduceat(weight, new) if len(new) else np.zeros(0)
-        return BlockMaxIndex(np.searchsorted(term[new], np.arange(n_terms + 1)), block[new], bound, np.append(new, len(term)), entry, weight, dense_at, dense, ids, count, positive)
+        bound = np.maximum.reduceat(weight, new) if len(new) else np.zeros(0, np.float32)
+        cells, first = np.searchsorted(term[new], np.arange(n_terms + 1)), np.append(new, len(term))
+        return BlockMaxIndex(cells.astype(np.int32), block[new], bound, first.astype(np.int32), entry, weight, dense_at.astype(np.int32), dense, ids, count, positive)
+
+    def ready(self) -> BlockMaxIndex:
+        """The index with dense rows in double precision, for many queries."""
+        return replace(self, dense=self.dense.astype(np.float64))
 
     def frequent_parts(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, low: int, high: int) -> np.ndarray:
         """(high - low, entries): what the frequent terms add to the cosines of the queries low to high."""
@@ -166,7 +173,8 @@ class BlockMaxIndex:
     def nearest(self, term: np.ndarray, weight: np.ndarray, frequent: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k entries of largest cosine above 0 with the unit vector; `without` is left out.
 
-        Cosines count as equal when they agree in ten decimals; of these the lower number comes first.
+        Cosines count as equal when they agree in six decimals, as weights are kept in single precision; of these the
+        lower number comes first.
         """
         low, high = self.cells[term], self.cells[term + 1]
         cell = spans(low, high)
@@ -180,7 +188,7 @@ class BlockMaxIndex:
         # Frequent terms alone already say how large the k-th best cosine is at least.
         least = np.partition(frequent, -k)[-k] if len(frequent) > k else 0.0
         order = np.argsort(-bound, kind="stable")
-        order = order[: np.count_nonzero(bound > max(least - 1e-9, 0))]
+        order = order[: np.count_nonzero(bound > max(least - SAME, 0))]
         best, cosine, wave = np.zeros(0, np.int64), np.zeros(0), 4
         while len(order):
             wanted = np.zeros(len(bound), bool)
@@ -189,15 +197,15 @@ class BlockMaxIndex:
             a, b = self.first[cell[now]], self.first[cell[now] + 1]
             at = spans(a, b)
             score = frequent + np.bincount(self.entry[at], np.repeat(of_cell[now], b - a) * self.weight[at], minlength=len(frequent))
-            own = np.flatnonzero((score > max(least - 1e-9, 5e-11)) & np.repeat(wanted, BLOCK))
-            best, cosine = np.concatenate([best, own]), np.concatenate([cosine, np.round(score[own], 10)])
+            own = np.flatnonzero((score > max(least - SAME, SAME / 2)) & np.repeat(wanted, BLOCK))
+            best, cosine = np.concatenate([best, own]), np.concatenate([cosine, np.round(score[own], 6)])
             top = np.lexsort((best, -cosine))[:k]
             best, cosine = best[top], cosine[top]
             order = order[wave:]
             if len(best) == k:
                 # A block that can only tie with the last neighbour is of use if it has a lower number.
                 least = max(least, cosine[-1])
-                order = order[(bound[order] > least + 5e-11) | ((bound[order] > least - 6e-11) & (order <= best[-1] // BLOCK))]
+                order = order[(bound[order] > least + SAME / 2) | ((bound[order] > least - SAME) & (order <= best[-1] // BLOCK))]
             wave *= 4
         return best, cosine
 
@@ -214,6 +222,9 @@ class ToxicityModel:
     slope: float = 1.0
     intercept: float = 0.0
 
+    def ready(self) -> ToxicityModel:
+        return replace(self, index=self.index.ready())
+
     def vectors(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, rows: int) -> np.ndarray:
         """Weights of the postings (row, term, count), of norm 1 by row; all 0 in rows without a term of any weight."""
         weight = (1 + np.log(count)) * self.scale[term]
@@ -310,9 +321,10 @@ def calibrated(model: ToxicityModel, votes: np.ndarray, labels: np.ndarray) -> T
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, rows: int = SAMPLE_ROWS, neighbours: int = NEIGHBOURS) -> ToxicityModel:
     """Terms and examples from at most `rows` labelled documents outside the held-out fold, frequencies from all documents."""
     spark = docs.sparkSession
-    sample = training_sample(docs, labels, label, folds, held, rows)
-    sample = cut(sample.mapInArrow(_counted, "doc_id long, label int, terms array<long>, counts array<long>"), "examples")
-    examples = sample.orderBy("doc_id").toArrow()
+    texts = training_sample(docs, labels, label, folds, held, rows)
+    sample = cut(texts.mapInArrow(_counted, "doc_id long, label int, terms array<long>, counts array<long>"), "examples")
+    release(texts)
+    examples = sample.toArrow().sort_by("doc_id")
     wanted = np.unique(examples["terms"].combine_chunks().flatten().to_numpy().view(np.uint64))
     held_by = base_view(docs).select("text").mapInArrow(_present(wanted), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = held_by["term"].to_numpy(), held_by["n"].to_numpy()
@@ -323,6 +335,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, ids, of_row = shared.value
+        m = m.ready()
         for batch in batches:
             of = of_row[np.searchsorted(ids, batch["doc_id"].to_numpy())]
             n = np.diff(batch["terms"].offsets.to_numpy())
@@ -332,7 +345,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
             yield pa.record_batch([pa.array(votes, pa.float64()), batch["label"]], ["vote", "label"])
 
     votes = sample.repartition(CALIBRATION_TASKS).mapInArrow(left_out, "vote double, label int").toArrow()
-    shared.unpersist()
+    shared.destroy()
     release(sample)
     return calibrated(model, votes["vote"].to_numpy(), votes["label"].to_numpy())
 
@@ -342,7 +355,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = shared.value.ready()
         find = Finder(m.wanted)
         for batch in batches:
             texts = as_strings(batch["text"])

@@ -113,10 +113,10 @@ def test_nearest_examples_are_exact(common):
         t = np.flatnonzero(dense[i])
         frequent = index.frequent_parts(np.zeros(len(t), int), t, dense[i, t], 0, 1)[0]
         near, cosine = index.nearest(t, dense[i, t], frequent, 7, without=i)
-        all_ = np.round(dense @ dense[i], 10)
+        all_ = np.round(dense @ dense[i], 6)
         all_[i] = 0
         want = np.lexsort((np.arange(n), -all_))[:7]
-        assert near.tolist() == want[all_[want] > 0].tolist() and np.allclose(cosine, all_[near], atol=1e-9)
+        assert near.tolist() == want[all_[want] > 0].tolist() and np.allclose(cosine, all_[near], atol=2e-6)
 
 
 def dense_toxicity(texts, labels, train, k=15):
@@ -140,7 +140,7 @@ def dense_toxicity(texts, labels, train, k=15):
         for j, t in enumerate(train):
             if t != own and v[t].any():
                 groups[tuple(tf[t])].append(j)
-        near = sorted(((round(float(v[i] @ v[train[g[0]]]), 10), g) for g in groups.values()), key=lambda e: -e[0])
+        near = sorted(((round(float(v[i] @ v[train[g[0]]]), 6), g) for g in groups.values()), key=lambda e: -e[0])
         near = [(1 / (1.05 - min(c, 1)), np.mean(y[g])) for c, g in near[:k] if c > 0]
         return (sum(w * p for w, p in near) + share) / (sum(w for w, _ in near) + 1)
 
@@ -157,7 +157,7 @@ def test_toxicity_is_that_of_dense_vectors(spark):
     known = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
     got = {r["doc_id"]: r for r in toxicity_scores(docs, known).collect()}
     train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5]
-    assert np.allclose([got[i]["score"] for i in range(len(texts))], dense_toxicity(texts, labels, train), atol=1e-5)
+    assert np.allclose([got[i]["score"] for i in range(len(texts))], dense_toxicity(texts, labels, train), atol=1e-4)
     assert all(got[i]["held_out"] == (i not in train) for i in got)
 
 
