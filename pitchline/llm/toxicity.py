@@ -57,7 +57,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in text_chunks(texts):
             w = terms(texts.slice(a, b - a))
             rows = [np.unique(w.hash[i:j], return_counts=True) for i, j in zip(w.first[:-1], w.first[1:])]
-            lists = [pa.array([x[k].view(np.int64) for x in rows], pa.list_(pa.int64())) for k in (0, 1)]
+            lists = [pa.array([t.view(np.int64) for t, _ in rows], pa.list_(pa.int64())), pa.array([n.astype(np.int32) for _, n in rows], pa.list_(pa.int32()))]
             yield pa.record_batch([batch["doc_id"].slice(a, b - a), batch["label"].slice(a, b - a), *lists], ["doc_id", "label", "terms", "counts"])
 
 
@@ -150,7 +150,7 @@ class BlockMaxIndex:
         often = frequent[term]
         dense[dense_at[term[often]], entry[often]] = weight[often]
         entry, term, weight = entry[~often], term[~often], weight[~often]
-        order = np.lexsort((entry, term))
+        order = np.argsort(term.astype(np.int64) * len(ids) + entry)
         entry, term, weight = entry[order].astype(np.int32), term[order], weight[order].astype(np.float32)
         block = entry // BLOCK
         new = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
@@ -263,46 +263,73 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-(self.slope * np.log(vote / (1 - vote)) + self.intercept))))
 
 
-def assemble(examples: pa.Table, wanted: np.ndarray, documents: np.ndarray, total: int, neighbours: int = NEIGHBOURS) -> tuple[ToxicityModel, np.ndarray]:
-    """The uncalibrated model of examples (doc_id, label, terms, counts), and each example's entry (-1: no vector).
+@dataclass
+class Examples:
+    """Labelled rows, by id: `size` distinct terms each, as numbers in `wanted` (sorted hashes), with their counts."""
+
+    ids: np.ndarray
+    labels: np.ndarray
+    size: np.ndarray
+    term: np.ndarray
+    count: np.ndarray
+    wanted: np.ndarray
+
+    @staticmethod
+    def of(rows: pa.Table) -> Examples:
+        rows = rows.sort_by("doc_id")
+        terms, counts = (rows[c].combine_chunks() for c in ("terms", "counts"))
+        hashes = terms.flatten().to_numpy().view(np.uint64)
+        wanted = np.unique(hashes)
+        return Examples(rows["doc_id"].to_numpy(), rows["label"].to_numpy().astype(np.int64), np.diff(terms.offsets.to_numpy()), np.searchsorted(wanted, hashes).astype(np.int32), counts.flatten().to_numpy(), wanted)
+
+    def parts(self, rows: int = 256) -> Iterator[tuple[slice, slice, np.ndarray]]:
+        """(rows, postings, row of each posting within these) of so many rows at a time, which keeps work arrays small."""
+        edge = np.concatenate([[0], np.cumsum(self.size)])
+        for a in range(0, len(self.ids), rows):
+            b = min(a + rows, len(self.ids))
+            yield slice(a, b), slice(edge[a], edge[b]), np.repeat(np.arange(b - a), self.size[a:b])
+
 
-    documents: how many of all `total` documents hold each wanted term.
+def assemble(examples: Examples, documents: np.ndarray, total: int, neighbours: int = NEIGHBOURS) -> tuple[ToxicityModel, np.ndarray]:
+    """The uncalibrated model, and each example's entry (-1: no vector).
+
+    documents: how many of all `total` documents hold each term.
     """
-    ids, labels = examples["doc_id"].to_numpy(), examples["label"].to_numpy().astype(np.int64)
-    lists = examples["terms"].combine_chunks()
-    n = np.diff(lists.offsets.to_numpy())
-    row, term = np.repeat(np.arange(len(ids)), n), np.searchsorted(wanted, lists.flatten().to_numpy().view(np.uint64))
-    count = examples["counts"].combine_chunks().flatten().to_numpy()
+    ids, labels, wanted, term = examples.ids, examples.labels, examples.wanted, examples.term
     of = int((labels == 0).sum()), int((labels == 1).sum())
-    with_ = np.stack([np.bincount(term[labels[row] == c], minlength=len(wanted)) for c in (0, 1)], 1)
+    toxic = np.repeat(labels == 1, examples.size)
+    with_ = np.stack([np.bincount(term[~toxic], minlength=len(wanted)), np.bincount(term[toxic], minlength=len(wanted))], 1)
     scale = np.log((1 + total) / (1 + documents)) + 1
     if min(of):
         scale = scale * likelihood_ratio(with_, of)
     share = float((labels.sum() + 0.5) / (len(labels) + 1))
-    model = ToxicityModel(wanted, scale, None, share, neighbours)
-    weight = model.vectors(row, term, count, len(ids))
+    model = ToxicityModel(wanted, scale.astype(np.float32), None, share, neighbours)
 
     # Equal vectors are one entry, known by two hashes; entries that share their heaviest terms stand together.
-    def key(salt: int) -> np.ndarray:
-        out = np.zeros(len(ids), np.uint64)
-        np.add.at(out, row, mix(mix(wanted[term] + np.uint64(salt)) + count.astype(np.uint64)))
-        return out
-
-    full = np.bincount(row, weight, minlength=len(ids)) > 0
-    by_weight = np.lexsort((term, -weight, row))
-    start = np.cumsum(n) - n
-    heavy = [np.where(n > j, term[by_weight[np.minimum(start + j, len(term) - 1)]], -1) if len(term) else np.full(len(ids), -1) for j in (0, 1)]
-    keys = [key(1), key(2)]
+    weight, full = np.zeros(len(term), np.float32), np.zeros(len(ids), bool)
+    keys, heavy = np.zeros((2, len(ids)), np.uint64), np.full((2, len(ids)), -1)
+    for rows, at, row in examples.parts():
+        t, n = term[at], examples.count[at].astype(np.uint64)
+        w = model.vectors(row, t, n, rows.stop - rows.start)
+        weight[at] = w
+        full[rows] = np.bincount(row, w, minlength=rows.stop - rows.start) > 0
+        for k in (0, 1):
+            np.add.at(keys[k, rows], row, mix(mix(wanted[t] + np.uint64(k + 1)) + n))
+        order = np.lexsort((t, -w, row))
+        first = np.searchsorted(row[order], np.arange(rows.stop - rows.start))
+        for k in (0, 1):
+            has = np.flatnonzero(examples.size[rows] > k)
+            heavy[k, rows.start + has] = t[order[first[has] + k]]
     order = np.lexsort((ids, keys[1], keys[0], heavy[1], heavy[0], ~full))[: full.sum()]
     new = np.ones(len(order), bool)
     new[1:] = (np.diff(keys[0][order]) != 0) | (np.diff(keys[1][order]) != 0)
-    of_row = np.full(len(ids), -1)
+    of_row = np.full(len(ids), -1, np.int32)
     of_row[order] = np.cumsum(new) - 1
     leader = np.zeros(len(ids), bool)
     leader[order[new]] = True
-    entries = int(new.sum())
-    own = leader[row] & (weight > 0)
-    index = BlockMaxIndex.build(of_row[row[own]], term[own], weight[own], ids[order[new]], np.bincount(of_row[order], minlength=entries), np.bincount(of_row[order], labels[order], minlength=entries).astype(np.int64), len(wanted))
+    own = np.repeat(leader, examples.size) & (weight > 0)
+    count, positive = np.bincount(of_row[order]), np.bincount(of_row[order], labels[order]).astype(np.int64)
+    index = BlockMaxIndex.build(np.repeat(of_row, examples.size)[own], term[own], weight[own], ids[order[new]], count, positive, len(wanted))
     empty = ~full
     return replace(model, index=index, share=float((labels[empty].sum() + 0.5) / (empty.sum() + 1)) if empty.any() else share), of_row
 
@@ -322,16 +349,16 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
     """Terms and examples from at most `rows` labelled documents outside the held-out fold, frequencies from all documents."""
     spark = docs.sparkSession
     texts = training_sample(docs, labels, label, folds, held, rows)
-    sample = cut(texts.mapInArrow(_counted, "doc_id long, label int, terms array<long>, counts array<long>"), "examples")
+    sample = cut(texts.mapInArrow(_counted, "doc_id long, label int, terms array<long>, counts array<int>"), "examples")
     release(texts)
-    examples = sample.toArrow().sort_by("doc_id")
-    wanted = np.unique(examples["terms"].combine_chunks().flatten().to_numpy().view(np.uint64))
-    held_by = base_view(docs).select("text").mapInArrow(_present(wanted), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    examples = Examples.of(sample.toArrow())
+    held_by = base_view(docs).select("text").mapInArrow(_present(examples.wanted), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = held_by["term"].to_numpy(), held_by["n"].to_numpy()
-    documents = np.zeros(len(wanted), np.int64)
+    documents = np.zeros(len(examples.wanted), np.int64)
     documents[term[term >= 0]] = n[term >= 0]
-    model, entry = assemble(examples, wanted, documents, int(n[term < 0].sum()), neighbours)
-    shared = spark.sparkContext.broadcast((model, examples["doc_id"].to_numpy(), entry))
+    model, entry = assemble(examples, documents, int(n[term < 0].sum()), neighbours)
+    shared = spark.sparkContext.broadcast((model, examples.ids, entry))
+    del examples
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, ids, of_row = shared.value
