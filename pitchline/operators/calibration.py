@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.outcomes import encode
 from ..schema import PROBABILITIES
 from .folds import calibration_splits, with_groups
-from .models import MlModel, OutcomeModel
+from .models import FittedTrees, MlModel, OutcomeModel
 from .scoring import score_columns
 
 METHODS = ("sigmoid", "isotonic")
@@ -33,7 +33,7 @@ class Sigmoid:
 class Calibrated:
     """A fitted model with a curve for each class over its margins."""
 
-    base: MlModel
+    base: MlModel | FittedTrees
     method: str
     curves: tuple[Sigmoid | Model, ...]
 

@@ -1,6 +1,8 @@
 """Families of features, each as of strictly before a match's day, and as of a cutoff for fixtures.
 
-Every family is a pair of functions: `*_features(matches)` gives the rows of matches with the family's columns,
+Every family is a pair of functions: `*_features(matches, settings, history)` gives the rows of matches with the
+family's columns, which it derives from the history (by default the matches themselves, perhaps before other families'
+columns were added),
 `*_as_of(fixtures, history)` the rows of fixtures (league, date, home, away) with them, where the history has been
 cut already and a fixture's own date only decides its season. All are plain joins and windows but the ratings.
 """
@@ -21,7 +23,6 @@ from .ratings import elo_as_of, elo_features
 from .windows import before_day, count, joined, mean, team_rows
 
 
-
 def _record_columns(out: DataFrame, family: str, side: str) -> DataFrame:
     """Means and count from the columns <side>_points, _gf, _ga, _n."""
     n = F.col(f"{side}_n")
@@ -29,8 +30,6 @@ def _record_columns(out: DataFrame, family: str, side: str) -> DataFrame:
     return out.withColumns(named | {f"{family}_{side}_n": count(n)}).drop(*[f"{side}_{c}" for c in ("points", "gf", "ga", "n")])
 
 
-
-
 def _record_sums() -> dict[str, Column]:
     return {"points": F.col("points"), "gf": F.col("gf"), "ga": F.col("ga"), "n": F.lit(1)}
 
@@ -72,9 +71,9 @@ def _with_sides(matches: DataFrame, home: DataFrame, away: DataFrame) -> DataFra
     return joined(out, away, {"league": "league", "away": "team", "date": "date"}, "away_")
 
 
-def form_features(matches: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+def form_features(matches: DataFrame, settings: Settings = SETTINGS, history: DataFrame | None = None) -> DataFrame:
     """Means of points and goals over each side's last few matches of strictly earlier days."""
-    state = _form_state(team_rows(matches), settings)
+    state = _form_state(team_rows(history or matches), settings)
     return _form_columns(_form_columns(_with_sides(matches, state, state), "home"), "away")
 
 
@@ -113,9 +112,9 @@ def _paired(df: DataFrame) -> DataFrame:
     return df.withColumns({"__low": F.least("home", "away"), "__high": F.greatest("home", "away")})
 
 
-def h2h_features(matches: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+def h2h_features(matches: DataFrame, settings: Settings = SETTINGS, history: DataFrame | None = None) -> DataFrame:
     """Matches, wins, draws and mean goals of earlier meetings, seen from today's home side."""
-    state = before_day(_meetings(matches), ["league", "low", "high"], {c: F.col(c) for c in _TALLY} | {"n": F.lit(1)})
+    state = before_day(_meetings(history or matches), ["league", "low", "high"], {c: F.col(c) for c in _TALLY} | {"n": F.lit(1)})
     state = state.withColumnsRenamed({"low": "p_low", "high": "p_high"})
     return _h2h_columns(joined(_paired(matches), state, {"league": "league", "__low": "p_low", "__high": "p_high", "date": "date"}, "h_"))
 
@@ -137,9 +136,9 @@ def _strength_state(matches: DataFrame, side: str) -> DataFrame:
     return before_day(_at_venue(matches, side), ["league", "team", "season"], _record_sums()).drop("season")
 
 
-def strength_features(matches: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+def strength_features(matches: DataFrame, settings: Settings = SETTINGS, history: DataFrame | None = None) -> DataFrame:
     """The home side's home record and the away side's away record in the season so far."""
-    out = _with_sides(matches, _strength_state(matches, "home"), _strength_state(matches, "away"))
+    out = _with_sides(matches, _strength_state(history or matches, "home"), _strength_state(history or matches, "away"))
     return _record_columns(_record_columns(out, "strength", "home"), "strength", "away")
 
 
@@ -167,17 +166,18 @@ def _season_state(rows: DataFrame) -> DataFrame:
     return before_day(rows, ["league", "team", "season"], {"played": F.lit(1)}, last_day=True).drop("season")
 
 
-def season_features(matches: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+def season_features(matches: DataFrame, settings: Settings = SETTINGS, history: DataFrame | None = None) -> DataFrame:
     """Matchday of either side, season's progress, and days since either side's last match this season."""
-    state = _season_state(team_rows(matches))
+    state = _season_state(team_rows(history or matches))
     return _season_columns(_with_sides(matches, state, state), settings)
 
 
-def side_features(matches: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+def side_features(matches: DataFrame, settings: Settings = SETTINGS, history: DataFrame | None = None) -> DataFrame:
     """Form, strength and season at once: states are put together by team and day first, so matches are joined once a side."""
-    key, rows = ["league", "team", "date"], team_rows(matches)
+    history = history or matches
+    key, rows = ["league", "team", "date"], team_rows(history)
     both = _form_state(rows, settings).join(_season_state(rows), key)
-    out = _with_sides(matches, *[both.join(_strength_state(matches, side), key, "left") for side in ("home", "away")])
+    out = _with_sides(matches, *[both.join(_strength_state(history, side), key, "left") for side in ("home", "away")])
     for side in ("home", "away"):
         # The record's n is the strength's; form counts its own.
         out = _record_columns(out, "strength", side)

@@ -16,9 +16,10 @@ def feature_table(matches: DataFrame, families: tuple[Family, ...] = ALL_FAMILIE
     """Matches with every family's columns, which know strictly earlier days only; 40 columns with all families."""
     together = [family for family in ALL_FAMILIES if family.name in BY_SIDE]
     fused = all(family in families for family in together)
-    out = side_features(matches, settings) if fused else matches
     rest = [family for family in families if not (fused and family in together)]
-    out = reduce(lambda df, family: family.features(df, settings), rest, out)
+    # Every state comes from matches itself; ratings, which pass all columns through their fold, go first.
+    out = reduce(lambda df, family: family.features(df, settings, matches), sorted(rest, key=lambda family: family.name != "elo"), matches)
+    out = side_features(out, settings, matches) if fused else out
     return out.select(*KEY, *[c for family in families for c in family.columns], *ODDS, *GOALS, "result")
 
 

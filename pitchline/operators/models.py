@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +17,7 @@ from ..config import SETTINGS
 from ..functions.odds import implied
 from ..functions.outcomes import encode
 from ..schema import FEATURE_COLUMNS, PROBABILITIES
-from . import goals
+from . import goals, trees
 
 
 class Fitted(Protocol):
@@ -103,20 +103,14 @@ class MlModel:
         return VectorAssembler(inputCols=[f"x_{c}" for c in self.features], outputCol="__x").transform(scaled).drop(*[f"x_{c}" for c in self.features])
 
     def margins(self, df: DataFrame) -> DataFrame:
-        """df with margin_0 to margin_2: decision values of a multinomial model, probabilities of one-against-rest trees."""
-        out = self._assembled(df)
-        if len(self.models) == 1:
-            out = self.models[0].transform(out)
-            raw = vector_to_array("rawPrediction")
-            return out.withColumns({f"margin_{k}": F.get(raw, F.lit(k)) for k in range(3)}).drop("__x", "rawPrediction", "probability", "prediction")
-        for k, model in enumerate(self.models):
-            out = model.transform(out).withColumn(f"__p{k}", F.get(vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
-        total = F.col("__p0") + F.col("__p1") + F.col("__p2")
-        return out.withColumns({f"margin_{k}": F.col(f"__p{k}") / total for k in range(3)}).drop("__x", "__p0", "__p1", "__p2")
+        """df with margin_0 to margin_2: the decision values of the multinomial model."""
+        out = self.models[0].transform(self._assembled(df))
+        raw = vector_to_array("rawPrediction")
+        return out.withColumns({f"margin_{k}": F.get(raw, F.lit(k)) for k in range(3)}).drop("__x", "rawPrediction", "probability", "prediction")
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = self.margins(df)
-        raw = [F.exp(F.col(f"margin_{k}") - F.greatest("margin_0", "margin_1", "margin_2")) if len(self.models) == 1 else F.col(f"margin_{k}") for k in range(3)]
+        raw = [F.exp(F.col(f"margin_{k}") - F.greatest("margin_0", "margin_1", "margin_2")) for k in range(3)]
         total = raw[0] + raw[1] + raw[2]
         return out.withColumns({p: r / total for p, r in zip(PROBABILITIES, raw)}).drop("margin_0", "margin_1", "margin_2")
 
@@ -146,26 +140,36 @@ class Logistic:
         return MlModel(scaling, (learner.fit(data),), self.features)
 
 
+@dataclass(frozen=True)
+class FittedTrees:
+    """Boosted trees; calibration starts from their probabilities."""
+
+    forest: trees.Forest
+    features: tuple[str, ...]
+
+    def margins(self, df: DataFrame) -> DataFrame:
+        return trees.predicted(df, self.forest, self.features, ("margin_0", "margin_1", "margin_2"))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return trees.predicted(df, self.forest, self.features, PROBABILITIES)
+
+
 @dataclass(frozen=True)
 class BoostedTrees:
-    """Boosted trees, one against the rest for each class, normalised; nulls are filled and counts tell they were."""
+    """Multiclass boosted trees with the softmax loss; missing values are routed by the splits themselves.
+
+    Fitted on at most most_rows labelled rows, ten times the history that it was meant for; the rest only predicts.
+    """
 
     name: str = "boosted_trees"
     features: tuple[str, ...] = FEATURE_COLUMNS
     rounds: int = 200
     depth: int = 3
     rate: float = 0.1
+    most_rows: int = 200_000
 
-    def fit(self, table: DataFrame) -> MlModel:
-        rows = _labelled(table)
-        shell = MlModel(fit_scaling(rows, self.features), (), self.features)
-        data = shell._assembled(rows).select("__x", "__label").persist()
-        try:
-            learner = GBTClassifier(featuresCol="__x", labelCol="__y", maxDepth=self.depth, maxIter=self.rounds, stepSize=self.rate, seed=SETTINGS.random_seed, checkpointInterval=-1)
-            models = tuple(learner.fit(data.withColumn("__y", (F.col("__label") == k).cast("double"))) for k in range(3))
-        finally:
-            data.unpersist()
-        return MlModel(shell.scaling, models, self.features)
+    def fit(self, table: DataFrame) -> FittedTrees:
+        return FittedTrees(trees.train(_labelled(table), self.features, self.rounds, self.depth, self.rate, self.most_rows), self.features)
 
 
 @dataclass(frozen=True)
@@ -194,11 +198,13 @@ class Goals:
 # --- saving -------------------------------------------------------------------------------------------------------
 
 
-def save_model(model: MlModel | FittedGoals, path: str, spark: SparkSession) -> None:
-    """Write a fitted model as Spark ML models or Parquet, with its scaling and features beside it."""
+def save_model(model: MlModel | FittedTrees | FittedGoals, path: str, spark: SparkSession) -> None:
+    """Write a fitted model as Spark ML models, Parquet or JSON, with its scaling and features beside it."""
     if isinstance(model, FittedGoals):
         model.strengths.write.mode("overwrite").parquet(f"{path}/strengths")
         head = {"kind": "goals", "max_goals": model.max_goals}
+    elif isinstance(model, FittedTrees):
+        head = {"kind": "trees", "features": list(model.features), "forest": model.forest.as_dict()}
     else:
         PipelineModel(stages=list(model.models)).write().overwrite().save(f"{path}/models")
         s = model.scaling
@@ -206,10 +212,12 @@ def save_model(model: MlModel | FittedGoals, path: str, spark: SparkSession) ->
     spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
 
 
-def load_model(path: str, spark: SparkSession) -> MlModel | FittedGoals:
+def load_model(path: str, spark: SparkSession) -> MlModel | FittedTrees | FittedGoals:
     head = json.loads(spark.read.text(f"{path}/head").first()["value"])
     if head["kind"] == "goals":
         return FittedGoals(spark.read.parquet(f"{path}/strengths"), head["max_goals"])
+    if head["kind"] == "trees":
+        return FittedTrees(trees.Forest.from_dict(head["forest"]), tuple(head["features"]))
     stages = PipelineModel.load(f"{path}/models").stages
     return MlModel(Scaling(*[tuple(head[k]) for k in ("columns", "median", "mean", "deviation")]), tuple(stages), tuple(head["features"]))
 

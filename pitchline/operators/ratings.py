@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import SETTINGS, Settings
 from ..functions.outcomes import elo_score
@@ -45,33 +47,36 @@ class Ratings:
         return known
 
 
-def _ordered(matches: DataFrame) -> DataFrame:
+def _ordered(matches: DataFrame, *more: str) -> DataFrame:
     """League by league in order of play; a league's rows lie in one partition."""
-    rows = matches.select(*KEY, elo_score(F.col("result")).alias("score"))
+    rows = matches.select(*(more or KEY), elo_score(F.col("result")).alias("__score"))
     return rows.repartition("league").sortWithinPartitions(*KEY)
 
 
-def elo_features(matches: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+def elo_features(matches: DataFrame, settings: Settings = SETTINGS, history: DataFrame | None = None) -> DataFrame:
     """Either side's rating before the day, and the difference with the home advantage added.
 
-    A team without a match so far has the base rating.
+    A team without a match so far has the base rating. The fold carries all columns along, so nothing is joined back;
+    the history are the matches themselves.
     """
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         league, ratings = None, Ratings(settings)
         for batch in batches:
             home, away = [], []
-            for now, day, h, a, score in zip(*(batch[c] for c in (*KEY, "score"))):
+            for now, day, h, a, score in zip(*(batch[c].to_pylist() for c in (*KEY, "__score"))):
                 if now != league:
                     league, ratings = now, Ratings(settings)
                 before = ratings.play(day, h, a, score)
                 home.append(before[0])
                 away.append(before[1])
-            yield batch[list(KEY)].assign(elo_home=home, elo_away=away)
+            own = [batch[c] for c in columns]
+            yield pa.record_batch([*own, pa.array(home, pa.float64()), pa.array(away, pa.float64())], [*columns, "elo_home", "elo_away"])
 
-    rated = _ordered(matches).mapInPandas(fold, "league string, date date, home string, away string, elo_home double, elo_away double")
-    diff = F.col("elo_home") + F.lit(settings.elo_home_advantage) - F.col("elo_away")
-    return matches.join(rated.withColumn("elo_diff", diff), list(KEY), "left")
+    columns = matches.columns
+    schema = T.StructType([*matches.schema.fields, T.StructField("elo_home", T.DoubleType()), T.StructField("elo_away", T.DoubleType())])
+    rated = _ordered(matches, *columns).mapInArrow(fold, schema)
+    return rated.withColumn("elo_diff", F.col("elo_home") + F.lit(settings.elo_home_advantage) - F.col("elo_away"))
 
 
 def elo_ratings(matches: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
@@ -81,7 +86,7 @@ def elo_ratings(matches: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
         found: dict[str, Ratings] = {}
         played: dict[tuple[str, str], int] = {}
         for batch in batches:
-            for league, day, h, a, score in zip(*(batch[c] for c in (*KEY, "score"))):
+            for league, day, h, a, score in zip(*(batch[c] for c in (*KEY, "__score"))):
                 found.setdefault(league, Ratings(settings)).play(day, h, a, score)
                 for team in (h, a):
                     played[league, team] = played.get((league, team), 0) + 1

@@ -73,9 +73,8 @@ def recent_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add()
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest and size of the two smallest tables' files."""
-    files = spark.read.format("binaryFile").load([f"{sf_dir}/region.parquet", f"{sf_dir}/nation.parquet"])
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    """Digest and size of every file of the tables."""
+    return source.file_digests(spark, sf_dir, "*.parquet").drop("path")
 
 
 @BOOK.add(sql(f"SELECT {_ALL} FROM m"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.odds import usable
 from ..operators import bakeoff as contest
 from ..operators import calibration, folds, goals, models
 from ..operators.features import feature_table, fixture_features
@@ -147,8 +146,7 @@ def calibration_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.add()
 def bakeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates under the forward-chaining folds of the settings."""
-    table = materialised(feature_table(materialised(matches(spark, sf_dir).where(usable()), "matches")), "features")
-    return contest.compare(table)
+    return contest.compare(_table(spark, sf_dir))
 
 
 @BOOK.add()

@@ -78,12 +78,17 @@ def scan_folder(spark: SparkSession, folder: str, divisions: dict[str, str] = DI
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
 
 
+def file_digests(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """path, filename, sha256, bytes of all files of that name pattern below a folder; a task reads one file at a time."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+
 def file_manifest(spark: SparkSession, folder: str, divisions: dict[str, str] = DIVISIONS) -> DataFrame:
     """league, division, season, filename, sha256, bytes of the CSV files of known divisions."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    known = F.create_map(*[F.lit(x) for pair in divisions.items() for x in pair])
-    rows = files.select(known[division_of(F.col("path"))].alias("league"), division_of(F.col("path")).alias("division"), F.regexp_extract(name, r"_(\d{4})\.csv$", 1).alias("season"), name.alias("filename"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    division, known = division_of(F.col("path")), F.create_map(*[F.lit(x) for pair in divisions.items() for x in pair])
+    season = F.regexp_extract("filename", r"_(\d{4})\.csv$", 1)
+    rows = file_digests(spark, folder).select(known[division].alias("league"), division.alias("division"), season.alias("season"), "filename", "sha256", "bytes")
     return rows.where("league is not null")
 
 

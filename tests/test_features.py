@@ -123,7 +123,7 @@ def test_far_fixture_keeps_form_but_starts_a_season(spark, season):
 
 def test_own_family(spark, season):
     """A family of the user's own: the number of goals ever seen is not known, that of the day before is."""
-    mine = Family("mine", ("answer",), lambda m, s: m.withColumn("answer", F.lit(42.0)), lambda f, h, s: f.withColumn("answer", F.lit(42.0)))
+    mine = Family("mine", ("answer",), lambda m, s, _: m.withColumn("answer", F.lit(42.0)), lambda f, h, s: f.withColumn("answer", F.lit(42.0)))
     assert feature_table(frame(spark, season), (mine,)).select("answer").distinct().first()[0] == 42.0
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitchline.operators import bakeoff, calibration, goals, models
+from pitchline.operators import bakeoff, calibration, goals, models, trees
 from pitchline.operators.features import feature_table
 from pitchline.schema import KEY, MATCHES
 from pitchline.sources.shared import materialised
@@ -99,8 +99,41 @@ def test_logistic_gives_an_unseen_class_nothing(table):
     assert max(r["p_away"] for r in rows) < 0.01
 
 
-def test_trees(table):
-    check(models.BoostedTrees(rounds=3).fit(table).transform(table), 108)
+def test_trees(spark, table, tmp_path):
+    model = models.BoostedTrees(rounds=20).fit(table)
+    rows = check(model.transform(table), 108)
+    models.save_model(model, f"file://{tmp_path}/trees", spark)
+    again = models.load_model(f"file://{tmp_path}/trees", spark).transform(table.repartition(3)).collect()
+    key = lambda rows: sorted((tuple(r[k] for k in KEY), r["p_home"]) for r in rows)
+    assert key(rows) == key(again) == key(models.BoostedTrees(rounds=20).fit(table.repartition(5)).transform(table).collect())
+    assert len(models.BoostedTrees(rounds=2, most_rows=30).fit(table).forest.classes) >= 2
+    unseen = models.BoostedTrees(rounds=2).fit(table.where("result != 'A'")).transform(table).collect()
+    assert {r["p_away"] for r in unseen} == {0.0}
+
+
+def test_first_tree_is_the_best_by_brute_force():
+    """Depth 1: of all splits at a value, with nulls on either side, the one of the highest gain."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (300, 3)).astype(float)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    label = np.where(np.nan_to_num(x[:, 1], nan=9) > 6, 2, rng.integers(0, 2, 300))
+    forest = trees.fit_forest(x, label, 1, 1, 0.1)
+    for k in range(3):
+        g, h = 1 / 3 - (label == k), np.full(300, 2 / 3 * 2 / 3)
+        score = lambda own: g[own].sum() ** 2 / (h[own].sum() + 1)
+        best = max((round(score(left) + score(~left), 9), f, v, side) for f in range(3) for v in range(12) for side in (False, True) for left in [np.where(np.isnan(x[:, f]), side, x[:, f] <= v)] if min(h[left].sum(), h[~left].sum()) >= 1)
+        left = np.where(np.isnan(x[:, forest.feature[0, k, 0]]), forest.nulls_left[0, k, 0], x[:, forest.feature[0, k, 0]] <= forest.value[0, k, 0])
+        assert abs(score(left) + score(~left) - best[0]) < 1e-6
+        assert np.allclose(forest.leaf[0, k], [-0.1 * g[s].sum() / (h[s].sum() + 1) for s in (left, ~left)])
+
+
+def test_trees_learn_what_nulls_mean():
+    rng = np.random.default_rng(2)
+    x = rng.random((900, 4))
+    label = rng.integers(0, 2, 900)
+    x[label == 1, 2] = np.nan
+    p = trees.fit_forest(x, label, 30, 3, 0.3).probabilities(x)
+    assert ((p[:, 1] > 0.5) == (label == 1)).all() and np.allclose(p.sum(1), 1) and (p[:, 2] == 0).all()
 
 
 @pytest.mark.parametrize("method", ["sigmoid", "isotonic"])
@@ -154,10 +187,7 @@ def test_queries_fit_the_whole_models(spark, monkeypatch):
     monkeypatch.setattr(models.BoostedTrees, "fit", lambda self, _: seen.append(self.rounds) or 1 / 0)
     with pytest.raises(ZeroDivisionError):
         plans.gbt_predict(spark, "")
-    monkeypatch.setattr(plans, "materialised", lambda *_: spark.range(1))
-    monkeypatch.setattr(plans, "feature_table", lambda _: None)
-    monkeypatch.setattr(plans, "matches", lambda *_: spark.range(1))
-    monkeypatch.setattr(plans, "usable", lambda: F.lit(True))
+    monkeypatch.setattr(plans, "_table", lambda *_: spark.range(1))
     monkeypatch.setattr(bakeoff, "fold_scores", lambda c, _, n: seen.append((c.model.rounds if isinstance(c.model, models.BoostedTrees) else 200, n)) or [{"log_loss": 1.0, "brier": 1.0, "accuracy": 1.0}])
     monkeypatch.setattr(bakeoff, "require_days", lambda *_: None)
     plans.bakeoff(spark, "")
