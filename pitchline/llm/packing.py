@@ -3,8 +3,9 @@
 Documents become token ids plus an end marker; only longer ones are cut. The pieces, a few numbers each, are
 dealt evenly into shards of a fixed number of pieces. A shard starts from best fit in falling order of length
 and then improves the bins that are left underfull: it moves a piece, exchanges one for one or two for one, as
-long as the sum of squared fills rises, until bins run empty or nothing helps. A shard wastes less than a few
-bins of its thousands, so the number of sequences stays within a small part of a percent of the least.
+long as the sum of squared fills rises, until bins run empty or nothing helps. The bins that a shard leaves less
+full than nine tenths go on to a next round, whose shards hold those of many: so the last shard's few bins are all
+that is wasted, whatever the number of shards.
 """
 
 from __future__ import annotations
@@ -129,6 +130,16 @@ def best_fit(lengths: np.ndarray, most: int) -> list[list[int]]:
     return bins
 
 
+def _pairs(pieces: list[int], size: list[int]) -> dict[int, tuple[int, int]]:
+    """A pair of pieces for each sum of two sizes."""
+    by_size: dict[int, list[int]] = {}
+    for i in pieces:
+        by_size.setdefault(size[i], []).append(i)
+    groups = list(by_size.values())
+    out = {2 * size[g[0]]: (g[0], g[1]) for g in groups if len(g) > 1}
+    return out | {size[g[0]] + size[h[0]]: (g[0], h[0]) for k, g in enumerate(groups) for h in groups[k + 1 :]}
+
+
 def local_search(bins: list[list[int]], lengths: np.ndarray, most: int) -> list[list[int]]:
     """Improve underfull bins by moves, one-for-one and two-for-one exchanges that raise the sum of squared fills."""
     size = lengths.tolist()
@@ -137,19 +148,18 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, most: int) -> list[
     live = [b for b in range(len(bins)) if fills[b] < most]
     while sum(f > 0 for f in fills) > least:
         live = sorted((b for b in live if 0 < fills[b] < most), key=lambda b: -fills[b])
-        # Offers of the emptier bins, by size: single pieces and pairs of pieces of one bin.
+        # Offers of each bin, emptiest bins last, by size: single pieces and pairs of pieces. Pieces of a bin that have
+        # equal sizes are interchangeable, so it offers one of each size: a few dozen, as their sum is bounded.
         ones: dict[int, list[tuple[int, int]]] = {}
         twos: dict[int, list[tuple[int, int, int]]] = {}
         mask_one = mask_two = 0
         for b in live:
-            for p, i in enumerate(bins[b]):
+            for i in {size[i]: i for i in bins[b]}.values():
                 ones.setdefault(size[i], []).append((b, i))
                 mask_one |= 1 << size[i]
-                if len(bins[b]) <= 12:
-                    for j in bins[b][p + 1 :]:
-                        if size[i] + size[j] <= most:
-                            twos.setdefault(size[i] + size[j], []).append((b, i, j))
-                            mask_two |= 1 << (size[i] + size[j])
+            for total, (i, j) in _pairs(bins[b], size).items():
+                twos.setdefault(total, []).append((b, i, j))
+                mask_two |= 1 << total
         touched: set[int] = set()
         better = False
 
@@ -158,9 +168,14 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, most: int) -> list[
             window = mask & ((1 << (high + 1)) - 1) & ~((1 << (low + 1)) - 1)
             while window:
                 at = window.bit_length() - 1
-                for o in offers[at][-8:]:
-                    if o[0] not in touched and o[0] != into and fills[o[0]] <= fills[into]:
-                        return o
+                while offers[at] and offers[at][-1][0] in touched:
+                    offers[at].pop()
+                for o in reversed(offers[at]):
+                    if o[0] == into or o[0] in touched:
+                        continue
+                    if fills[o[0]] > fills[into]:
+                        break
+                    return o
                 window &= ~(1 << at)
             return None
 
@@ -169,17 +184,15 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, most: int) -> list[
             if b in touched or not gap:
                 continue
             best: tuple[int, list[int], list[int], int] | None = None  # gain, pieces that come, that go, donor
-            for go in [[], *([i] for i in bins[b])]:
+            for go in [[], *([i] for i in {size[i]: i for i in bins[b]}.values())]:
                 gone = sum(size[i] for i in go)
                 for mask, offers in ((mask_one, ones), (mask_two, twos)):
                     if (o := offer(mask, offers, gone, gone + gap, b)) and (best is None or sum(size[i] for i in o[1:]) - gone > best[0]):
                         best = (sum(size[i] for i in o[1:]) - gone, list(o[1:]), go, o[0])
             if best is None or best[0] < gap:
-                for p, i in enumerate(bins[b][:12]):
-                    for j in bins[b][p + 1 : 12]:
-                        gone = size[i] + size[j]
-                        if (o := offer(mask_one, ones, gone, min(gone + gap, most), b)) and (best is None or size[o[1]] - gone > best[0]):
-                            best = (size[o[1]] - gone, [o[1]], [i, j], o[0])
+                for gone, (i, j) in _pairs(bins[b], size).items():
+                    if (o := offer(mask_one, ones, gone, min(gone + gap, most), b)) and (best is None or size[o[1]] - gone > best[0]):
+                        best = (size[o[1]] - gone, [o[1]], [i, j], o[0])
             if best:
                 gain, come, go, donor = best
                 bins[b] = [i for i in bins[b] if i not in go] + come
@@ -193,7 +206,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, most: int) -> list[
     return [b for b in bins if b]
 
 
-def _packed(most: int):
+def _packed(most: int, round_: int):
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         lengths = shard["length"].to_numpy()
         order = np.argsort(shard["row"].to_numpy(), kind="stable")
@@ -204,7 +217,8 @@ def _packed(most: int):
             for i in b:
                 sequence[order[i]], offset[order[i]] = k, at
                 at += int(lengths[order[i]])
-        return shard.drop(columns=["row", "shard"]).assign(sequence_id=sequence + (shard["shard"].to_numpy() << 24), offset=offset)
+        fill = np.bincount(sequence, lengths)
+        return shard.assign(sequence_id=sequence + (shard["shard"].to_numpy() << 24) + (round_ << 58), offset=offset, loose=(10 * fill < 9 * most)[sequence])
 
     return run
 
@@ -221,7 +235,18 @@ def packed(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int =
     with small_batches(docs.sparkSession):
         pieces = cut(base_view(docs).mapInArrow(_pieces(vocabulary, end_id, most), schema).withColumn("row", F.monotonically_increasing_id()), "pieces")
     part = pieces.where(F.col("length") < most)
-    shards = part.count() // shard_pieces + 1
     full = pieces.where(F.col("length") == most).select("doc_id", "piece", "start", "length", "ids_crc32", (-F.col("row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    dealt = part.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-    return full.unionByName(dealt.groupBy("shard").applyInPandas(_packed(most), schema + ", sequence_id long, offset long"))
+    columns, out, left, round_ = full.columns, full, part.count(), 0
+    while True:
+        shards = left // shard_pieces + 1
+        dealt = part.select(*pieces.columns, F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"))
+        placed = dealt.groupBy("shard").applyInPandas(_packed(most, round_), schema + ", row long, shard long, sequence_id long, offset long, loose boolean")
+        if shards == 1:
+            return out.unionByName(placed.select(*columns))
+        placed = cut(placed, "placed")
+        part, before = placed.where("loose"), left
+        left, round_ = part.count(), round_ + 1
+        if 2 * left > before or round_ == 8:
+            # Pieces that don't fit together: another deal would leave as many bins.
+            return out.unionByName(placed.select(*columns))
+        out = out.unionByName(placed.where("not loose").select(*columns))

@@ -157,6 +157,20 @@ def test_packed_round_trip(spark):
     assert set(pieces) == set(ids)
 
 
+def test_shards_together_waste_a_few_bins(spark):
+    """Many small shards need about as many sequences as one large one: what they leave underfull is dealt again."""
+    rows = [(i, prose(i, 40 + i * 37 % 150), "s") for i in range(900)]
+    used = {}
+    for most in (60, 100_000):
+        out = packed(frame(spark, rows), shard_pieces=most).collect()
+        fill = Counter()
+        for r in out:
+            fill[r["sequence_id"]] += r["length"]
+        assert len(out) == 900 and max(fill.values()) <= 1024
+        used[most] = len(fill), -(-sum(fill.values()) // 1024)
+    assert used[60][0] <= used[100_000][0] + 4 and used[100_000][0] <= used[100_000][1] + 2
+
+
 # --- pipeline ---------------------------------------------------------------------------------------------------------
 
 
