@@ -27,9 +27,9 @@ def line_key(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, site, at, key) of every line with a word; at counts lines from 0."""
-    split = docs.select("doc_id", "site", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return split.select("doc_id", "site", "at", line_key(F.col("line")).alias("line")).where("line != ''").select("doc_id", "site", "at", F.xxhash64("line", F.lit(1)).alias("key"))
+    """(of, site, key) of every line with a word; `of` is its text's hash."""
+    split = docs.select("of", "site", F.explode(F.split("text", "\n")).alias("line"))
+    return split.select("of", "site", line_key(F.col("line")).alias("line")).where("line != ''").select("of", "site", F.xxhash64("line", F.lit(1)).alias("key"))
 
 
 def boilerplate(lines: DataFrame, least_sites: int = LEAST_SITES) -> DataFrame:
@@ -44,13 +44,17 @@ def boilerplate(lines: DataFrame, least_sites: int = LEAST_SITES) -> DataFrame:
 
 
 def _marked(docs: DataFrame, site: str, least_sites: int) -> DataFrame:
-    """(row, doc_id, text, gone): the places of each document's boilerplate lines, null without any."""
+    """(doc_id, text, keys): the keys of each document's boilerplate lines, null without any.
+
+    Rows are known by their texts' hashes, not by their ids: equal texts lose the same lines. If two texts had one hash,
+    each would look for the other's lines too, which are boilerplate all the same.
+    """
     view = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(site).cast("string").alias("site"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    view = view.withColumn("of", F.xxhash64("text"))
     lines = cut(_lines(view), "lines")
     hits = lines.join(boilerplate(lines, least_sites), "key", "left_semi")
-    # Rows are told apart by their own key: texts that are equal lose the same lines.
-    gone = hits.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    return view.join(gone, "doc_id", "left")
+    gone = hits.groupBy("of").agg(F.collect_set("key").alias("keys"))
+    return view.join(gone, "of", "left").drop("of")
 
 
 def _cleaned(text: Column, keys: Column) -> tuple[Column, Column]:
@@ -66,9 +70,8 @@ def clean_lines(docs: DataFrame, site: str = "source", least_sites: int = LEAST_
 
     Needs columns doc_id, text and `site`; others are ignored. Lines are equal after trimming and with white
     space as single spaces; lines without a word never go. A null text counts as empty, a null site as no
-    site: it adds nothing to a line's spread, but its documents are cleaned too. Rows that share a doc_id lose
-    every boilerplate line that any of them has. A row with a null doc_id is left as it is. An empty table
-    gives an empty result.
+    site: it adds nothing to a line's spread, but its documents are cleaned too. Every row is cleaned by its own
+    text, so null ids, repeated ids and repeated rows make no difference. An empty table gives an empty result.
     """
     text, removed = _cleaned(F.col("text"), F.col("keys"))
     return _marked(docs, site, least_sites).select("doc_id", text.alias("text"), removed.cast("long").alias("lines_removed"))

@@ -274,6 +274,12 @@ def test_boilerplate_lines(spark):
     assert all(out[100 + i]["lines_removed"] == 0 for i in range(30)) and out[200]["text"] == "" and out[201]["text"] == ""
 
 
+def test_lines_go_from_rows_without_an_id_of_their_own(spark):
+    rows = [(i, f"own {i}\nFollow us", f"site{i}") for i in range(9)] + [(None, "none\nFollow us", "site1"), (1, "again", "site1"), (None, None, None)]
+    out = sorted((r["doc_id"] or 0, r["text"], r["lines_removed"]) for r in clean_lines(frame(spark, rows)).collect())
+    assert out == sorted([(i, f"own {i}", 1) for i in range(9)] + [(0, "none", 1), (1, "again", 0), (0, "", 0)])
+
+
 @pytest.mark.parametrize("sites,gone", [(7, False), (8, True), (9, True), (300, True)])
 def test_spread_is_exact_near_the_threshold(spark, sites, gone):
     lines = spark.range(sites * 3).select(F.lit(1).cast("long").alias("key"), F.concat(F.lit("s"), (F.col("id") % sites).cast("string")).alias("site"))
