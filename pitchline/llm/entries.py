@@ -10,7 +10,7 @@ from .compact_windows import repeated_passages
 from .exact_dedup import EXACT_SQL, exact_duplicates
 from .licenses import license_report
 from .line_dedup import LINE_SQL, line_report
-from .minmax_dedup import near_duplicates
+from .minmax_dedup import NEAR_SQL, near_duplicates
 from .mixing import mix_report
 from .nbsvm import quality_scores
 from .packing import packed
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": QUALITY_SQL, "op2_exact_dedup": EXACT_SQL, "op4_line_dedup": LINE_SQL}
+    return {"op1_quality_rules": QUALITY_SQL, "op2_exact_dedup": EXACT_SQL, "op4_line_dedup": LINE_SQL, "op8_minmax_near_dedup": NEAR_SQL}

@@ -223,7 +223,31 @@ def _classes(docs: DataFrame, k: int, percent: int, bands: int) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay when one document of each near-duplicate class is kept; columns as in docs.
 
-    Where ids repeat, a row stays if any row with its id is kept.
+    Where ids repeat or are null they don't name a row: then the rows are numbered and written first, and of each class
+    one row stays, whatever its id. Rows without words are in no class, so all of them stay.
     """
-    gone = near_duplicates(docs, k, percent).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("__gone"))
+    odd = base_view(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    if not odd.isEmpty():
+        rows = cut(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs["text"].alias("text"), F.monotonically_increasing_id().alias("doc_id")), "rows")
+        gone = near_duplicates(rows, k, percent).where("not kept").select(F.col("doc_id").alias("__gone"))
+        return rows.join(gone, rows["doc_id"] == gone["__gone"], "left_anti").select("__row.*")
+    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti").select(*docs.columns)
+
+
+#: For three words and a similarity of 85 percent, as the query has it: exact sets, all pairs that share a shingle, closure.
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+             ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] END) AS own FROM d),
+classes AS (SELECT list_sort(own) AS own, min(doc_id) AS rep, len(own) AS n FROM s WHERE len(own) > 0 GROUP BY list_sort(own), len(own)),
+t AS (SELECT rep, n, unnest(own) AS shingle FROM classes),
+pairs AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS common
+          FROM t a JOIN t b ON a.shingle = b.shingle AND a.rep <> b.rep GROUP BY a.rep, b.rep),
+links AS (SELECT a, b FROM pairs WHERE 100 * common >= 85 * (m + n - common)),
+reach AS (SELECT rep AS a, rep AS b FROM classes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
+SELECT s.doc_id, len(s.own)::BIGINT AS n_shingles, coalesce(root, s.doc_id) AS component_id, coalesce(root, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN classes ON list_sort(s.own) = classes.own LEFT JOIN roots ON roots.a = classes.rep
+"""

@@ -236,3 +236,11 @@ def test_outer_places_meet_every_passage():
             for j in (i + 45, i + 60, min(i + 91, 199)):
                 if j < 200 and n[i] > 1 and n[j] > 1 and (n[i : j + 1] > 1).mean() >= 0.8:
                     assert own & set(range(i, j + 1))
+
+
+def test_one_row_of_a_class_stays_whatever_the_ids(spark):
+    """Ids that repeat or are null don't name rows."""
+    same, other = prose(1, 60), prose(2, 60)
+    rows = [(1, same, "s"), (2, same, "s"), (None, same, "s"), (2, other, "s"), (None, other + " more", "s"), (None, None, "s"), (3, "", "s"), (3, prose(3, 50), "s"), (3, prose(3, 50), "s")]
+    got = sorted((r["text"] or "") for r in keep_one_of_each(frame(spark, rows)).collect())
+    assert len(got) == 5 and got[:2] == ["", ""] and {t[:40] for t in got[2:]} == {same[:40], other[:40], prose(3, 50)[:40]}
