@@ -30,9 +30,11 @@ _MIX2 = np.uint64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for lineage cuts that driver and executors share: the cluster's, or in tests our own."""
+    """Folder for lineage cuts that driver and executors share: the cluster's, or on one machine, as in tests, our own."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="pitchline-")
         shared_dir.own = place
     return place.rstrip("/")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, _powers, _BASE, as_strings, base_view, cut, mix, text_chunks
+from .common import Words, _powers, _BASE, as_strings, base_view, mix, release, text_chunks
 from .labelled import fold, platt, training_sample
 
 #: Most labelled rows that the fit sees.
@@ -144,8 +144,10 @@ def _fitted(bits: int):
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2, rows: int = SAMPLE_ROWS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Fit on at most `rows` labelled documents outside the held-out fold; without any the model is undecided."""
-    sample = training_sample(docs, labels, label, folds, held, rows).select("doc_id", "text", "label").mapInArrow(_featured(bits), "doc_id long, label int, features array<long>")
+    texts = training_sample(docs, labels, label, folds, held, rows)
+    sample = texts.select("doc_id", "text", "label").mapInArrow(_featured(bits), "doc_id long, label int, features array<long>")
     found = sample.groupBy(F.lit("fit")).applyInPandas(_fitted(bits), "at long, weight double").toPandas()
+    release(texts)
     weights, rest = np.zeros(1 << bits), np.zeros(3)
     at, weight = found["at"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
     weights[at[at >= 0]] = weight[at >= 0]
