@@ -15,8 +15,11 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set, as in tests, one of our own."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The cluster's checkpoint folder; on one machine where none is set, as in tests, one of our own."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (place or _own_folder()).rstrip("/")
 
 
 def materialised(df: DataFrame, name: str = "table") -> DataFrame:
