@@ -67,6 +67,11 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
+def as_declared(df: DataFrame, like: DataFrame) -> DataFrame:
+    """df with the schema of `like`: a file forgets which columns are never null."""
+    return df if df.schema == like.schema else df.mapInArrow(lambda batches: batches, like.schema)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df kept on the executors' disks: for slim results of one pass over texts, of which a lost part is made again from its own texts."""
     return df.persist(StorageLevel.DISK_ONLY)

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_strings, base_view, components, cut, kept, mix, shingles, small_batches, text_chunks
+from .common import Words, as_declared, as_strings, base_view, components, cut, kept, mix, shingles, small_batches, text_chunks
 
 #: 20 bands of two permutations (four values): a pair at similarity 0.85 shares no band with probability 4e-7.
 BANDS = 20
@@ -230,7 +230,8 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     if not odd.isEmpty():
         rows = cut(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs["text"].alias("text"), F.monotonically_increasing_id().alias("doc_id")), "rows")
         gone = near_duplicates(rows, k, percent).where("not kept").select(F.col("doc_id").alias("__gone"))
-        return rows.join(gone, rows["doc_id"] == gone["__gone"], "left_anti").select("__row.*")
+        stay = rows.join(gone, rows["doc_id"] == gone["__gone"], "left_anti").select("__row.*")
+        return as_declared(stay, docs)
     gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti").select(*docs.columns)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, release
+from .common import WORD, as_declared, cut, release
 
 #: A document is repeated at most so often.
 MOST = 2.0
@@ -272,4 +272,5 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     text = F.coalesce(F.col("__row.text").cast("string"), F.lit(""))
     rows = own.select("__row", F.col("__row.source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.col("__row.doc_id").cast("long"), text).alias("h"))
     copies = _with_copies(_ranked(rows, repeats), sources).where("copies > 0")
-    return copies.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).select("__row.*")
+    taken = copies.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).select("__row.*")
+    return as_declared(taken, docs)

@@ -4,8 +4,8 @@ Documents become token ids plus an end marker; only longer ones are cut. The pie
 dealt evenly into shards of a fixed number of pieces. A shard starts from best fit in falling order of length
 and then improves the bins that are left underfull: it moves a piece, exchanges one for one or two for one, as
 long as the sum of squared fills rises, until bins run empty or nothing helps. The bins that a shard leaves less
-full than nine tenths go on to a next round, whose shards hold those of many: so the last shard's few bins are all
-that is wasted, whatever the number of shards.
+full than nine tenths go on to a next round, whose shards hold those of many. What is wasted is the last shard's few
+bins, and the room in bins past nine tenths: the smaller the shards, the more of it (see the README for figures).
 """
 
 from __future__ import annotations
