@@ -56,11 +56,12 @@ def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: recovery restarts from these files.
 
-    Files get the advisory size, so a small table is a few files and not one for each core.
+    Files get the advisory size, so a small table is a few files and not one for each core. Shuffle files of the job
+    go when it ends, as nothing reads them again; Spark reruns their stages should a kept part of it be lost.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with settings(spark, {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}):
+    with settings(spark, {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
