@@ -226,6 +226,43 @@ def test_a_first_node_without_the_passage_hides_none(spark, monkeypatch, hot):
     assert all(r["similarity"] == 1 for r in got)
 
 
+def test_a_group_without_its_first_node_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Many share a passage about a phrase that even more hold alone, whose nodes come first in about half the cases."""
+    rows, sizes, write = [], {}, cw.cut
+
+    def counted(df, name="cut"):
+        out = write(df, name)
+        sizes[name] = sizes.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(cw, "cut", counted)
+    for case in range(6):
+        phrase, base = prose(5000 + case, 20), 1000 * (case + 1)
+        passage = f"{prose(5100 + case, 25)} {phrase} {prose(5200 + case, 25)}"
+        rows += [(base + i, f"{prose(10**6 + base + i, 70)} {phrase} {prose(2 * 10**6 + base + i, 70)}", "s") for i in range(40)]
+        rows += [(base + 100 + i, f"{prose(3 * 10**6 + base + i, 60)} {passage} {prose(4 * 10**6 + base + i, 60)}", "s") for i in range(40)]
+    got = cw.repeated_passages(frame(spark, rows)).collect()
+    # A document may have a row with the first node of each of two buckets.
+    assert 6 * 39 <= len(got) <= 2 * 6 * 39 and {r["doc_id"] for r in got} | {r["match_id"] for r in got} == {1000 * c + 100 + i for c in range(1, 7) for i in range(40)}
+    assert sizes.get("rest_pairs", 0) <= 2 * 6 * 39
+
+
+def test_dense_stretches_are_those_of_the_definition():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        size, least, shared = rng.integers(1, 40), int(rng.integers(2, 8)), rng.random(30) < 0.5
+        h = rng.integers(0, 30, size)
+        n = np.where(shared[h], 3, 1)
+        first, want = [int(np.flatnonzero(h == x)[0]) for x in h], np.zeros(size, bool)
+        for i in range(size):
+            for j in range(i + least, size + 1):
+                common = sum(n[k] > 1 for k in range(i, j))
+                foreign = sum(n[k] == 1 and first[k] == k for k in range(i, j))
+                if common >= 0.8 * (common + foreign):
+                    want[i:j] = True
+        assert (cw._inside(*cw.dense(h, n, least, 80), size) == want).all()
+
+
 def test_outer_places_meet_every_passage():
     rng = np.random.default_rng(8)
     for _ in range(300):
