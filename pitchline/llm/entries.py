@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .compact_windows import repeated_passages
+from .divergence import DIVERGENCE_SQL, source_divergence
 from .exact_dedup import EXACT_SQL, exact_duplicates
 from .licenses import license_report
 from .line_dedup import LINE_SQL, line_report
@@ -16,6 +17,7 @@ from .nbsvm import quality_scores
 from .packing import packed
 from .quality_rules import QUALITY_SQL, quality_report
 from .toxicity import toxicity_scores
+from .word_runs import run_report
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +64,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_mixing, op4_line_dedup, op5_license_scan, op6_substring_dedup, op7_toxicity, op8_minmax_near_dedup, op9_best_fit_packing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_mixing, op4_line_dedup, op5_license_scan, op6_substring_dedup, op7_toxicity, op8_minmax_near_dedup, op9_best_fit_packing, op10_quality_classifier, op11_periodic_runs, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": QUALITY_SQL, "op2_exact_dedup": EXACT_SQL, "op4_line_dedup": LINE_SQL, "op8_minmax_near_dedup": NEAR_SQL}
+    return {"op1_quality_rules": QUALITY_SQL, "op2_exact_dedup": EXACT_SQL, "op4_line_dedup": LINE_SQL, "op8_minmax_near_dedup": NEAR_SQL, "op13_source_divergence": DIVERGENCE_SQL}
