@@ -11,6 +11,7 @@ from .divergence import DIVERGENCE_SQL, source_divergence
 from .exact_dedup import EXACT_SQL, exact_duplicates
 from .licenses import license_report
 from .line_dedup import LINE_SQL, line_report
+from .logbilinear import language_scores
 from .minmax_dedup import NEAR_SQL, near_duplicates
 from .mixing import mix_report
 from .nbsvm import quality_scores
@@ -68,12 +69,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_report(table(spark, sf_dir, "documents"))
 
 
+def op12_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_mixing, op4_line_dedup, op5_license_scan, op6_substring_dedup, op7_toxicity, op8_minmax_near_dedup, op9_best_fit_packing, op10_quality_classifier, op11_periodic_runs, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_mixing, op4_line_dedup, op5_license_scan, op6_substring_dedup, op7_toxicity, op8_minmax_near_dedup, op9_best_fit_packing, op10_quality_classifier, op11_periodic_runs, op12_log_bilinear, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from cases import clashing, edge_rows, frame
 
-from pitchline.llm import compact_windows, exact_dedup, licenses, line_dedup, minmax_dedup, mixing, nbsvm, packing, quality_rules, toxicity, word_runs
+from pitchline.llm import compact_windows, exact_dedup, licenses, line_dedup, logbilinear, minmax_dedup, mixing, nbsvm, packing, quality_rules, toxicity, word_runs
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -24,6 +24,7 @@ ONE_ROW_EACH = {
     "minmax_dedup": lambda s, d: minmax_dedup.near_duplicates(d),
     "nbsvm": lambda s, d: nbsvm.quality_scores(d, labels(s)),
     "word_runs": lambda s, d: word_runs.run_report(d),
+    "logbilinear": lambda s, d: logbilinear.language_scores(d),
     "without_repeats": lambda s, d: compact_windows.without_repeats(d),
 }
 OTHERS = {
