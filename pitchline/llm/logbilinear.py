@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import base_view, cut, release, small_batches
+from .common import base_view, cut, release, settings, small_batches
 
 #: Words that are classes of their own, classes of endings, size of vectors, words of context.
 TOP, ENDINGS, SIZE, CONTEXT = 95, 160, 16, 5
@@ -195,7 +195,8 @@ def windows(classes: np.ndarray, sizes: np.ndarray, context: int, outside: int)
 
 def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and the sums of their values."""
-    order = np.argsort(rows, kind="stable")
+    # Classes fit in 16 bits, which numpy sorts by counting.
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
     own = rows[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     return own[first], np.add.reduceat(values[order], first, axis=0)
@@ -221,16 +222,20 @@ class Trainer:
     def learn(self, x: np.ndarray, y: np.ndarray) -> None:
         p = self.p
         near = p.context[x]
-        h = (near * p.place).sum(1)
+        h = np.einsum("bmd,md->bd", near, p.place)
         z = self.rng.choice(len(self.shares), self.noise, p=self.shares)
         own, others = p.target[y], p.target[z]
-        true = (h * own).sum(1) + p.bias[y] - self.odds[y]
-        false = h @ others.T + (p.bias[z] - self.odds[z])
-        up = 1 / (1 + np.exp(np.clip(true, -60, 60)))
-        down = -1 / (1 + np.exp(-np.clip(false, -60, 60)))
+        true = np.einsum("bd,bd->b", h, own) + p.bias[y] - self.odds[y]
+        false = h @ others.T
+        false += p.bias[z] - self.odds[z]
+        with np.errstate(over="ignore"):
+            up = 1 / (1 + np.exp(true))
+            np.exp(np.negative(false, out=false), out=false)
+        false += 1
+        down = np.divide(-1, false, out=false)
         back = up[:, None] * own + down @ others
         rows, by = _by_row(np.concatenate([y, z]), np.concatenate([np.column_stack([up[:, None] * h, up]), np.column_stack([down.T @ h, down.sum(0)])]))
-        place = (back[:, None, :] * near).sum(0)
+        place = np.einsum("bd,bmd->md", back, near)
         which, moved = _by_row(x.ravel(), (back[:, None, :] * p.place).reshape(-1, h.shape[1]))
         self._climb(p.target, self.slopes[1], rows, by[:, :-1])
         self._climb(p.bias, self.slopes[2], rows, by[:, -1])
@@ -285,21 +290,36 @@ def train(texts: DataFrame, vocab: Vocabulary, size: int = SIZE, context: int =
     return p
 
 
+class Scorer:
+    """Scores of all classes for batches of contexts, by one matrix product a batch."""
+
+    def __init__(self, p: Parameters):
+        # One more coordinate, 1 in the nearest word's vector, adds the bias.
+        self.context = [np.column_stack([p.context * w, np.full(len(p.context), j == 0)]).astype(np.float32) for j, w in enumerate(p.place)]
+        self.target = np.column_stack([p.target, p.bias]).T.astype(np.float32, order="C")
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        h = self.context[0][x[:, 0]]
+        for j in range(1, len(self.context)):
+            h += self.context[j][x[:, j]]
+        return h @ self.target
+
+    def target_logs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Natural logs of the probabilities of classes y: their scores less the log of the sum over all classes."""
+        score = self.raw(x)
+        if score.max(initial=0) > 60:
+            score -= score.max(1, keepdims=True)
+        own = score[np.arange(len(y)), y]
+        return own - np.log(np.exp(score, out=score).sum(1))
+
+
 def class_log_probabilities(p: Parameters, x: np.ndarray) -> np.ndarray:
-    """Natural logs of every class's probability for each context: rows sum to one."""
-    h = np.zeros((len(x), p.target.shape[1]), np.float32)
-    for j, place in enumerate(p.place):
-        h += (p.context * place)[x[:, j]]
-    score = h @ p.target.T
-    score += p.bias
+    """Natural logs of every class's probability for each context: rows of exponentials sum to one."""
+    score = Scorer(p).raw(x).astype(float)
     score -= score.max(1, keepdims=True)
     return score - np.log(np.exp(score).sum(1, keepdims=True))
 
 
-def _target_logs(p: Parameters, x: np.ndarray, y: np.ndarray, batch_size: int) -> np.ndarray:
-    return np.concatenate([np.zeros(0), *[class_log_probabilities(p, x[a : a + batch_size])[np.arange(len(y[a : a + batch_size])), y[a : a + batch_size]] for a in range(0, len(y), batch_size)]])
-
-
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -307,6 +327,7 @@ def _scored(p: Parameters, vocab: Vocabulary, batch_size: int):
     end = np.log10((vocab.texts + 1) / vocab.base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(p)
         for batch in batches:
             for row in batch.to_pylist():
                 classes, sizes, held = _row_arrays(row)
@@ -318,7 +339,8 @@ def _scored(p: Parameters, vocab: Vocabulary, batch_size: int):
                     b = max(int(np.searchsorted(firsts + sizes, firsts[a] + (1 << 20), "right")), a + 1)
                     x, y = windows(classes[firsts[a] : firsts[b - 1] + sizes[b - 1]], sizes[a:b], len(p.place), len(p.target))
                     of = np.repeat(np.arange(b - a), sizes[a:b] + 1)
-                    logs[a:b] = np.bincount(of, _target_logs(p, x, y, batch_size), b - a)
+                    own = [scorer.target_logs(x[i : i + batch_size], y[i : i + batch_size]) for i in range(0, len(y), batch_size)]
+                    logs[a:b] = np.bincount(of, np.concatenate(own), b - a)
                     a = b
                 known = np.array(row["known"], np.int64) + (vocab.texts > 0)
                 values = [pa.array(row["docs"], pa.int64()), pa.array(held), pa.array(sizes + 1), pa.array(known), pa.array(np.full(len(sizes), vocab.tokens)), pa.array(np.array(row["base"]) + end), pa.array((logs + np.array(row["inner"])) / np.log(10))]
@@ -346,11 +368,13 @@ def language_scores(docs: DataFrame, folds: int = 7, held: int = 2, size: int =
     spark = docs.sparkSession
     with small_batches(spark):
         chunks = cut(encoded(docs, folds, held), "encoded")
-    with small_batches(spark, 16):
+    # Shuffle files go when the job of a written table ends: no job reads another's.
+    with small_batches(spark, 1 << 16), settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         counts = chunks.select(F.explode(F.arrays_zip("words", "n")).alias("w")).where("w.n > 0").groupBy(F.col("w.words").alias("word")).agg(F.sum("w.n").alias("n"))
         counts = cut(counts, "counts")
         vocab = vocabulary(chunks, counts, top, endings)
         texts = cut(classed(chunks, counts, vocab), "classed")
         release(chunks, counts)
+    with small_batches(spark, 16):
         p = train(texts, vocab, size, context, rounds)
     return score(texts, p, vocab)
