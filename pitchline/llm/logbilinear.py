@@ -33,6 +33,7 @@ ROUNDS, NOISE, BATCH, STEP = 4, 64, 2048, 0.1
 #: Bytes of text that share a dictionary; a longer text has its own.
 CHUNK = 4 << 20
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_PACKED = "zstd"
 _TINY = 1e-6
 
 
@@ -48,6 +49,15 @@ def _record(values: list, schema: str) -> pa.RecordBatch:
     return pa.record_batch([pa.array([v], types[t]) for v, (_, t) in zip(values, names)], [n for n, _ in names])
 
 
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Ids byte by byte of their places, compressed: frequent words have small ids, so most high bytes are 0."""
+    return pa.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), _PACKED, asbytes=True)
+
+
+def unpacked_ids(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 4 * n, _PACKED, asbytes=True), np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
+
+
 def _encoded(folds: int, held: int, most: int):
     def chunk(rows: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
         known: dict[bytes, int] = {}
@@ -56,7 +66,7 @@ def _encoded(folds: int, held: int, most: int):
             ids.append(np.array([known.setdefault(w, len(known)) for w in _WORD.findall(text)], np.int32))
         n = np.bincount(np.concatenate([np.zeros(0, np.int32), *[v for v, h in zip(ids, out) if not h]]), minlength=len(known))
         words = pa.array(list(known), pa.binary()).cast(pa.string())
-        return _record([[d for d, _ in rows], out, [len(v) for v in ids], np.concatenate(ids).astype("<i4").tobytes(), words, n], _ENCODED)
+        return _record([[d for d, _ in rows], out, [len(v) for v in ids], packed_ids(np.concatenate(ids)), words, n], _ENCODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -131,19 +141,21 @@ def classed(chunks: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFram
     top = len(vocab.top)
     endings = len(vocab.class_tokens) - 1 - top
     asked = chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("at", "word"))
-    told = asked.join(counts, "word", "left").join(_top_frame(chunks, vocab.top), "word", "left").select("of", "at", F.coalesce("n", F.lit(0)).alias("n"), _class_of(F.col("word"), F.col("own"), top, endings).cast("short").alias("k"))
+    classes = len(vocab.class_tokens)
+    slot = F.col("at").cast("long") * classes + _class_of(F.col("word"), F.col("own"), top, endings)
+    told = asked.join(counts, "word", "left").join(_top_frame(chunks, vocab.top), "word", "left").select("of", slot.alias("slot"), F.coalesce("n", F.lit(0)).alias("n"))
     whole = np.array(vocab.class_tokens, float) + np.array(vocab.class_types, float) + 1
     whole[: 1 + top] = 0
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         n, k = np.zeros(words.num_rows, np.int64), np.zeros(words.num_rows, np.uint16)
-        at = words["at"].to_numpy()
-        n[at], k[at] = words["n"].to_numpy(), words["k"].to_numpy()
+        at, own = np.divmod(words["slot"].to_numpy(), classes)
+        n[at], k[at] = words["n"].to_numpy(), own
         inner = np.where(whole[k] > 0, np.log((n + 1) / np.maximum(whole[k], 1)), 0.0)
         base = np.log10((n + 1) / vocab.base)
         row = texts.to_pylist()[0]
-        ids = np.frombuffer(row["ids"], "<i4")
         ends = np.cumsum([0, *row["sizes"]])
+        ids = unpacked_ids(row["ids"], int(ends[-1]))
         sums = [[v[ids[a:b]].sum() for a, b in zip(ends[:-1], ends[1:])] for v in (base, inner, (n > 0).astype(np.int64))]
         return pa.Table.from_batches([_record([row["docs"], row["held"], row["sizes"], k[ids].astype("<u2").tobytes(), *sums], _CLASSED)])
 
@@ -366,10 +378,11 @@ def language_scores(docs: DataFrame, folds: int = 7, held: int = 2, size: int =
     result; without training texts every class is as likely.
     """
     spark = docs.sparkSession
-    with small_batches(spark):
+    written = {"spark.sql.parquet.compression.codec": "zstd"}
+    with small_batches(spark), settings(spark, written):
         chunks = cut(encoded(docs, folds, held), "encoded")
     # Shuffle files go when the job of a written table ends: no job reads another's.
-    with small_batches(spark, 1 << 16), settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+    with small_batches(spark, 1 << 16), settings(spark, written | {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         counts = chunks.select(F.explode(F.arrays_zip("words", "n")).alias("w")).where("w.n > 0").groupBy(F.col("w.words").alias("word")).agg(F.sum("w.n").alias("n"))
         counts = cut(counts, "counts")
         vocab = vocabulary(chunks, counts, top, endings)
