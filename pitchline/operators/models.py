@@ -156,20 +156,16 @@ class FittedTrees:
 
 @dataclass(frozen=True)
 class BoostedTrees:
-    """Multiclass boosted trees with the softmax loss; missing values are routed by the splits themselves.
-
-    Fitted on at most most_rows labelled rows, ten times the history that it was meant for; the rest only predicts.
-    """
+    """Multiclass boosted trees with the softmax loss, fitted on all labelled rows; missing values are routed by the splits themselves."""
 
     name: str = "boosted_trees"
     features: tuple[str, ...] = FEATURE_COLUMNS
     rounds: int = 200
     depth: int = 3
     rate: float = 0.1
-    most_rows: int = 200_000
 
     def fit(self, table: DataFrame) -> FittedTrees:
-        return FittedTrees(trees.train(_labelled(table), self.features, self.rounds, self.depth, self.rate, self.most_rows), self.features)
+        return FittedTrees(trees.train(_labelled(table), self.features, self.rounds, self.depth, self.rate), self.features)
 
 
 @dataclass(frozen=True)

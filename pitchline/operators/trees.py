@@ -1,24 +1,33 @@
-"""Multiclass boosted trees over a bounded sample of rows; prediction runs over any number of rows.
+"""Multiclass boosted trees on histograms of gradients that Spark sums, one aggregation for a level of all classes' trees.
 
-Spark ML has binary boosting only, and a job for each level of each tree: 200 rounds for three classes take longer
-than the whole contest should. So one task fits on at most a stated number of rows, and the trees, a few kilobytes,
-go to all tasks that predict. Trees are grown level by level on histograms of second-order gradients of the softmax
-loss; a missing value takes the side of each split that gains more.
+Spark ML has binary boosting only, so three one-against-rest ensembles and a job for each level of each tree; here the
+trees of all classes grow together on the softmax loss, and a missing value takes the side of each split that gains more.
+Rows are binned once, into a written table of blocks. A level is one pass over the blocks, which leaves one array of
+(class, node, feature, bin) sums whatever the number of rows; arrays are added pairwise among tasks, and only the total,
+whose size is fixed, reaches the driver, which picks the splits. Tasks know the trees so far and so every row's scores;
+now and then these are kept, so that a pass applies few trees. Gradients are whole numbers of 2 ** -30: sums are exact,
+and the forest is the same however rows are split among tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialised, released
+
 #: Bins of a feature's histogram; the last one holds missing values.
 BINS = 256
+#: Rows of a block, and about as many of a task's share; rounds until scores are kept again; fineness of gradients.
+BLOCK, REFRESH, FINE = 1 << 16, 10, float(1 << 30)
 
 
 @dataclass(frozen=True)
@@ -67,99 +76,217 @@ def softmax(raw: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def binned(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(bins, edges): each value's bin among at most BINS - 1 quantiles of its feature; bin b holds values up to edges[b]."""
-    out, edges = np.full(x.shape, BINS - 1, np.int64), []
-    for f in range(x.shape[1]):
+def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """Each value's bin: bin b of a feature holds values up to edges[b], the last known bin all others, BINS - 1 the missing ones."""
+    out = np.full(x.shape, BINS - 1, np.uint8)
+    for f, values in enumerate(edges):
         known = ~np.isnan(x[:, f])
-        values = np.unique(x[known, f])
-        if len(values) > BINS - 1:
-            values = np.unique(np.quantile(x[known, f], np.linspace(0, 1, BINS)[1:], method="higher"))
-        edges.append(values)
         out[known, f] = np.minimum(np.searchsorted(values, x[known, f]), max(len(values) - 1, 0))
-    return out, edges
+    return out
 
 
-def _grown(place: np.ndarray, bins: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, penalty: float, least: float) -> tuple[list[tuple[int, int, bool]], np.ndarray, np.ndarray]:
-    """(splits, leaf sums of g and h, leaf of each row); a split is (feature, last bin on the left, nulls go left).
+def quantiles(x: np.ndarray) -> list[np.ndarray]:
+    """At most BINS - 1 edges of each feature's bins: all its values, or quantiles if there are more."""
+    out = []
+    for f in range(x.shape[1]):
+        known = x[~np.isnan(x[:, f]), f]
+        values = np.unique(known)
+        out.append(values if len(values) < BINS else np.unique(np.quantile(known, np.linspace(0, 1, BINS)[1:], method="higher")))
+    return out
 
-    place: each value's cell in the histogram of one node.
-    """
-    n, width = bins.shape
-    node, splits, rows = np.zeros(n, np.int64), [], np.arange(n)
-    for level in range(depth):
-        nodes = 1 << level
-        cells = (place + (node * width * BINS)[:, None]).ravel()
-        sums = np.stack([np.bincount(cells, np.repeat(v, width), minlength=nodes * width * BINS).reshape(nodes, width, BINS) for v in (g, h)])
-        total, empty = sums.sum(3)[:, :, :1, None], sums[..., BINS - 1 :]
-        left = np.cumsum(sums[..., : BINS - 1], 3)
-        best, choice = np.zeros(nodes), [(0, BINS, True)] * nodes
-        for nulls_left in (False, True):
-            gl, hl = left + empty if nulls_left else left
-            gr, hr = total[0] - gl, total[1] - hl
-            gain = gl**2 / (hl + penalty) + gr**2 / (hr + penalty) - total[0] ** 2 / (total[1] + penalty)
-            gain = np.where((hl >= least) & (hr >= least), gain, -np.inf).reshape(nodes, -1)
-            for i, at in enumerate(gain.argmax(1)):
-                if gain[i, at] > best[i] + 1e-12:
-                    best[i], choice[i] = gain[i, at], (int(at) // (BINS - 1), int(at) % (BINS - 1), nulls_left)
-        splits += choice
-        f, last, side = (np.array(v)[node] for v in zip(*choice))
+
+#: A tree in bins: (feature, last bin on the left, nulls go left) of the inner nodes, level by level.
+Splits = list[tuple[int, int, bool]]
+
+
+def nodes_of(bins: np.ndarray, splits: Splits) -> np.ndarray:
+    """The node of each row on the level below the splits."""
+    node, rows, done = np.zeros(len(bins), np.int64), np.arange(len(bins)), 0
+    while done < len(splits):
+        f, last, side = (np.array(v)[node] for v in zip(*splits[done : 2 * done + 1]))
         own = bins[rows, f]
-        goes_left = np.where((own == BINS - 1) & (last < BINS), side, own <= last)
-        node = 2 * node + ~goes_left
-    leaves = 1 << depth
-    return splits, np.stack([np.bincount(node, v, minlength=leaves) for v in (g, h)]), node
+        node = 2 * node + ~np.where((own == BINS - 1) & (last < BINS), side, own <= last)
+        done = 2 * done + 1
+    return node
 
 
-def fit_forest(x: np.ndarray, label: np.ndarray, rounds: int, depth: int, rate: float, penalty: float = 1.0, least: float = 1.0) -> Forest:
-    """Boost on rows x (nan for null) with labels 0 to 2; penalty is on squared leaves, least a side's sum of second derivatives."""
-    classes = tuple(int(c) for c in np.unique(label))
-    bins, edges = binned(x)
-    place = bins + np.arange(x.shape[1]) * BINS
-    y = label[:, None] == np.array(classes)
-    raw = np.zeros(y.shape)
+@dataclass
+class Block:
+    """Rows of a task: bins, labels as places among the classes, and scores under the trees of all rounds before `seen`."""
+
+    bins: np.ndarray
+    label: np.ndarray
+    raw: np.ndarray
+    seen: int = 0
+
+    def after(self, grown: list[tuple[list[Splits], np.ndarray]], first: int) -> Block:
+        """The block with its scores under grown, whose first round is `first`, too."""
+        raw = self.raw.copy()
+        for splits, leaf in grown[self.seen - first :]:
+            for k, tree in enumerate(splits):
+                raw[:, k] += leaf[k, nodes_of(self.bins, tree)]
+        return Block(self.bins, self.label, raw, first + len(grown))
+
+    def sums(self, growing: list[Splits]) -> np.ndarray:
+        """(class, node, feature, bin, 2): whole-number sums of first and second derivatives on the level to be split."""
+        width, classes = self.bins.shape[1], self.raw.shape[1]
+        nodes, p = len(growing[0]) + 1, softmax(self.raw)
+        out = np.empty((classes, nodes, width, BINS, 2), np.int64)
+        place = self.bins + (np.arange(width) * BINS)
+        for k in range(classes):
+            cells = (place + (nodes_of(self.bins, growing[k]) * width * BINS)[:, None]).ravel()
+            slopes = p[:, k] - (self.label == k), np.maximum(2 * p[:, k] * (1 - p[:, k]), 1e-16)
+            for d, v in enumerate(slopes):
+                # Doubles hold these sums exactly: a block has few rows.
+                out[k, ..., d] = np.bincount(cells, np.repeat(np.rint(v * FINE), width), nodes * width * BINS).reshape(nodes, width, BINS)
+        return out
+
+
+def _chosen(sums: np.ndarray, penalty: float, least: float) -> tuple[Splits, np.ndarray]:
+    """The best split of each node by its (node, feature, bin, 2) sums, and the sums (2, node, side) on either side of it."""
+    g, h = np.moveaxis(sums / FINE, -1, 0)
+    nodes = len(g)
+    total, empty = np.stack([v.sum(2)[:, :1, None] for v in (g, h)]), np.stack([v[..., BINS - 1 :] for v in (g, h)])
+    left = np.cumsum(np.stack([g, h])[..., : BINS - 1], 3)
+    best, choice = np.zeros(nodes), [(0, BINS, True)] * nodes
+    sides = np.stack([total[:, :, 0, 0], np.zeros((2, nodes))], 2)
+    for nulls_left in (False, True):
+        gl, hl = left + empty if nulls_left else left
+        gr, hr = total[0] - gl, total[1] - hl
+        gain = gl**2 / (hl + penalty) + gr**2 / (hr + penalty) - total[0] ** 2 / (total[1] + penalty)
+        gain = np.where((hl >= least) & (hr >= least), gain, -np.inf).reshape(nodes, -1)
+        for i, at in enumerate(gain.argmax(1)):
+            if gain[i, at] > best[i] + 1e-12:
+                best[i], choice[i] = gain[i, at], (int(at) // (BINS - 1), int(at) % (BINS - 1), nulls_left)
+                for d, (a, b) in enumerate(((gl, gr), (hl, hr))):
+                    sides[d, i] = a.reshape(nodes, -1)[i, at], b.reshape(nodes, -1)[i, at]
+    return choice, sides
+
+
+def boosted(level_sums: Callable[[list[tuple[list[Splits], np.ndarray]], list[Splits]], np.ndarray], classes: tuple[int, ...], edges: list[np.ndarray], rounds: int, depth: int, rate: float, penalty: float, least: float) -> Forest:
+    """Grow a forest; level_sums(trees so far, splits of the growing trees) gives the sums of Block over all rows."""
     inner = (1 << depth) - 1
     shape = (rounds, len(classes), inner)
     feature, value, nulls, leaf = np.zeros(shape, np.int64), np.full(shape, np.inf), np.ones(shape, bool), np.zeros((rounds, len(classes), inner + 1))
+    grown: list[tuple[list[Splits], np.ndarray]] = []
     for r in range(rounds):
-        p = softmax(raw)
-        for k in range(len(classes)):
-            splits, sums, node = _grown(place, bins, p[:, k] - y[:, k], np.maximum(2 * p[:, k] * (1 - p[:, k]), 1e-16), depth, penalty, least)
-            leaf[r, k] = -rate * sums[0] / (sums[1] + penalty)
-            for i, (f, last, side) in enumerate(splits):
+        growing: list[Splits] = [[] for _ in classes]
+        for _ in range(depth):
+            sums = level_sums(grown, growing)
+            found = [_chosen(sums[k], penalty, least) for k in range(len(classes))]
+            growing = [splits + new for splits, (new, _) in zip(growing, found)]
+        for k, (_, sides) in enumerate(found):
+            leaf[r, k] = (-rate * sides[0] / (sides[1] + penalty)).ravel()
+            for i, (f, last, side) in enumerate(growing[k]):
                 if last < BINS and len(edges[f]):
                     feature[r, k, i], value[r, k, i], nulls[r, k, i] = f, edges[f][min(last, len(edges[f]) - 1)], side
-            raw[:, k] += leaf[r, k, node]
+        grown.append((growing, leaf[r]))
     return Forest(classes, feature, value, nulls, leaf)
 
 
+def _on_one(block: Block, *growth) -> Forest:
+    """Grow on the rows of one block."""
+
+    def level_sums(grown: list, growing: list[Splits]) -> np.ndarray:
+        nonlocal block
+        if block.seen < len(grown):
+            block = block.after(grown, 0)
+        return block.sums(growing)
+
+    return boosted(level_sums, *growth)
+
+
+def fit_forest(x: np.ndarray, label: np.ndarray, rounds: int, depth: int, rate: float, penalty: float = 1.0, least: float = 1.0, edges: list[np.ndarray] | None = None) -> Forest:
+    """Boost on rows x in memory (nan for null) with labels 0 to 2; penalty is on squared leaves, least a side's sum of second derivatives."""
+    classes = tuple(int(c) for c in np.unique(label))
+    edges = quantiles(x) if edges is None else edges
+    block = Block(binned(x, edges), np.searchsorted(classes, label), np.zeros((len(x), len(classes))))
+    return _on_one(block, classes, edges, rounds, depth, rate, penalty, least)
+
+
 def _matrix(batch: pa.RecordBatch, columns: tuple[str, ...]) -> np.ndarray:
     return np.column_stack([batch[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns]).astype(float)
 
 
-def train(rows: DataFrame, features: tuple[str, ...], rounds: int, depth: int, rate: float, most_rows: int) -> Forest:
-    """Fit on rows (features and __label); of more than most_rows those with the lowest hashes, so reruns agree."""
-    data = rows.select(*[F.col(c).cast("double").alias(c) for c in features], F.col("__label").cast("int").alias("__label"))
-    if data.count() > most_rows:
-        data = data.orderBy(F.xxhash64(*data.columns)).limit(most_rows)
-    schema = "classes array<int>, feature array<long>, value array<double>, nulls_left array<boolean>, leaf array<double>"
+def feature_edges(data: DataFrame, features: tuple[str, ...]) -> list[np.ndarray]:
+    """Edges of every feature's bins, from sketches of bounded size: all values of up to BINS - 1 equally frequent ones, or quantiles."""
+    at = F.array(*[F.lit((k + 1) / (BINS - 1)) for k in range(BINS - 1)])
+    known = lambda c: F.when(~F.isnan(c), F.col(c))
+    row = data.agg(*[F.percentile_approx(known(c), at, F.lit(100 * BINS)).alias(f"q{k}") for k, c in enumerate(features)]).first()
+    return [np.unique(np.array(v if v is not None else [], float)) for v in row]
+
 
+def _blocks(features: tuple[str, ...], classes: tuple[int, ...], edges: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
-        if not table.num_rows:
-            return
-        x, label = _matrix(table, features), table["__label"].to_numpy()
-        # Rows come in any order; sums of doubles don't depend on it then.
-        order = np.lexsort((label, *x.T))
-        f = fit_forest(x[order], label[order], rounds, depth, rate)
-        yield pa.record_batch([pa.array([v.ravel().tolist() if isinstance(v, np.ndarray) else list(v)], pa.list_(t)) for v, t in ((f.classes, pa.int32()), (f.feature, pa.int64()), (f.value, pa.float64()), (f.nulls_left, pa.bool_()), (f.leaf, pa.float64()))], ["classes", "feature", "value", "nulls_left", "leaf"])
-
-    found = data.repartition(1).mapInArrow(run, schema).collect()
-    if not found:
+        held, size = [], 0
+
+        def block() -> pa.RecordBatch:
+            x, label = (np.concatenate(v) for v in zip(*held))
+            return pa.record_batch([pa.array([binned(x, edges).tobytes()], pa.binary()), pa.array([np.searchsorted(classes, label).astype(np.uint8).tobytes()], pa.binary())], ["bins", "label"])
+
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(a, BLOCK)
+                if held and size + part.num_rows > BLOCK:
+                    yield block()
+                    held, size = [], 0
+                held.append((_matrix(part, features), part["__label"].to_numpy()))
+                size += part.num_rows
+        if held:
+            yield block()
+
+    return run
+
+
+def train(rows: DataFrame, features: tuple[str, ...], rounds: int, depth: int, rate: float, penalty: float = 1.0, least: float = 1.0) -> Forest:
+    """Fit on all rows (features and __label), however many; a task has about BLOCK of them, or more if there are very many.
+
+    Lost blocks are made again from their written table and the trees so far. The rows of a table of one block are one
+    task's share anyway: there the task grows the same trees itself, without a job for each level.
+    """
+    data = rows.select(*[F.col(c).cast("double").alias(c) for c in features], F.col("__label").cast("int").alias("__label"))
+    counts = {r["__label"]: r["count"] for r in data.groupBy("__label").count().collect()}
+    if not counts:
         raise ValueError("no labelled rows to fit on")
-    row, inner = found[0], (1 << depth) - 1
-    shape = (rounds, len(row["classes"]), inner)
-    return Forest(tuple(row["classes"]), *[np.array(row[k], t).reshape(shape) for k, t in (("feature", np.int64), ("value", float), ("nulls_left", bool))], np.array(row["leaf"], float).reshape(*shape[:2], inner + 1))
+    classes = tuple(sorted(counts))
+    edges, width = feature_edges(data, features), len(features)
+    parts = min(-(-sum(counts.values()) // BLOCK), 100_000)
+    table = materialised(data.repartition(parts).mapInArrow(_blocks(features, classes, edges), "bins binary, label binary"), "bins")
+
+    def block(row) -> Block:
+        label = np.frombuffer(row["label"], np.uint8)
+        return Block(np.frombuffer(row["bins"], np.uint8).reshape(len(label), width), label, np.zeros((len(label), len(classes))))
+
+    growth = (classes, edges, rounds, depth, rate, penalty, least)
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.record_batch([pa.array([json.dumps(_on_one(block(row), *growth).as_dict())])], ["forest"])
+
+    if parts == 1:
+        forest = Forest.from_dict(json.loads(table.mapInArrow(here, "forest string").first()["forest"]))
+        released(table)
+        return forest
+    base = table.rdd.map(block)
+    kept, seen = base.persist(StorageLevel.MEMORY_AND_DISK), 0
+
+    def level_sums(grown: list, growing: list[Splits]) -> np.ndarray:
+        nonlocal kept, seen
+        if len(grown) >= seen + REFRESH:
+            # Always from the first blocks: a lost part needs all trees once, not a chain of kept scores.
+            so_far, seen = list(grown), len(grown)
+            old, kept = kept, table.rdd.map(block).map(lambda b: b.after(so_far, 0)).persist(StorageLevel.MEMORY_AND_DISK)
+            kept.count()
+            old.unpersist()
+        new, first = grown[seen:], seen
+        found = kept.map(lambda b: b.after(new, first).sums(growing))
+        return found.treeReduce(np.add, 2) if parts > 8 else found.reduce(np.add)
+
+    forest = boosted(level_sums, *growth)
+    kept.unpersist()
+    released(table)
+    return forest
 
 
 def predicted(df: DataFrame, forest: Forest, features: tuple[str, ...], names: tuple[str, ...]) -> DataFrame:

@@ -106,11 +106,44 @@ def test_trees(spark, table, tmp_path):
     again = models.load_model(f"file://{tmp_path}/trees", spark).transform(table.repartition(3)).collect()
     key = lambda rows: sorted((tuple(r[k] for k in KEY), r["p_home"]) for r in rows)
     assert key(rows) == key(again) == key(models.BoostedTrees(rounds=20).fit(table.repartition(5)).transform(table).collect())
-    assert len(models.BoostedTrees(rounds=2, most_rows=30).fit(table).forest.classes) >= 2
     unseen = models.BoostedTrees(rounds=2).fit(table.where("result != 'A'")).transform(table).collect()
     assert {r["p_away"] for r in unseen} == {0.0}
 
 
+@pytest.mark.parametrize("block, parts", [(1 << 16, 4), (150, 3), (40, 11)])
+def test_trees_grown_by_spark_are_those_grown_in_memory(spark, monkeypatch, block, parts):
+    """However many blocks and tasks the rows are in, past several keepings of scores, with nulls, ties and many values."""
+    monkeypatch.setattr(trees, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    x = np.column_stack([rng.random(400), rng.integers(0, 5, 400), rng.normal(size=400).round(1), np.full(400, np.nan)])
+    x[rng.random(x.shape) < 0.15] = np.nan
+    label = np.where(np.nan_to_num(x[:, 0], nan=0.9) > 0.6, 2, rng.integers(0, 3, 400))
+    names = ("a", "b", "c", "d")
+    rows = spark.createDataFrame([(*[None if np.isnan(v) else float(v) for v in r], int(y)) for r, y in zip(x, label)], "a double, b double, c double, d double, __label int").repartition(parts)
+    forest = trees.train(rows, names, 23, 3, 0.2)
+    want = trees.fit_forest(x, label, 23, 3, 0.2, edges=trees.feature_edges(rows, names))
+    for k in ("feature", "value", "nulls_left", "leaf"):
+        assert (getattr(forest, k) == getattr(want, k)).all(), k
+    assert (forest.probabilities(x).argmax(1) == label).mean() > 0.6
+    assert not [p for p in trees.feature_edges(rows, names) if len(p) >= trees.BINS]
+
+
+def test_trees_without_rows(spark):
+    with pytest.raises(ValueError):
+        trees.train(spark.createDataFrame([], "a double, __label int"), ("a",), 2, 2, 0.1)
+
+
+def test_trees_delete_their_blocks(spark, table):
+    from pathlib import Path
+
+    from pitchline.sources.shared import shared_folder
+
+    there = lambda: {p.name for p in Path(shared_folder(spark).removeprefix("file:")).glob("bins-*")}
+    before = there()
+    models.BoostedTrees(rounds=1).fit(table)
+    assert there() == before
+
+
 def test_first_tree_is_the_best_by_brute_force():
     """Depth 1: of all splits at a value, with nulls on either side, the one of the highest gain."""
     rng = np.random.default_rng(4)
