@@ -19,6 +19,7 @@ from ..config import SETTINGS, Settings
 from ..functions.outcomes import points
 from ..functions.seasons import season_of
 from ..schema import FAMILIES
+from .accumulators import Maker, accumulated_as_of, accumulated_features
 from .ratings import elo_as_of, elo_features
 from .windows import before_day, count, joined, mean, team_rows
 
@@ -204,6 +205,16 @@ class Family:
     as_of: Callable[..., DataFrame]
 
 
+def accumulated(name: str, columns: tuple[str, ...], make: Maker, scope: tuple[str, ...] = ("league",)) -> Family:
+    """A family whose columns an accumulator gives: make(settings) is a new one for each scope."""
+    return Family(
+        name,
+        columns,
+        lambda matches, settings=SETTINGS, history=None: accumulated_features(matches, make, columns, settings, scope),
+        lambda fixtures, history, settings=SETTINGS: accumulated_as_of(fixtures, history, make, columns, settings, scope),
+    )
+
+
 ALL_FAMILIES = (
     Family("elo", FAMILIES["elo"], elo_features, elo_as_of),
     Family("form", FAMILIES["form"], form_features, form_as_of),

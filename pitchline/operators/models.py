@@ -18,6 +18,7 @@ from ..functions.odds import implied
 from ..functions.outcomes import encode
 from ..schema import FEATURE_COLUMNS, PROBABILITIES
 from . import goals, trees
+from .selection import order_statistics
 
 
 class Fitted(Protocol):
@@ -69,7 +70,12 @@ class Scaling:
 
 def feature_medians(table: DataFrame, columns: tuple[str, ...] = FEATURE_COLUMNS) -> DataFrame:
     """One row: exact median of each column, 0 where it is all null."""
-    return table.agg(*[F.coalesce(F.percentile(c, F.lit(0.5)), F.lit(0.0)).alias(c) for c in columns])
+    return table.sparkSession.createDataFrame([_medians(table, columns)], ", ".join(f"`{c}` double" for c in columns))
+
+
+def _medians(table: DataFrame, columns: tuple[str, ...]) -> tuple[float, ...]:
+    found = order_statistics(table, {c: [0.5] for c in columns})
+    return tuple(0.0 if found[c][0] is None else found[c][0] for c in columns)
 
 
 def feature_scaling(table: DataFrame, columns: tuple[str, ...] = FEATURE_COLUMNS) -> DataFrame:
@@ -79,8 +85,8 @@ def feature_scaling(table: DataFrame, columns: tuple[str, ...] = FEATURE_COLUMNS
 
 
 def fit_scaling(table: DataFrame, columns: tuple[str, ...] = FEATURE_COLUMNS) -> Scaling:
-    """Two aggregations, of one row each; one number a column reaches the driver."""
-    median = tuple(float(v) for v in feature_medians(table, columns).first())
+    """Counts for the medians, then one aggregation of one row; a fixed number of counts a column reaches the driver."""
+    median = _medians(table, columns)
     bare = Scaling(tuple(columns), median, (), ())
     row = table.agg(*[F.avg(bare.filled(k)).alias(f"m{k}") for k in range(len(columns))], *[F.stddev_pop(bare.filled(k)).alias(f"s{k}") for k in range(len(columns))]).first()
     values = [float(v or 0.0) for v in row]

@@ -7,17 +7,20 @@ many matches there are.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import SETTINGS, Settings
 from ..functions.outcomes import elo_score
-from ..schema import KEY
+from ..schema import FAMILIES, KEY
+from .accumulators import Played, accumulated_features
+
+#: The home side's score by result.
+SCORES = {"H": 1.0, "D": 0.5, "A": 0.0}
 
 
 class Ratings:
@@ -53,30 +56,30 @@ def _ordered(matches: DataFrame, *more: str) -> DataFrame:
     return rows.repartition("league").sortWithinPartitions(*KEY)
 
 
+class Elo:
+    """The ratings as an accumulator: either side's, and the difference with the home advantage added."""
+
+    feature_names = FAMILIES["elo"]
+
+    def __init__(self, settings: Settings = SETTINGS):
+        self.ratings = Ratings(settings)
+
+    def pre_match(self, home: str, away: str, league: str, date: dt.date, /) -> dict[str, float]:
+        base, now = self.ratings.s.elo_base, self.ratings.now
+        h, a = now.get(home, base), now.get(away, base)
+        return dict(zip(self.feature_names, (h, a, h + self.ratings.s.elo_home_advantage - a)))
+
+    def update(self, match: Played, /) -> None:
+        self.ratings.play(match.date, match.home, match.away, SCORES.get(match.result))
+
+
 def elo_features(matches: DataFrame, settings: Settings = SETTINGS, history: DataFrame | None = None) -> DataFrame:
     """Either side's rating before the day, and the difference with the home advantage added.
 
     A team without a match so far has the base rating. The fold carries all columns along, so nothing is joined back;
     the history are the matches themselves.
     """
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        league, ratings = None, Ratings(settings)
-        for batch in batches:
-            home, away = [], []
-            for now, day, h, a, score in zip(*(batch[c].to_pylist() for c in (*KEY, "__score"))):
-                if now != league:
-                    league, ratings = now, Ratings(settings)
-                before = ratings.play(day, h, a, score)
-                home.append(before[0])
-                away.append(before[1])
-            own = [batch[c] for c in columns]
-            yield pa.record_batch([*own, pa.array(home, pa.float64()), pa.array(away, pa.float64())], [*columns, "elo_home", "elo_away"])
-
-    columns = matches.columns
-    schema = T.StructType([*matches.schema.fields, T.StructField("elo_home", T.DoubleType()), T.StructField("elo_away", T.DoubleType())])
-    rated = _ordered(matches, *columns).mapInArrow(fold, schema)
-    return rated.withColumn("elo_diff", F.col("elo_home") + F.lit(settings.elo_home_advantage) - F.col("elo_away"))
+    return accumulated_features(matches, Elo, Elo.feature_names, settings)
 
 
 def elo_ratings(matches: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
