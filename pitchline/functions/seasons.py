@@ -27,6 +27,13 @@ def recent_seasons(spark: SparkSession, n: int, today: str | None = None) -> Dat
     return years.select("start_year", season_code(F.col("start_year")).alias("season"))
 
 
+def recent_seasons_of(days: DataFrame, n: int) -> DataFrame:
+    """The last n start years up to the latest `date` of days: start_year, season; nothing without a date."""
+    last = days.agg(F.max("date").alias("day")).where("day is not null")
+    years = last.select(F.explode(F.sequence(start_year(F.col("day")) - (n - 1), start_year(F.col("day")))).alias("start_year"))
+    return years.select("start_year", season_code(F.col("start_year")).alias("season"))
+
+
 def file_name(division: Column, year: Column) -> Column:
     return F.concat(division, F.lit("_"), season_code(year), F.lit(".csv"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.outcomes import decode, elo_score, encode, points
-from ..functions.seasons import recent_seasons as seasons_up_to
+from ..functions.seasons import recent_seasons_of
 from ..functions.seasons import season_code as code
 from ..functions.seasons import season_of as season
 from ..functions.seasons import start_year
@@ -15,7 +15,7 @@ from ..operators.features import unknown_teams
 from ..schema import KEY, MATCHES
 from ..sources import matches as source
 from ..sources.warehouse import matches, raw_matches, table, with_odds
-from .base import CUTOFF, KEYS, TODAY, Book, number, rounded, season_sql, sql
+from .base import CUTOFF, KEYS, Book, number, rounded, season_sql, sql
 
 BOOK = Book()
 _ALL = ", ".join(MATCHES.fieldNames())
@@ -66,9 +66,10 @@ def season_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return years.select("start_year", code(F.col("start_year")).alias("season"))
 
 
-@BOOK.add("SELECT CAST(y AS INT) AS start_year, lpad(CAST(y % 100 AS VARCHAR), 2, '0') || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') AS season FROM range(1992, 2002) t(y)")
+@BOOK.add(sql("SELECT CAST(y AS INT) AS start_year, lpad(CAST(y % 100 AS VARCHAR), 2, '0') || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') AS season FROM (SELECT unnest(range(s - 9, s + 1)) AS y FROM (SELECT year(d) - CASE WHEN month(d) < 7 THEN 1 ELSE 0 END AS s FROM (SELECT max(date) AS d FROM m)))"))
 def recent_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seasons_up_to(spark, 10, TODAY)
+    """The ten seasons up to the one of the latest match."""
+    return recent_seasons_of(matches(spark, sf_dir), 10)
 
 
 @BOOK.add()

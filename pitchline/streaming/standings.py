@@ -7,15 +7,20 @@ day sees the ratings of the morning, whatever the order in which they came.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import SETTINGS, Settings
 from ..functions.outcomes import elo_score
+from ..functions.seasons import start_year
+from ..operators.accumulators import Maker, Played
 from ..operators.ratings import Ratings
 from ..operators.windows import team_rows
 
@@ -56,3 +61,52 @@ def rated_matches(stream: DataFrame, late: str = "2 days", settings: Settings =
 
     rows = stream.select("league", "date", "home", "away", elo_score(F.col("result")).alias("score"), F.col("date").cast("timestamp").alias("ts"))
     return rows.withWatermark("ts", late).groupBy("league").applyInPandasWithState(fold, RATED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+_MATCH = "league string, date date, home string, away string, ft_home_goals long, ft_away_goals long, result string"
+
+
+def _ms(day: dt.date) -> int:
+    return pd.Timestamp(day).value // 10**6
+
+
+def accumulated_matches(stream: DataFrame, make: Maker, names: tuple[str, ...], late: str = "2 days", settings: Settings = SETTINGS, by_season: bool = False) -> DataFrame:
+    """Matches of the stream with any accumulator's columns, emitted when the watermark has passed their day.
+
+    State is a league's accumulator and the matches of days still open, so all matches of a day are asked before any is
+    taken in, whatever the order in which they came. With by_season every season has an accumulator of its own, and its
+    state goes once the watermark has passed the season's end, so state doesn't grow with the years. Rows later than
+    `late` after a newer day are dropped, as the watermark says.
+    """
+    fields = [c.split()[0] for c in _MATCH.split(", ")]
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        made, waiting = state.get if state.exists else (None, [])
+        made = cloudpickle.loads(made) if made else make(settings)
+        rows = [Played(*w) for w in waiting]
+        for batch in batches:
+            rows += [Played(*r) for r in zip(*(batch[c].tolist() for c in fields))]
+        rows.sort(key=lambda m: (m.date, m.league, m.home, m.away))
+        mark, out = state.getCurrentWatermarkMs(), []
+        for _, day in groupby([m for m in rows if _ms(m.date) < mark], key=lambda m: m.date):
+            played = list(day)
+            asked = [made.pre_match(m.home, m.away, m.league, m.date) for m in played]
+            out += [(m.league, m.date, m.home, m.away, *(a[n] for n in names)) for m, a in zip(played, asked)]
+            for m in played:
+                made.update(m)
+        left = [m for m in rows if _ms(m.date) >= mark]
+        end = _ms(dt.date(int(key[1]) + 1, 7, 1)) if by_season else None
+        if end is not None and mark > end and not left:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((cloudpickle.dumps(made), [tuple(getattr(m, c) for c in fields) for m in left]))
+            due = _ms(left[0].date) if left else end
+            if due is not None:
+                state.setTimeoutTimestamp(max(mark, due) + 1)
+        yield pd.DataFrame(out, columns=["league", "date", "home", "away", *names])
+
+    rows = stream.select(*fields, start_year(F.col("date")).alias("__year"), F.col("date").cast("timestamp").alias("__ts")).withWatermark("__ts", late)
+    groups = rows.groupBy("league", "__year") if by_season else rows.groupBy("league")
+    schema = ", ".join(["league string, date date, home string, away string", *[f"`{n}` double" for n in names]])
+    return groups.applyInPandasWithState(fold, schema, f"made binary, waiting array<struct<{', '.join(c.replace(' ', ':') for c in _MATCH.split(', '))}>>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import sys
 
+import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from pitchline.operators.ratings import elo_features
+from pitchline.functions.seasons import season_of
+from pitchline.operators.accumulators import accumulated_features
+from pitchline.operators.ratings import Elo, elo_features
 from pitchline.operators.windows import team_rows
 from pitchline.schema import MATCHES
-from pitchline.streaming.standings import daily_records, rated_matches
+from pitchline.streaming.standings import accumulated_matches, daily_records, rated_matches
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def season():
@@ -53,3 +60,50 @@ def test_daily_records_of_a_stream(spark, tmp_path):
     out = spark.read.parquet(run(daily_records(feed(spark, folder, rows)), folder, "records")).where("league = 'L'")
     want = team_rows(spark.createDataFrame(rows, MATCHES)).groupBy("league", "team", F.col("date").alias("day")).agg(F.count(F.lit(1)).alias("played"), F.sum("points").alias("points"), F.sum("gf").alias("gf"), F.sum("ga").alias("ga"))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
+class Record:
+    """Points of either side so far and the goals of the last meeting."""
+
+    feature_names = ("points_home", "points_away", "last_goals")
+
+    def __init__(self, settings=None):
+        self.points, self.last = {}, {}
+
+    def pre_match(self, home, away, league, date, /):
+        return {"points_home": float(self.points.get(home, 0)), "points_away": float(self.points.get(away, 0)), "last_goals": self.last.get(frozenset((home, away)))}
+
+    def update(self, match, /):
+        for team, won in ((match.home, "H"), (match.away, "A")):
+            self.points[team] = self.points.get(team, 0) + (3 if match.result == won else 1 if match.result == "D" else 0)
+        self.last[frozenset((match.home, match.away))] = float(match.ft_home_goals + match.ft_away_goals)
+
+
+def picked(df, names):
+    return sorted(str((r["date"], r["home"], r["away"], *(None if r[n] is None or r[n] != r[n] else round(r[n], 6) for n in names))) for r in df.where("league = 'L'").collect())
+
+
+@pytest.mark.parametrize("made", [Record, Elo])
+def test_any_accumulator_streams_as_in_a_batch(spark, tmp_path, made):
+    rows, folder = season(), f"file://{tmp_path}"
+    random.Random(1).shuffle(rows)
+    stream = accumulated_matches(feed(spark, folder, rows), made, made.feature_names, late="90 days")
+    out = spark.read.parquet(run(stream, folder, "made"))
+    assert picked(out, made.feature_names) == picked(accumulated_features(spark.createDataFrame(rows, MATCHES), made, made.feature_names), made.feature_names)
+
+
+def test_seasons_reset_and_their_state_goes(spark, tmp_path):
+    """Ten seasons: values are those of a batch with an accumulator a season, and old seasons leave no state."""
+    folder, rows = f"file://{tmp_path}", []
+    for year in range(10):
+        rows += [(*r[:1], r[1].replace(year=r[1].year + year), *r[2:]) for r in season()[:24]]
+    source = feed(spark, folder, rows)
+    stream = accumulated_matches(source, Record, Record.feature_names, by_season=True)
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    sizes = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert len(sizes) >= 20 and max(sizes) <= 4
+    batch = accumulated_features(spark.createDataFrame(rows, MATCHES).withColumn("season", season_of(F.col("date"))), Record, Record.feature_names, scope=("league", "season"))
+    # The last day is still open.
+    want = batch.where(F.col("date") < F.lit(max(r[1] for r in rows)))
+    assert picked(spark.read.parquet(f"{folder}/out"), Record.feature_names) == picked(want, Record.feature_names)
