@@ -3,12 +3,15 @@
 Indicators of n-grams (words, pairs of words, word shapes, pairs of shapes) are scaled by the log ratio of their
 smoothed shares in the two classes; a hinge-loss linear model over them is fitted by dual coordinate descent
 (Hsieh et al. 2008) and Platt-calibrated on a part of the sample that the fit doesn't see. One task fits on a
-bounded sample of labelled rows; the model is one dense array of fixed size, broadcast to the scoring tasks.
+bounded sample of labelled rows. N-grams are known by 64-bit hashes, all of the sample's count, and a text's indicators
+are divided by the root of the number that the model knows, in the fit as in the scores. The model, no larger than the
+sample, is broadcast to the scoring tasks as sorted hashes and their weights.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -21,10 +24,8 @@ from .labelled import fold, platt, training_sample
 
 #: Most labelled rows that the fit sees.
 SAMPLE_ROWS = 6000
-#: Hash space of the indicators.
-BITS = 19
-#: An n-gram counts if so many sampled documents have it.
-LEAST_DOCUMENTS = 4
+#: Bits of an n-gram's hash.
+BITS = 64
 
 #: Classes of bytes in word shapes: lower-case and non-ASCII letters, capitals and digits; others stand for themselves.
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -48,7 +49,7 @@ def shape_hashes(w: Words) -> np.ndarray:
 
 
 def indicators(texts: pa.Array, bits: int = BITS) -> list[np.ndarray]:
-    """For each text the distinct n-gram numbers below 2 ** bits."""
+    """For each text the distinct n-grams' hashes of so many bits, sorted (as signed numbers)."""
     w = Words(texts)
     shape = shape_hashes(w)
     one, two = np.uint64(1), np.uint64(2)
@@ -57,26 +58,23 @@ def indicators(texts: pa.Array, bits: int = BITS) -> list[np.ndarray]:
     cut_ = np.uint64(64 - bits)
     singles = np.stack([mix(w.hash + one), shape]) >> cut_
     pairs = np.stack([pair(w.hash, one), pair(shape, two) ^ same]) >> cut_ if len(w.hash) > 1 else np.zeros((2, 0), np.uint64)
-    return [np.unique(np.concatenate([singles[:, a:b].ravel(), pairs[:, a : max(b - 1, a)].ravel()])).astype(np.int64) for a, b in zip(w.first[:-1], w.first[1:])]
+    return [np.unique(np.concatenate([singles[:, a:b].ravel(), pairs[:, a : max(b - 1, a)].ravel()]).view(np.int64)) for a, b in zip(w.first[:-1], w.first[1:])]
 
 
-def _featured(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = as_strings(batch["text"])
-            for a, b in text_chunks(texts):
-                rows = indicators(texts.slice(a, b - a), bits)
-                yield pa.record_batch([batch["doc_id"].slice(a, b - a), batch["label"].slice(a, b - a), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "label", "features"])
-
-    return run
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = as_strings(batch["text"])
+        for a, b in text_chunks(texts):
+            rows = indicators(texts.slice(a, b - a))
+            yield pa.record_batch([batch["doc_id"].slice(a, b - a), batch["label"].slice(a, b - a), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "label", "features"])
 
 
-def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, bits: int, least: int = LEAST_DOCUMENTS) -> np.ndarray:
-    """log of the indicator's smoothed share in class 1 over that in class 0; 0 for n-grams of too few documents."""
+def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, bits: int) -> np.ndarray:
+    """log of the smoothed share in class 1 over that in class 0, of each of 2 ** bits indicators; 0 for those in no row."""
     size = 1 << bits
     counts = [np.bincount(np.concatenate([r for r, y in zip(rows, labels) if y == c] or [np.zeros(0, np.int64)]), minlength=size) for c in (0, 1)]
     share = [(c + 1.0) / (n + 2.0) for c, n in zip(counts, ((labels == 0).sum(), (labels == 1).sum()))]
-    return np.where(counts[0] + counts[1] >= least, np.log(share[1] / share[0]), 0.0)
+    return np.where(counts[0] + counts[1] > 0, np.log(share[1] / share[0]), 0.0)
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, size: int, cost: float = 0.1, epochs: int = 12, seed: int = 5) -> tuple[np.ndarray, float]:
@@ -103,69 +101,91 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], la
     return weights, bias
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(weights of the indicators, [bias, slope, intercept]) of the calibrated model."""
+def scaled(used: np.ndarray) -> float:
+    """What a text's indicators are multiplied by: used are those that the model knows."""
+    return 1 / np.sqrt(max(len(used), 1))
+
+
+@dataclass(frozen=True)
+class Model:
+    """Sorted hashes of the n-grams that tell the classes apart, their weights, bias, and the calibration's slope and intercept."""
+
+    known: np.ndarray
+    weights: np.ndarray
+    bias: float
+    slope: float
+    intercept: float
+
+    def margins(self, rows: list[np.ndarray]) -> np.ndarray:
+        """The hinge-loss model's decision values of texts by their indicators."""
+        out = np.full(len(rows), self.bias)
+        if not len(self.known) or not rows:
+            return out
+        every = np.concatenate(rows)
+        at = np.minimum(np.searchsorted(self.known, every), len(self.known) - 1)
+        hit = self.known[at] == every
+        ends = np.cumsum([0, *map(len, rows)])
+        for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+            used = at[a:b][hit[a:b]]
+            out[i] += self.weights[used].sum() * scaled(used)
+        return out
+
+    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(rows) + self.intercept, -500, 500)))
+
+
+def trained(rows: list[np.ndarray], labels: np.ndarray) -> Model:
+    """The linear model of rows of hashes and labels 0 and 1, not calibrated."""
+    every = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]))
+    places = [np.searchsorted(every, r) for r in rows]
+    ratio = log_count_ratios(places, labels, max(len(every) - 1, 1).bit_length())[: len(every)]
+    used = [p[ratio[p] != 0] for p in places]
+    weights, bias = dual_coordinate_descent(used, [ratio[u] * scaled(u) for u in used], labels, len(every))
+    kept = ratio != 0
+    return Model(every[kept], (weights * ratio)[kept], bias, 1.0, 0.0)
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
+    """The calibrated model of all rows; slope and intercept are those of a model of three quarters, on the last quarter."""
     if len(set(labels.tolist())) < 2:
         share = (labels.sum() + 1) / (len(labels) + 2)
-        return np.zeros(1 << bits), np.array([0.0, 0.0, np.log(share / (1 - share))])
-    size = 1 << bits
-
-    def train(own: np.ndarray) -> tuple[np.ndarray, float]:
-        ratio = log_count_ratios([rows[i] for i in own], labels[own], bits)
-        used = [rows[i][ratio[rows[i]] != 0] for i in own]
-        scale = [1 / np.sqrt(max(len(u), 1)) for u in used]
-        weights, bias = dual_coordinate_descent(used, [ratio[u] * s for u, s in zip(used, scale)], labels[own], size)
-        return weights * ratio, bias
-
+        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0, float(np.log(share / (1 - share))))
     rest = np.arange(len(rows)) % 4 == 3
     if len(set(labels[~rest].tolist())) < 2:
         rest[:] = False
-    weights, bias = train(np.flatnonzero(~rest))
-    check = np.flatnonzero(rest if rest.any() else ~rest)
-    slope, intercept = platt(np.array([margin(weights, bias, rows[i]) for i in check]), labels[check])
-    weights, bias = train(np.arange(len(rows)))
-    return weights, np.array([bias, max(slope, 0.0), intercept])
-
-
-def margin(weights: np.ndarray, bias: float, row: np.ndarray) -> float:
-    own = weights[row]
-    return float(own.sum() / np.sqrt(max(np.count_nonzero(own), 1)) + bias)
-
+    own, check = np.flatnonzero(~rest), np.flatnonzero(rest if rest.any() else ~rest)
+    slope, intercept = platt(trained([rows[i] for i in own], labels[own]).margins([rows[i] for i in check]), labels[check])
+    return replace(trained(rows, labels), slope=max(slope, 0.0), intercept=intercept)
 
-def _fitted(bits: int):
-    def run(sample: pd.DataFrame) -> pd.DataFrame:
-        sample = sample.sort_values("doc_id")
-        weights, rest = fit([np.asarray(f, np.int64) for f in sample["features"]], sample["label"].to_numpy(), bits)
-        at = np.flatnonzero(weights)
-        return pd.DataFrame({"at": np.concatenate([at, -1 - np.arange(3)]), "weight": np.concatenate([weights[at], rest])})
 
-    return run
+def _fitted(sample: pd.DataFrame) -> pd.DataFrame:
+    sample = sample.sort_values("doc_id")
+    m = fit([np.asarray(f, np.int64) for f in sample["features"]], sample["label"].to_numpy())
+    more = pd.DataFrame({"at": np.arange(3), "weight": [m.bias, m.slope, m.intercept], "model": True})
+    return pd.concat([pd.DataFrame({"at": m.known, "weight": m.weights, "model": False}), more])
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2, rows: int = SAMPLE_ROWS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2, rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most `rows` labelled documents outside the held-out fold; without any the model is undecided."""
     texts = training_sample(docs, labels, label, folds, held, rows)
-    sample = texts.select("doc_id", "text", "label").mapInArrow(_featured(bits), "doc_id long, label int, features array<long>")
-    found = sample.groupBy(F.lit("fit")).applyInPandas(_fitted(bits), "at long, weight double").toPandas()
+    sample = texts.select("doc_id", "text", "label").mapInArrow(_featured, "doc_id long, label int, features array<long>")
+    found = sample.groupBy(F.lit("fit")).applyInPandas(_fitted, "at long, weight double, model boolean").toPandas()
     release(texts)
-    weights, rest = np.zeros(1 << bits), np.zeros(3)
-    at, weight = found["at"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
-    weights[at[at >= 0]] = weight[at >= 0]
-    rest[-1 - at[at < 0]] = weight[at < 0]
-    return weights, rest
+    if not len(found):
+        return fit([], np.zeros(0))
+    grams, more = found[~found["model"]].sort_values("at"), found[found["model"]].sort_values("at")
+    return Model(grams["at"].to_numpy(np.int64), grams["weight"].to_numpy(float), *map(float, more["weight"]))
 
 
-def score_quality(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
+def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row; texts without known n-grams get the score of the bias."""
-    shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, (bias, slope, intercept) = shared.value
         for batch in batches:
             texts = as_strings(batch["text"])
             for a, b in text_chunks(texts):
-                z = np.array([slope * margin(weights, bias, row) + intercept for row in indicators(texts.slice(a, b - a), bits)])
-                yield pa.record_batch([batch["doc_id"].slice(a, b - a), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
+                yield pa.record_batch([batch["doc_id"].slice(a, b - a), pa.array(shared.value.scores(indicators(texts.slice(a, b - a))))], ["doc_id", "score"])
 
     return base_view(docs).mapInArrow(run, "doc_id long, score double")
 

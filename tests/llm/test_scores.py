@@ -18,7 +18,7 @@ from pitchline.llm import entries, quality_rules as q
 from pitchline.llm.labelled import platt, training_sample
 from pitchline.llm.licenses import TEMPLATES, license_report, scan_licenses
 from pitchline.llm.line_dedup import boilerplate, clean_lines
-from pitchline.llm.nbsvm import dual_coordinate_descent, indicators, log_count_ratios, quality_scores
+from pitchline.llm.nbsvm import dual_coordinate_descent, fit, indicators, log_count_ratios, quality_scores, trained
 from pitchline.llm.toxicity import BlockMaxIndex, likelihood_ratio, toxicity_scores
 
 FOLDER = "/root/testdata/sf0.001"
@@ -193,6 +193,45 @@ def test_indicators_are_a_set_of_the_text_alone():
     assert (both[0] == both[2]).all() and len(both[1]) == 0 and len(set(both[0])) == len(both[0])
 
 
+def labelled_rows(seed=7, n=160):
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 2, n)
+    out = [f"{prose(int(i), int(rng.integers(1, 40)))} {'good word' if a else 'bad sign'} {prose(int(i) + 999, 3)}" if i % 7 else prose(int(i), 5) for i, a in enumerate(y)]
+    return out, y
+
+
+def test_scores_are_the_fitted_models_by_dense_brute_force(spark):
+    """Every n-gram of the sample in a dense matrix: ratios, norms, weights and scores by plain loops, rare n-grams too."""
+    texts, y = labelled_rows()
+    rows = indicators(pa.array(texts, pa.large_string()))
+    model = fit(rows, y)
+    grams = sorted(set().union(*map(set, map(np.ndarray.tolist, rows))))
+    dense = np.array([[g in own for g in grams] for own in map(set, map(np.ndarray.tolist, rows))], float)
+    one, none = ((dense[y == c].sum(0) + 1) / ((y == c).sum() + 2) for c in (1, 0))
+    ratio = np.log(one / none)
+    norm = np.sqrt(np.maximum((dense * (ratio != 0)).sum(1), 1))
+    values = dense * ratio / norm[:, None]
+    weights, bias = dual_coordinate_descent([np.flatnonzero(v) for v in values], [v[v != 0] for v in values], y, len(grams))
+    margin = values @ weights + bias
+    assert np.allclose(model.margins(rows), margin, atol=1e-9)
+    assert (dense.sum(0) == 1).sum() > 100 and model.known.tolist() == [g for g, r in zip(grams, ratio) if r]
+    want = 1 / (1 + np.exp(-(model.slope * margin + model.intercept)))
+    # The query fits on rows outside the held-out fold; here all of them are.
+    ids = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 4 != 2][: len(texts)]
+    docs = frame(spark, [(d, t, "s") for d, t in zip(ids, texts)])
+    got = {r["doc_id"]: r["score"] for r in quality_scores(docs, spark.createDataFrame([(d, int(a)) for d, a in zip(ids, y)], "doc_id long, quality int")).collect()}
+    assert np.allclose([got[d] for d in ids], want, atol=1e-6)
+
+
+def test_margins_of_the_fit_are_those_of_the_scores():
+    """The hinge loss's conditions hold for the scorer's margins: rows beyond their side of the margin have no part in it."""
+    texts, y = labelled_rows(3, 90)
+    rows = indicators(pa.array(texts, pa.large_string()))
+    model = trained(rows, y)
+    assert np.allclose(model.margins(rows[::-1])[::-1], model.margins(rows))
+    assert model.margins([np.zeros(0, np.int64)]).tolist() == [model.bias] and model.margins([]).tolist() == []
+
+
 def test_platt():
     rng = np.random.default_rng(0)
     x = rng.normal(0, 2, 4000)
