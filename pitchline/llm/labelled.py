@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import base_view, cut
@@ -20,8 +20,8 @@ def fold(doc_id: Column, folds: int) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """At most `rows` labelled documents outside fold `held`, and most_bytes of text: doc_id, text, label (0 or 1).
 
-    Which ones is decided by a hash of the id, so reruns agree; in that order documents are taken, whole, until the
-    next one would exceed the bytes. Rows without a label are left out; where an id has several labels the larger
+    Which ones is decided by a hash of the id, so reruns agree; in that order documents are taken, whole, if they still
+    fit into the bytes; one that doesn't is left out, and those after it may be taken. Rows without a label are left out; where an id has several labels the larger
     share decides, where it has several texts the first by code point. Ids and labels of the sample alone are
     broadcast, and `rows` bounds them. The sample lies in a file that `release` deletes.
     """
@@ -30,9 +30,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = base_view(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     sample = cut(texts, "labelled")
-    # One window over at most `rows` numbers.
-    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    within = sample.select("doc_id", so_far.alias("bytes")).where(F.col("bytes") <= most_bytes).select("doc_id")
+    # At most `rows` ids and sizes reach the driver.
+    left, within = most_bytes, []
+    for row in sample.select("doc_id", F.octet_length("text").alias("bytes")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if row["bytes"] <= left:
+            left -= row["bytes"]
+            within.append((row["doc_id"],))
+    within = docs.sparkSession.createDataFrame(within, "doc_id long")
     out = sample.join(F.broadcast(within), "doc_id").select("doc_id", "text", "label")
     out.cut_path = sample.cut_path
     return out

@@ -98,6 +98,16 @@ def test_training_sample_is_bounded_and_repeats(spark):
     assert a == b and len(a) == 30
 
 
+def test_a_text_that_does_not_fit_is_left_out_alone(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    known = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    first = training_sample(frame(spark, [(i, "x", "s") for i in ids]), known, "toxic", 5, 0, 1).first()["doc_id"]
+    docs = frame(spark, [(i, "long " * 500 if i == first else f"text {i}", "s") for i in ids])
+    rows = training_sample(docs, known, "toxic", 5, 0, 100, most_bytes=1000).collect()
+    assert {r["doc_id"] for r in rows} == set(ids) - {first}
+    assert training_sample(docs, known, "toxic", 5, 0, 1, most_bytes=1000).collect() == []
+
+
 @pytest.mark.parametrize("common", [1 / 16, 2.0, 0.0])
 def test_nearest_examples_are_exact(common):
     rng = np.random.default_rng(3)
