@@ -161,20 +161,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
 def _fitted(sample: pd.DataFrame) -> pd.DataFrame:
     sample = sample.sort_values("doc_id")
     m = fit([np.asarray(f, np.int64) for f in sample["features"]], sample["label"].to_numpy())
-    more = pd.DataFrame({"at": np.arange(3), "weight": [m.bias, m.slope, m.intercept], "model": True})
-    return pd.concat([pd.DataFrame({"at": m.known, "weight": m.weights, "model": False}), more])
+    return pd.DataFrame({"known": [m.known.tobytes()], "weights": [m.weights.astype(np.float32).tobytes()], "rest": [[m.bias, m.slope, m.intercept]]})
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2, rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most `rows` labelled documents outside the held-out fold; without any the model is undecided."""
+    """Fit on at most `rows` labelled documents outside the held-out fold; without any the model is undecided.
+
+    The model comes to the driver as arrays of bytes, 12 for each n-gram of the bounded sample.
+    """
     texts = training_sample(docs, labels, label, folds, held, rows)
     sample = texts.select("doc_id", "text", "label").mapInArrow(_featured, "doc_id long, label int, features array<long>")
-    found = sample.groupBy(F.lit("fit")).applyInPandas(_fitted, "at long, weight double, model boolean").toPandas()
+    found = sample.groupBy(F.lit("fit")).applyInPandas(_fitted, "known binary, weights binary, rest array<double>").collect()
     release(texts)
-    if not len(found):
+    if not found:
         return fit([], np.zeros(0))
-    grams, more = found[~found["model"]].sort_values("at"), found[found["model"]].sort_values("at")
-    return Model(grams["at"].to_numpy(np.int64), grams["weight"].to_numpy(float), *map(float, more["weight"]))
+    return Model(np.frombuffer(found[0]["known"], np.int64), np.frombuffer(found[0]["weights"], np.float32), *found[0]["rest"])
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
