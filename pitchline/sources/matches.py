@@ -1,15 +1,19 @@
 """Raw result files to the master table, and the master table's files.
 
-Headers differ from file to file, so each file is read by its own header as strings and the files are then united
-by name. A row must be complete before its teams are looked up; an unknown team in a complete row stops the build;
-rows that break a rule are kept apart with the reason.
+Headers differ from file to file, so the files of each header are read as strings and then united by name. A row must
+be complete before its teams are looked up; an unknown team in a complete row stops the build; rows that break a rule
+are kept apart with the reason.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +39,8 @@ ODDS_COLUMNS = (
     ("AvgH", "AvgD", "AvgA"),
 )
 SOURCE = "football-data"
+#: Files up to this size are hashed as one value; longer ones are read in chunks of the second size.
+WHOLE, CHUNK = 1 << 26, 1 << 23
 
 
 class UnknownTeam(ValueError):
@@ -50,12 +56,6 @@ def parse_date(text: Column) -> Column:
     return F.when(F.contains(t, F.lit("/")), F.when(year == 2, short).when(year == 4, long_)).otherwise(iso)
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """One file, all columns as strings, with file (its path) and row (its order in the file)."""
-    df = spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(path)
-    return df.withColumns({"file": F.lit(path), "row": F.monotonically_increasing_id()})
-
-
 def list_files(spark: SparkSession, folder: str) -> list[str]:
     """CSV files in a folder of any file system that Spark knows, sorted by name."""
     jvm = spark._jvm
@@ -68,30 +68,144 @@ def division_of(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/_]+)(?:_[^/]*)?\.csv$", 1)
 
 
+def _path() -> Column:
+    """The path of a row's file; Spark's own column is percent-encoded."""
+    return F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+
+
+def _opened(path: str) -> pa.NativeFile:
+    """A stream of the file at a path as Spark writes it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_stream("/" + path[5:].lstrip("/"))
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_stream(inner)
+
+
+def _streams(folder: str) -> bool:
+    """Whether pyarrow knows the file system of this folder."""
+    try:
+        return folder.startswith(("file:", "/")) or bool(fs.FileSystem.from_uri(folder))
+    except (pa.ArrowException, OSError):
+        return False
+
+
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first line of each file; nothing is read beyond the chunk that ends it."""
+    for batch in batches:
+        lines = []
+        for path in batch["path"].to_pylist():
+            with _opened(path) as stream:
+                line = b""
+                while b"\n" not in line and (chunk := stream.read(1 << 16)):
+                    line += chunk
+            lines.append(line.split(b"\n")[0].decode("latin-1"))
+        yield pa.record_batch([batch["path"], pa.array(lines, pa.string())], ["path", "header"])
+
+
+def _by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """The paths grouped by the first line of their files, in order of each group's first path.
+
+    One job reads the first lines only; on a file system that pyarrow doesn't know, it passes over the texts.
+    """
+    if _streams(paths[0]):
+        tasks = min(len(paths), spark.sparkContext.defaultParallelism * 4)
+        first = spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks).mapInArrow(_first_lines, "path string, header string")
+    else:
+        text = spark.read.option("encoding", "ISO-8859-1").text(paths)
+        rows = text.select(_path().alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"), "value")
+        first = rows.where("place.block = 0").groupBy("path").agg(F.min_by("value", "place").alias("header"))
+    groups = first.where("header != ''").groupBy(F.rtrim("header", F.lit("\r ")).alias("header")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return sorted(r["paths"] for r in groups.collect())
+
+
+def read_raw(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files of one header, all columns as strings, with file (its path) and row (rises within a file)."""
+    df = spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(paths)
+    return df.select("*", _path().alias("file"), F.monotonically_increasing_id().alias("row"))
+
+
 def scan_folder(spark: SparkSession, folder: str, divisions: dict[str, str] = DIVISIONS) -> DataFrame | None:
-    """All files of known divisions that have a Date column, united by column name; league by file name."""
-    frames = []
-    for path in list_files(spark, folder):
-        name = path.rsplit("/", 1)[-1].removesuffix(".csv").split("_")[0]
-        if name in divisions and "Date" in (df := read_raw(spark, path)).columns:
-            frames.append(df.withColumn("league", F.lit(divisions[name])))
+    """All files of known divisions that have a Date column, united by column name; league by file name.
+
+    There is one scan for each distinct header, however many files share it. Files without a line, and those whose
+    header lacks Date, are left out; None if nothing is left.
+    """
+    paths = [p for p in list_files(spark, folder) if p.rsplit("/", 1)[-1].removesuffix(".csv").split("_")[0] in divisions]
+    league = F.create_map(*[F.lit(x) for pair in divisions.items() for x in pair])
+    groups = [read_raw(spark, group) for group in (_by_header(spark, paths) if paths else [])]
+    frames = [df.withColumn("league", league[division_of(F.col("file"))]) for df in groups if "Date" in df.columns]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
 
 
-def file_digests(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """path, filename, sha256, bytes of all files of that name pattern below a folder; a task reads one file at a time."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+_FILE = "path string, filename string, bytes long, modified timestamp, sha256 string"
 
 
-def file_manifest(spark: SparkSession, folder: str, divisions: dict[str, str] = DIVISIONS) -> DataFrame:
-    """league, division, season, filename, sha256, bytes of the CSV files of known divisions."""
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of files too long for a row, read chunk by chunk."""
+    for batch in batches:
+        found = []
+        for path in batch["path"].to_pylist():
+            digest = hashlib.sha256()
+            with _opened(path) as stream:
+                while chunk := stream.read(CHUNK):
+                    digest.update(chunk)
+            found.append(digest.hexdigest())
+        yield pa.record_batch([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "sha256"])
+
+
+def file_digests(spark: SparkSession, folder: str, pattern: str = "*.csv", known: DataFrame | None = None, whole: int = WHOLE) -> DataFrame:
+    """path, filename, bytes, modified, sha256 of all files of that name pattern below a folder.
+
+    Files that known (the same columns) lists with the same path, length and time keep the digest they have there, and
+    aren't read. Spark hashes files of at most `whole` bytes as they are; longer ones are hashed in chunks, a file a
+    row, from any file system that pyarrow knows.
+    """
+    source = lambda: spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    own = [F.col("path"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")]
+    listed = source().load(folder).select(*own)
+    same = ["path", "bytes", "modified"]
+    fresh = listed if known is None else listed.join(known, same, "left_anti").select(*listed.columns)
+    # The paths of a listing are on the driver anyway, as Spark lists files there.
+    short = [r["path"] for r in fresh.where(F.col("bytes") <= whole).select("path").collect()]
+    found = fresh.where(F.col("bytes") > whole).repartition("path").mapInArrow(_streamed, _FILE)
+    if short:
+        found = found.unionByName(source().load(short).select(*own, F.sha2("content", 256).alias("sha256")))
+    return found if known is None else found.unionByName(listed.join(known.select(*same, "sha256"), same))
+
+
+def _manifest(files: DataFrame, divisions: dict[str, str]) -> DataFrame:
     division, known = division_of(F.col("path")), F.create_map(*[F.lit(x) for pair in divisions.items() for x in pair])
     season = F.regexp_extract("filename", r"_(\d{4})\.csv$", 1)
-    rows = file_digests(spark, folder).select(known[division].alias("league"), division.alias("division"), season.alias("season"), "filename", "sha256", "bytes")
+    rows = files.select(known[division].alias("league"), division.alias("division"), season.alias("season"), "filename", "sha256", "bytes")
     return rows.where("league is not null")
 
 
+def file_manifest(spark: SparkSession, folder: str, divisions: dict[str, str] = DIVISIONS) -> DataFrame:
+    """league, division, season, filename, sha256, bytes of the CSV files of known divisions."""
+    return _manifest(file_digests(spark, folder), divisions)
+
+
+def refreshed_manifest(spark: SparkSession, folder: str, place: str, divisions: dict[str, str] = DIVISIONS, force: bool = False) -> DataFrame:
+    """The manifest of a folder, kept at `place`: only files that are new or changed since the last call are read.
+
+    Each call writes a version of its own and reads the last complete one, so a call that fails leaves that one as it
+    is; older versions go. Files that went away leave the manifest. With force all files are read again.
+    """
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    system = path(place).getFileSystem(spark._jsc.hadoopConfiguration())
+    held = [f.getPath() for f in system.listStatus(path(place))] if system.exists(path(place)) else []
+    held = sorted((p for p in held if p.getName().startswith("v-")), key=lambda p: int(p.getName()[2:]))
+    whole = [p for p in held if system.exists(path(p, "_SUCCESS"))]
+    known = spark.read.schema(_FILE).parquet(str(whole[-1])) if whole and not force else None
+    target = f"{place}/v-{int(held[-1].getName()[2:]) + 1 if held else 0}"
+    file_digests(spark, folder, known=known).write.parquet(target)
+    for old in held:
+        if not whole or str(old) != str(whole[-1]):
+            system.delete(old, True)
+    return _manifest(spark.read.schema(_FILE).parquet(target), divisions)
+
+
 def is_complete() -> Column:
     """Date, both goals and a result of H, D or A are there."""
     number = lambda c: F.col(c).try_cast("double").isNotNull()

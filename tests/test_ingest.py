@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 
 import pytest
@@ -58,6 +59,48 @@ def test_manifest(spark, folder):
     assert all(len(r["sha256"]) == 64 and r["bytes"] > 0 for r in rows)
 
 
+def test_manifest_reads_what_changed_only(spark, folder):
+    place, at = f"file://{folder}/manifest", f"file://{folder}"
+    rows = lambda: sorted(tuple(r) for r in source.refreshed_manifest(spark, at, place).collect())
+    first = rows()
+    assert first == sorted(tuple(r) for r in source.file_manifest(spark, at).collect())
+    # A digest in the stored manifest that no file has: it stays as long as its file isn't read again.
+    stored = spark.read.parquet(f"{place}/v-0")
+    marked = spark.createDataFrame([r.asDict() | {"sha256": "kept"} for r in stored.collect()], stored.schema)
+    marked.write.parquet(f"{place}/v-1")
+    (folder / "I1_2324.csv").write_text("HomeTeam,AwayTeam\nx,z,w\n")
+    (folder / "D1_2324.csv").write_text("Date\n")
+    (folder / "SP1_2324.csv").unlink()
+    second = {r[3]: r[4] for r in rows()}
+    assert sorted(second) == ["D1_2324.csv", "E0_2324.csv", "I1_2324.csv"]
+    assert second["E0_2324.csv"] == "kept" and second["I1_2324.csv"] != "kept" != second["D1_2324.csv"]
+    assert {r["sha256"] for r in source.refreshed_manifest(spark, at, place, force=True).collect()} == {r["sha256"] for r in source.file_manifest(spark, at).collect()}
+    assert len(list((folder / "manifest").glob("v-*"))) == 2
+
+
+def test_long_files_are_hashed_in_chunks(spark, tmp_path):
+    with open(tmp_path / "E0_2021.csv", "wb") as f:
+        f.truncate(source.CHUNK * 3 + 17)
+    (tmp_path / "E0_2122.csv").write_bytes(b"short")
+    digests = lambda whole: sorted((r["filename"], r["sha256"]) for r in source.file_digests(spark, f"file://{tmp_path}", whole=whole).collect())
+    want = [(p.name, hashlib.sha256(p.read_bytes()).hexdigest()) for p in sorted(tmp_path.glob("*.csv"))]
+    assert digests(1 << 30) == digests(100) == digests(0) == want
+
+
+def test_one_scan_a_header_in_any_folder(spark, tmp_path, monkeypatch):
+    for n in range(30):
+        shape = "Date,HomeTeam" if n % 3 else "HomeTeam,Date"
+        row = f"{n}/1/2023,t{n}" if n % 3 else f"t{n},{n}/1/2023"
+        (tmp_path / f"E0 x_{n:04}.csv").write_text(f"{shape}\r\n{row}\r\n{row}\r\n")
+    (tmp_path / "E0 x_empty.csv").write_text("")
+    for known in (True, False):
+        monkeypatch.setattr(source, "_streams", lambda path, known=known: known)
+        raw = source.scan_folder(spark, f"file://{tmp_path}", {"E0 x": "L"})
+        assert len(raw.inputFiles()) == 30 and raw._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 2
+        assert sorted((r["league"], r["HomeTeam"], r["Date"]) for r in raw.collect()) == sorted(("L", f"t{n}", f"{n}/1/2023") for n in range(30) for _ in "ab")
+    assert source.scan_folder(spark, f"file://{tmp_path}", {"E1": "L"}) is None
+
+
 def test_registry_file(spark, tmp_path):
     (tmp_path / "teams.json").write_text('{\n "L": ["b", "a"],\n "M": ["c"]}')
     assert {tuple(r) for r in source.read_registry(spark, f"file://{tmp_path}/teams.json").collect()} == {("L", "a"), ("L", "b"), ("M", "c")}
