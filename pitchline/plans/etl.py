@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ..operators import matches as ops
 from ..operators.features import unknown_teams
 from ..schema import KEY, MATCHES
 from ..sources import matches as source
+from ..sources.shared import materialised, released, shared_folder
 from ..sources.warehouse import matches, raw_matches, table, with_odds
 from .base import CUTOFF, KEYS, Book, number, rounded, season_sql, sql
 
@@ -72,10 +75,70 @@ def recent_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recent_seasons_of(matches(spark, sf_dir), 10)
 
 
-@BOOK.add()
+#: Lines of a league's season as its file holds them; seasons that begin in an odd year have no closing odds.
+_FILES_SQL = """lines AS (SELECT replace(league, ' ', '-') AS division, league, date, home, away, {season} AS season,
+      (year(date) - CASE WHEN month(date) < 7 THEN 1 ELSE 0 END) % 2 = 0 AS closing, concat_ws(',',
+      CASE WHEN q % 3 = 0 THEN strftime(date, '%d/%m/%Y') WHEN q % 3 = 1 THEN strftime(date, '%d/%m/%y') WHEN q % 29 = 5 THEN 'soon' ELSE strftime(date, '%Y-%m-%d') END,
+      CASE WHEN q % 4 = 0 THEN 'Old ' || home ELSE ' ' || home || ' ' END, ' ' || away,
+      CASE WHEN q % 13 <> 0 THEN CAST(ft_home_goals AS VARCHAR) ELSE '' END, CASE WHEN q % 19 <> 0 THEN ft_away_goals || '.0' ELSE '' END,
+      CASE WHEN q % 17 = 0 THEN '' ELSE ' ' || result || ' ' END, CASE WHEN q % 7 = 0 THEN 'n/a' ELSE coalesce(CAST(odds_home AS VARCHAR), '') END, '3.4', '2.1') AS line,
+      CASE WHEN q % 5 = 0 THEN ',' || coalesce(CAST(odds_home AS VARCHAR), '') || ',' || coalesce(CAST(odds_draw AS VARCHAR), '') || ',' || coalesce(CAST(odds_away AS VARCHAR), '') ELSE ',,,' END AS odds FROM raw),
+files AS (SELECT league, division, season, division || '_' || season || '.csv' AS filename, count(*) AS rows,
+      'Date,HomeTeam,AwayTeam,FTHG,FTAG,FTR,B365H,B365D,B365A' || CASE WHEN any_value(closing) THEN ',PSCH,PSCD,PSCA' ELSE '' END || chr(10)
+      || string_agg(line || CASE WHEN closing THEN odds ELSE '' END, chr(10) ORDER BY date, home, away) || chr(10) AS content
+      FROM lines GROUP BY league, division, season)""".format(season=season_sql())
+_BASE = ("Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR", "B365H", "B365D", "B365A")
+
+
+def _raw_files(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, str]]:
+    """Folder of raw files, one for each league and season, and their divisions.
+
+    A file has at most a league's pairings on a season's days, as matches are distinct by day and teams.
+    """
+    place = f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(place).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = lambda n: F.split_part("row", F.lit("|"), F.lit(n))
+    day = F.to_date(part(1))
+    raw = materialised(_raw(spark, sf_dir).withColumns({"division": F.replace("league", F.lit(" "), F.lit("-")), "season": season(day), "closing": start_year(day) % 2 == 0}), "raw_rows")
+    for closing, columns in ((True, (*_BASE, "PSCH", "PSCD", "PSCA")), (False, _BASE)):
+        rows = raw.where(F.col("closing") == closing).repartition("division", "season").sortWithinPartitions("division", "season", part(1), part(3), part(4)).select(*columns, "division", "season")
+        written = f"{place}/parts-{closing}"
+        rows.write.partitionBy("division", "season").options(header=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(written)
+        # Spark names files itself: each league and season has one, which takes the name that such files have.
+        for f in system.globStatus(path(f"{written}/division=*/season=*/part-*")) or []:
+            division, year = (f.getPath().getParent().getParent().getName()[9:], f.getPath().getParent().getName()[7:])
+            system.rename(f.getPath(), path(f"{place}/{division}_{year}.csv"))
+        system.delete(path(written), True)
+    released(raw)
+    return place, {r["r_name"].replace(" ", "-"): r["r_name"] for r in table(spark, sf_dir, "region").select("r_name").distinct().collect()}
+
+
+def _of_files(spark: SparkSession, place: str, result: DataFrame, name: str) -> DataFrame:
+    """The result, written, after which its raw files go."""
+    out = materialised(result, name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
+@BOOK.add(sql("SELECT league, division, season, filename, sha256(content) AS sha256, CAST(strlen(content) AS BIGINT) AS bytes FROM files", RAW_SQL, _FILES_SQL))
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest and size of every file of the tables."""
-    return source.file_digests(spark, sf_dir, "*.parquet").drop("path")
+    """Digest and size of the raw file of every league and season."""
+    place, divisions = _raw_files(spark, sf_dir)
+    return _of_files(spark, place, source.file_manifest(spark, place, divisions), "manifest")
+
+
+@BOOK.add(sql("SELECT l.league, season, division || '_' || season || '.csv' AS filename, count(*) AS rows, count(CASE WHEN q % 13 <> 0 THEN 1 END) AS with_goals, count(CASE WHEN closing AND q % 5 = 0 THEN odds_home END) AS with_closing_odds, count(DISTINCT home) AS hosts FROM lines l JOIN raw r USING (league, date, home, away) GROUP BY ALL", RAW_SQL, _FILES_SQL))
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the raw files hold when they are found in their folder and scanned by their two headers."""
+    place, divisions = _raw_files(spark, sf_dir)
+    raw = source.scan_folder(spark, place, divisions)
+    name = F.element_at(F.split("file", "/"), -1)
+    host = F.trim(F.regexp_replace("HomeTeam", "^Old ", ""))
+    found = raw.groupBy("league", F.regexp_extract(name, r"_(\d{4})\.csv$", 1).alias("season"), name.alias("filename"))
+    found = found.agg(F.count(F.lit(1)).alias("rows"), F.count("FTHG").alias("with_goals"), F.count("PSCH").alias("with_closing_odds"), F.count_distinct(host).alias("hosts"))
+    return _of_files(spark, place, found, "scanned")
 
 
 @BOOK.add(sql(f"SELECT {_ALL} FROM m"))
