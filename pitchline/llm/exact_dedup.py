@@ -14,12 +14,13 @@ survivor and size back to every document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, base_view, cut
+from .common import ascii_lower, base_view, cut, release
 
 #: Digests that one shuffle partition should hold.
 KEYS_PER_PARTITION = 200_000
@@ -169,33 +170,60 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return slim.join(index, "digest").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def maintain(index: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:
-    """An index (columns of ENTRY) after documents came and others went.
+def members(docs: DataFrame) -> DataFrame:
+    """Live documents of an index that is maintained: (digest, doc_id, n), n rows of that id and text."""
+    return digests(docs).groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
 
-    Each partition of digests loads its stored keys into a cuckoo index, inserts or raises the digests of
-    `inserted`, lowers those of `deleted`, and deletes a digest when its last document goes. The survivor of a
-    digest that stays live keeps its role unless a larger doc_id comes. Deleting what isn't there does nothing.
-    """
-    stored = index.select("digest", "keep_id", "keep_row", "group_size", F.lit(0).alias("kind"))
-    change = lambda df, kind: digests(df).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.max("row").alias("keep_row"), F.count(F.lit(1)).alias("group_size")).withColumn("kind", F.lit(kind))
-    both = stored.unionByName(change(inserted, 1)).unionByName(change(deleted, 2))
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        live = CuckooIndex()
-        for digest, order, size, (kind,) in _entries(batches):
-            held = live.get(digest)
-            if kind < 2 and held is None:
-                live.insert(digest, [order, size])
-            elif kind < 2:
-                held[0], held[1] = max(held[0], order), held[1] + size
-            elif held is not None:
-                held[1] -= size
-                if held[1] <= 0:
-                    live.delete(digest)
-        yield _batch(list(live.items()))
 
-    return both.repartition(parts, "digest").sortWithinPartitions("digest", "kind").mapInArrow(apply, ENTRY)
+def _as_entries(live: DataFrame) -> DataFrame:
+    """Members as entries; an id occurs once for each digest, so the order of rows never decides."""
+    return live.select("digest", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("keep_row"), F.col("n").alias("group_size"))
+
+
+def index_of(live: DataFrame) -> DataFrame:
+    """The index (columns of ENTRY) of a table of members."""
+    return build_index(_as_entries(live))
+
+
+def _renewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stored entries (kind 0) less the digests that changed (1), and with what those hold now (2)."""
+    live = CuckooIndex()
+    for digest, order, size, (kind,) in _entries(batches):
+        held = live.get(digest)
+        if kind == 1:
+            live.delete(digest)
+        elif held is None:
+            live.insert(digest, [order, size])
+        else:
+            held[0], held[1] = max(held[0], order), held[1] + size
+    yield _batch(list(live.items()))
+
+
+def maintain(index: DataFrame, live: DataFrame, inserted: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index and its members (see `members`) after documents came and then others went.
+
+    Documents of `deleted` go by doc_id and text; a row of it takes one row away, and one that isn't there does
+    nothing. Each partition of digests loads its stored entries into a cuckoo index, deletes those of digests that
+    changed, and inserts these again with the survivor and size of the members that stay, so a survivor that goes is
+    followed by the next largest id, and a digest without members is gone. Members of other digests aren't read into
+    it. Null texts count as empty; a null doc_id is an id of its own, smaller than any other. Empty tables on any side
+    change nothing. Both results are written tables.
+    """
+    count = lambda df, came, went: df.select("digest", "doc_id", *[(F.col("n") if x else F.lit(0).cast("long")).alias(c) for c, x in (("more", came), ("less", went))])
+    change = cut(count(members(inserted), True, False).unionByName(count(members(deleted), False, True)), "changes")
+    changed = change.select("digest").distinct()
+    sums = count(live, True, False).unionByName(change).groupBy("digest", "doc_id").agg((F.sum("more") - F.sum("less")).alias("n"))
+    stay = cut(sums.where("n > 0"), "members")
+    # Copies fold in their partition before they are shuffled by digest.
+    now = _as_entries(stay.join(changed, "digest", "left_semi")).mapInArrow(_fold(FLUSH_KEYS), ENTRY)
+    gone = changed.select("digest", *[F.lit(None).cast("long").alias(c) for c in ("keep_id", "keep_row", "group_size")])
+    stored = index.select("digest", "keep_id", "keep_row", "group_size")
+    every = reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(k)) for k, df in enumerate((stored, gone, now))])
+    every = cut(every, "entries")
+    parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), every.count() // KEYS_PER_PARTITION + 1)
+    renewed = cut(every.repartition(parts, "digest").sortWithinPartitions("digest", "kind").mapInArrow(_renewed, ENTRY), "index")
+    release(change, every)
+    return renewed, stay
 
 
 def keep_largest(docs: DataFrame) -> DataFrame:

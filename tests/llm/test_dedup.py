@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from cases import edge_rows, frame, lower, prose, words
 
 from pitchline.llm import compact_windows as cw
-from pitchline.llm.exact_dedup import CuckooIndex, build_index, digests, exact_duplicates, keep_largest, maintain
+from pitchline.llm.exact_dedup import CuckooIndex, exact_duplicates, index_of, keep_largest, maintain, members
 from pitchline.llm.minmax_dedup import keep_one_of_each, min_max_signature, near_duplicates
 
 
@@ -121,11 +122,41 @@ def test_cuckoo_index_with_equal_fingerprints():
 
 def test_index_is_kept_up_to_date(spark):
     a, b, c = (frame(spark, [(d, t, "s") for d, t in x]) for x in ([(1, "x"), (2, "X"), (3, "y")], [(4, "z"), (5, "x")], [(3, "y"), (1, "x")]))
-    entries = lambda df: digests(df).selectExpr("digest", "doc_id AS keep_id", "row AS keep_row", "1L AS group_size")
-    after = maintain(build_index(entries(a)), b, c)
+    after, _ = maintain(index_of(members(a)), members(a), b, c)
     assert sorted((r["keep_id"], r["group_size"]) for r in after.collect()) == [(4, 1), (5, 2)]
 
 
+def test_the_next_largest_id_follows_a_survivor(spark):
+    a, none = frame(spark, [(1, "x", "s"), (5, "X", "s"), (None, "x", "s")]), frame(spark, [])
+    state = index_of(members(a)), members(a)
+    for gone, want in (([(5, "x", "s")], [(1, 2)]), ([(5, "x", "s"), (7, "q", "s")], [(1, 2)]), ([(1, "x", "s")], [(None, 1)]), ([(None, "X", "s")], [])):
+        state = maintain(*state, none, frame(spark, gone))
+        assert [(r["keep_id"], r["group_size"]) for r in state[0].collect()] == want
+    assert state[1].isEmpty() and maintain(*state, none, none)[0].isEmpty()
+
+
+def test_insertions_and_deletions_against_a_dictionary(spark):
+    rng, live = random.Random(11), Counter()
+    state = index_of(members(frame(spark, []))), members(frame(spark, []))
+    draw = lambda: (rng.choice([None, *range(12)]), rng.choice(["a", "A", "b b", "", None, "c" * 5000]))
+    norm = lambda row: (row[0], (row[1] or "").lower())
+    for _ in range(5):
+        came = [draw() for _ in range(55)]
+        went = [rng.choice(came + list(live)) if rng.random() < 0.8 else draw() for _ in range(45)]
+        for row in came:
+            live[norm(row)] += 1
+        for row in went:
+            live[norm(row)] = max(live[norm(row)] - 1, 0)
+        state = maintain(*state, frame(spark, [(*r, "s") for r in came]), frame(spark, [(*r, "s") for r in went]))
+        want = {}
+        for (doc, text), n in live.items():
+            if n:
+                keep, size = want.get(text, (None, 0))
+                want[text] = (max((d for d in (keep, doc) if d is not None), default=None), size + n)
+        got = {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in state[0].collect()}
+        assert got == {hashlib.sha256(t.encode()).digest(): v for t, v in want.items()}
+
+
 def windows_by_brute_force(values, least):
     """(centre, left, right) by definition: of each run the first minimum, gathered."""
     spans = {}
