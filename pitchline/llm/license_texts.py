@@ -135,6 +135,12 @@ _GNU = (
     ("lgpl-3.0", "library", "Lesser General Public License", "3"),
 )
 
+#: Notices that name no version.
+_UNVERSIONED = (("agpl", "Affero General Public License"), ("gpl", "General Public License"), ("lgpl", "Lesser General Public License"))
+
+#: SPDX identifiers in lower case. One that isn't here is found as spdx-other.
+_SPDX = ("agpl-3.0", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "bsl-1.0", "cc0-1.0", "epl-2.0", "gfdl-1.3", "gpl-2.0", "gpl-3.0", "isc", "lgpl-2.1", "lgpl-3.0", "mit", "mpl-2.0", "unlicense", "zlib")
+
 _CC = (
     ("by", "Attribution"),
     ("by-nc", "Attribution-NonCommercial"),
@@ -149,6 +155,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("mit", _MIT),
     ("isc", _ISC + _ISC_DISCLAIMED),
     ("isc", _ISC),
+    ("bsd-2-clause", _BSD),
+    ("bsd-3-clause", _BSD + _BSD_NAMES),
     ("bsd-2-clause", _BSD + _BSD_DISCLAIMED),
     ("bsd-3-clause", _BSD + _BSD_NAMES + _BSD_DISCLAIMED),
     ("zlib", _ZLIB),
@@ -159,7 +167,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("epl-2.0", _EPL),
     ("cc0-1.0", _CC0),
     ("gfdl-1.3", _GFDL),
-    *[(name, _gnu_header(work, licence, version, later)) for name, work, licence, version in _GNU for later in (True, False)],
+    *[(name, _gnu_header(work, licence, version, later)) for name, _, licence, version in _GNU for work in ("program", "library") for later in (True, False)],
     *[(name, f"This work is licensed under the GNU {licence}, version {version}.") for name, _, licence, version in _GNU],
     *[(name, f"This {work} is licensed under the GNU {licence}, version {version}.") for name, work, licence, version in _GNU],
     *[(f"cc-{code}-{v}", f"This work is licensed under a Creative Commons {name} {v} {port} License.") for code, name in _CC for v, port in (("4.0", "International"), ("3.0", "Unported"))],
@@ -167,6 +175,11 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("mit", "Released under the MIT License."),
     ("mit", "Licensed under the MIT License."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("apache-2.0", "Licensed under the Apache License 2.0."),
+    *[(name, f"Licensed under the GNU {licence} v{version if '.' in version else version + '.0'}.") for name, _, licence, version in _GNU],
+    *[(name, f"Licensed under the GNU {licence}.") for name, licence in _UNVERSIONED],
+    *[(name, f"SPDX-License-Identifier: {name}") for name in _SPDX],
+    ("spdx-other", "SPDX-License-Identifier:"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("bsd-style", "Use of this source code is governed by a BSD-style license."),
     ("public-domain", "This work has been dedicated to the public domain."),

@@ -11,6 +11,7 @@ One pass over the texts, a row out for each row in; a task's state is the templa
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -123,8 +124,10 @@ class Scanner:
         best, ends = [], []
         ranked = sorted(found, key=lambda f: (-round(f[0], 12), -np.isin(self.words[f[3]], w.hash[f[1] : f[2] + 1]).sum(), f[1], self.names[f[3]]))
         for d, i, j, t in ranked:
-            if all(j < a or i > b for a, b in ends):
-                ends.append((i, j))
+            # Those that stay don't overlap, so their ends rise with their starts: only the next one on either side counts.
+            k = bisect_left(ends, (i, j))
+            if (k == 0 or ends[k - 1][1] < i) and (k == len(ends) or ends[k][0] > j):
+                ends.insert(k, (i, j))
                 best.append((self.names[t], d, int(i - w.first[row]), int(j - w.first[row]), int(i), int(j)))
         return sorted(best, key=lambda f: f[2])
 
@@ -147,7 +150,8 @@ def with_licenses(docs: DataFrame, templates: Iterable[tuple[str, str]] | None =
                 w = normalised(texts.slice(a, b - a))
                 place, gram = scanner.hits(w)
                 edges = np.searchsorted(place, w.first)
-                chars = np.concatenate([[0], np.cumsum((w.buf & 0xC0) != 0x80)])
+                # Counted in the text as it is: a sign that separates is several spaces in the words' buffer.
+                chars = np.concatenate([[0], np.cumsum((raw_bytes(texts.slice(a, b - a))[0] & 0xC0) != 0x80)])
                 rows = []
                 for r, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
                     found = scanner.scan(w, r, place[i:j], gram[i:j])

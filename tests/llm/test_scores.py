@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from pitchline.llm import entries, quality_rules as q
 from pitchline.llm.labelled import platt, training_sample
-from pitchline.llm.licenses import TEMPLATES, license_report, scan_licenses
+from pitchline.llm.license_texts import _BSD, _BSD_NAMES, _gnu_header
+from pitchline.llm.licenses import TEMPLATES, Scanner, license_report, normalised, scan_licenses
 from pitchline.llm.line_dedup import boilerplate, clean_lines
 from pitchline.llm.nbsvm import dual_coordinate_descent, fit, indicators, log_count_ratios, quality_scores, trained
 from pitchline.llm.toxicity import BlockMaxIndex, likelihood_ratio, toxicity_scores
@@ -307,6 +309,34 @@ def test_every_template_is_named(spark, place):
     assert all(r["dice"] == 1.0 for r in got.values())
 
 
+def test_licences_by_name(spark):
+    lines = {
+        "SPDX-License-Identifier: MIT": "mit",
+        "// SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0",
+        "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause",
+        "SPDX-License-Identifier: Foo-1.1": "spdx-other",
+        "Licensed under the Apache License 2.0": "apache-2.0",
+        "Licensed under the GNU General Public License v3.0": "gpl-3.0",
+        "Licensed under the GNU Lesser General Public License v2.1": "lgpl-2.1",
+        "Licensed under the GNU General Public License": "gpl",
+        _gnu_header("program", "Lesser General Public License", "3", True): "lgpl-3.0",
+        _BSD + _BSD_NAMES: "bsd-3-clause",
+        "The license of this identifier": None,
+    }
+    rows = [(i, f"some words before {line} and some after", "s") for i, line in enumerate(lines)]
+    got = {r["doc_id"]: r["license"] for r in license_report(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == list(lines.values())
+
+
+def test_many_notices_in_one_text():
+    text = "Released under the MIT License. Other words stand here. " * 20_000
+    scanner = Scanner(TEMPLATES, 0.8)
+    w = normalised(pa.array([text], pa.large_string()))
+    start = time.monotonic()
+    found = scanner.scan(w, 0, *scanner.hits(w))
+    assert len(found) == 20_000 and {f[0] for f in found} == {"mit"} and time.monotonic() - start < 20
+
+
 def test_licences_stay_with_their_row(spark):
     mit, gpl = TEMPLATES[0][1], next(t for n, t in TEMPLATES if n == "gpl-3.0")
     rows = [(None, mit, "s"), (None, None, "s"), (2, gpl, "s"), (2, "nothing here at all", "s"), (2, gpl, "s"), (3, f"{mit}\n{prose(1, 30)}\n{gpl} {mit}", "s"), (4, "", "s")]
