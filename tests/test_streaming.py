@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import shutil
 import sys
 
 import pytest
@@ -15,6 +16,7 @@ from pitchline.operators.accumulators import accumulated_features
 from pitchline.operators.ratings import Elo, elo_features
 from pitchline.operators.windows import team_rows
 from pitchline.schema import MATCHES
+from pitchline.streaming.late import accepted_stream, split_batch, split_late, split_rows
 from pitchline.streaming.standings import accumulated_matches, daily_records, rated_matches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -107,3 +109,35 @@ def test_seasons_reset_and_their_state_goes(spark, tmp_path):
     # The last day is still open.
     want = batch.where(F.col("date") < F.lit(max(r[1] for r in rows)))
     assert picked(spark.read.parquet(f"{folder}/out"), Record.feature_names) == picked(want, Record.feature_names)
+
+
+def test_late_rows_are_kept_with_their_reason(spark, tmp_path):
+    place, rng = f"file://{tmp_path}/split", random.Random(3)
+    rows = season()
+    shuffled = sorted(rows, key=lambda r: r[1] + dt.timedelta(days=rng.choice([0, 0, 0, 5, 20])))
+    shuffled[7] = (*shuffled[7][:1], None, *shuffled[7][2:])
+    files = [shuffled[k : k + 12] for k in range(0, len(shuffled), 12)]
+
+    def send(part):
+        for f in part:
+            spark.createDataFrame(f, MATCHES).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = spark.readStream.schema(MATCHES).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+        assert split_late(stream, place).trigger(availableNow=True).start().awaitTermination(120)
+
+    send(files[:3])
+    send(files[3:])
+    want, newest = [], None
+    for f in files:
+        kinds = ["no_date" if r[1] is None else "late" if newest and r[1] < newest - dt.timedelta(days=2) else "accepted" for r in f]
+        want += [(r[1], r[2], r[3], k) for r, k in zip(f, kinds)]
+        newest = max([d for d in [newest, *[r[1] for r in f]] if d])
+    key = lambda r: (r[0] or dt.date.min, *r[1:])
+    got = lambda: sorted(((r["date"], r["home"], r["away"], r["kind"]) for r in split_rows(spark, place).collect()), key=key)
+    assert got() == sorted(want, key=key) and {k[3] for k in want} == {"accepted", "late", "no_date"}
+    # A batch that is sent again, as after a lost driver, adds nothing, nor does one whose note was never written.
+    split_batch(spark.createDataFrame(files[2], MATCHES), 2, place, 2)
+    shutil.rmtree(tmp_path / "split/newest/4")
+    split_batch(spark.createDataFrame(files[4], MATCHES), 4, place, 2)
+    assert got() == sorted(want, key=key) and (tmp_path / "split/newest/4/_SUCCESS").exists()
+    out = spark.read.parquet(run(accepted_stream(spark, place, MATCHES), f"file://{tmp_path}", "again"))
+    assert out.count() == sum(k[3] == "accepted" for k in want)
