@@ -225,12 +225,12 @@ def best_odds(columns: list[str], triples: tuple[tuple[str, str, str], ...] = OD
 
 
 def normalised(df: DataFrame, aliases: DataFrame | None = None, columns: tuple[str, ...] = ("home", "away")) -> DataFrame:
-    """df with team names trimmed and aliases (alias, team) replaced."""
+    """df with team names trimmed and aliases (alias, team) replaced; Spark broadcasts these if their size allows it."""
     for c in columns:
         df = df.withColumn(c, F.trim(c))
         if aliases is not None:
             own = aliases.select(F.col("alias").alias("__alias"), F.col("team").alias("__team"))
-            df = df.join(F.broadcast(own), F.col(c) == F.col("__alias"), "left").withColumn(c, F.coalesce("__team", c)).drop("__alias", "__team")
+            df = df.join(own, F.col(c) == F.col("__alias"), "left").withColumn(c, F.coalesce("__team", c)).drop("__alias", "__team")
     return df
 
 
