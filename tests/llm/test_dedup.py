@@ -312,3 +312,18 @@ def test_one_row_of_a_class_stays_whatever_the_ids(spark):
     rows = [(1, same, "s"), (2, same, "s"), (None, same, "s"), (2, other, "s"), (None, other + " more", "s"), (None, None, "s"), (3, "", "s"), (3, prose(3, 50), "s"), (3, prose(3, 50), "s")]
     got = sorted((r["text"] or "") for r in keep_one_of_each(frame(spark, rows)).collect())
     assert len(got) == 5 and got[:2] == ["", ""] and {t[:40] for t in got[2:]} == {same[:40], other[:40], prose(3, 50)[:40]}
+
+
+@pytest.mark.parametrize("mates", [1, 200])
+def test_small_and_large_buckets_find_the_same_documents(spark, monkeypatch, mates):
+    """Two of eight that hold a phrase share more about it: found by meeting in the bucket and by the join of shingles alike."""
+    monkeypatch.setattr(cw, "MATES", mates)
+    rows, want = [], set()
+    for case, (size, more) in enumerate([(20, 40), (35, 25)]):
+        phrase, base = prose(7000 + case, size), 1000 * (case + 1)
+        passage = f"{prose(7100 + case, more)} {phrase} {prose(7200 + case, more)}"
+        rows += [(base + i, f"{prose(5 * 10**6 + base + i, 70)} {phrase} {prose(6 * 10**6 + base + i, 70)}", "s") for i in range(6)]
+        rows += [(base + 100 + i, f"{prose(7 * 10**6 + base + i, 60)} {passage} {prose(8 * 10**6 + base + i, 60)}", "s") for i in range(2)]
+        want.add((base + 100, base + 101, size + 2 * more))
+    got = cw.repeated_passages(frame(spark, rows)).collect()
+    assert {(*sorted((r["doc_id"], r["match_id"])), r["last_word"] - r["first_word"] + 1) for r in got} == want
