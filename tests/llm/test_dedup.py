@@ -327,3 +327,48 @@ def test_small_and_large_buckets_find_the_same_documents(spark, monkeypatch, mat
         want.add((base + 100, base + 101, size + 2 * more))
     got = cw.repeated_passages(frame(spark, rows)).collect()
     assert {(*sorted((r["doc_id"], r["match_id"])), r["last_word"] - r["first_word"] + 1) for r in got} == want
+
+
+def test_pairs_are_verified_together_as_one_by_one():
+    """Many pairs in one step, with repeated shingles and ranges that split, against sets counted for each pair alone."""
+    rng = np.random.default_rng(12)
+
+    def alone(x, y, least, percent):
+        out, todo = [], [(0, len(x), 0, len(y))]
+        while todo:
+            i, j, k, l = todo.pop()
+            in_x, in_y = [v in set(y[k:l]) for v in x[i:j]], [v in set(x[i:j]) for v in y[k:l]]
+            if min(j - i, l - k) < least or sum(in_x) * 100 < least * percent // 2:
+                continue
+            i, j, k, l = i + in_x.index(True), j - in_x[::-1].index(True), k + in_y.index(True), l - in_y[::-1].index(True)
+            own, other = set(x[i:j]), set(y[k:l])
+            if min(j - i, l - k) < least:
+                continue
+            if len(own & other) * 100 >= percent * len(own | other):
+                out.append((i, j, k, l, len(own & other) / len(own | other)))
+                continue
+            gaps = []
+            for row, start in (([v in other for v in x[i:j]], i), ([v in own for v in y[k:l]], k)):
+                at = [n + start for n, same in enumerate(row) if same]
+                gaps.append(max(((b - a - 1, -a - 1) for a, b in zip(at, at[1:])), default=(0, 0)))
+            (gap_x, from_x), (gap_y, from_y) = gaps
+            if gap_x >= gap_y and gap_x:
+                todo += [(i, -from_x, k, l), (-from_x + gap_x, j, k, l)]
+            elif gap_y:
+                todo += [(i, j, k, -from_y), (i, j, -from_y + gap_y, l)]
+        return sorted(out)
+
+    found = 0
+    for _ in range(30):
+        pairs = []
+        for _ in range(15):
+            x = rng.integers(0, rng.integers(2, 300), rng.integers(0, 160))
+            y = np.concatenate([rng.integers(0, 300, rng.integers(0, 40)), np.where(rng.random(len(x)) < rng.random() * 0.3, 999, x)])
+            pairs.append((x, y))
+        least, percent = int(rng.integers(5, 50)), int(rng.integers(50, 95))
+        xo, yo = (np.cumsum([0, *[len(p[k]) for p in pairs]]) for k in (0, 1))
+        got = cw.passages_of_pairs(np.concatenate([x for x, _ in pairs]), xo, np.concatenate([y for _, y in pairs]), yo, least, percent)
+        want = [(n, *p) for n, (x, y) in enumerate(pairs) for p in alone(x.tolist(), y.tolist(), least, percent)]
+        assert list(zip(*[v.tolist() for v in got])) == want
+        found += len(want)
+    assert found > 100
