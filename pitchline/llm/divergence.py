@@ -1,9 +1,9 @@
 """Source divergence audit: how far the word use of each source lies from its language and from its other sources.
 
-Terms are encoded by sorted arrays of kept terms: each task counts the terms of its texts by (lang, source); the counts,
-ranges of terms by lang and UTF-8 order, meet in tasks that settle which terms are kept and cut them into chunks of one
-lang. Within a chunk a term's id is its place in the chunk's sorted array (searchsorted), and ids in bincount give one
-dense vector a group. Ids keep UTF-8 order, so the first of equal values is the first by term, and what chunks find can
+Terms are encoded by sorted arrays of kept terms: each task counts the terms of its texts by (lang, source), a row for
+each term of a lang; the counts, ranges of terms by lang and UTF-8 order, meet in tasks that settle which terms are kept
+and cut them into chunks of one lang. Within a chunk a term's id is its place in the chunk's sorted array (searchsorted
+finds it from the place of its rows), and ids in bincount give one dense vector a group. Ids keep UTF-8 order, so the first of equal values is the first by term, and what chunks find can
 be merged without looking at the strings of other chunks. All arithmetic is in integers.
 
 No task holds the whole dictionary: state is one chunk, a number for each pair of a lang's sources, and the best terms.
@@ -31,70 +31,87 @@ UNIT = 1_000_000_000
 
 
 def _counted(held: int):
-    def rows(counts: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in counts.items():
-            terms = list(n)
+    def rows(counts: dict, docs: dict) -> Iterator[pa.RecordBatch]:
+        for lang, by_source in counts.items():
+            start, sources = lang.encode() + b"\0", pa.array(list(by_source), pa.string())
+            found = pa.array([t for n in by_source.values() for t in n], pa.binary()).dictionary_encode()
+            of = np.repeat(np.arange(len(by_source), dtype=np.int32), [len(n) for n in by_source.values()])
+            count = np.fromiter((x for n in by_source.values() for x in n.values()), np.int64, len(found))
+            code, terms = found.indices.to_numpy(), found.dictionary.to_pylist()
+            order = np.argsort(code, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(terms)))])
             for a in range(0, len(terms), 1 << 15):
-                part = terms[a : a + (1 << 15)]
-                start = lang.encode() + b"\0"
+                part, at = terms[a : a + (1 << 15)], ends[a : a + (1 << 15) + 1]
+                own = order[at[0] : at[-1]]
+                offsets = pa.array((at - at[0]).astype(np.int32))
                 yield pa.record_batch(
                     [
                         pa.array([start + t for t in part], pa.binary()).cast(pa.string()),
-                        pa.array([source], pa.string()).take(pa.array(np.zeros(len(part), np.int32))),
-                        pa.array([n[t] for t in part], pa.int64()),
-                        pa.array([docs[t] for t in part], pa.int64()),
+                        pa.ListArray.from_arrays(offsets, sources.take(pa.array(of[own]))),
+                        pa.ListArray.from_arrays(offsets, pa.array(count[own])),
+                        pa.array([docs[lang][t] for t in part], pa.int64()),
                     ],
-                    ["key", "source", "n", "docs"],
+                    _COUNTS,
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, size = {}, 0
+        counts, docs, size = {}, {}, 0
         for batch in batches:
             for lang, source, text in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist()):
-                n, docs = counts.setdefault((lang, source), (Counter(), Counter()))
+                n = counts.setdefault(lang, {}).setdefault(source, Counter())
                 terms = _TERM.findall(text.lower())
                 size -= len(n)
                 n.update(terms)
-                docs.update(set(terms))
+                docs.setdefault(lang, Counter()).update(set(terms))
                 size += len(n)
                 if size > held:
-                    yield from rows(counts)
-                    counts, size = {}, 0
-        yield from rows(counts)
+                    yield from rows(counts, docs)
+                    counts, docs, size = {}, {}, 0
+        yield from rows(counts, docs)
 
     return run
 
 
+_COUNTS = ["key", "sources", "n", "docs"]
+
+
 def term_counts(docs: DataFrame, held: int = HELD) -> DataFrame:
-    """(key, source, n, docs): occurrences and documents, summed within tasks; nulls count as empty.
+    """(key, sources, n, docs): occurrences in each source and documents, summed within tasks; nulls count as empty.
 
     A key is lang, a zero character and term. Terms have no zero, so equal keys have the same lang and term, and the keys
     of a lang come in the order of its terms. (As one column they sort faster: lang alone fills the sort's prefix.)
     """
     view = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return view.mapInArrow(_counted(held), "key string, source string, n long, docs long")
+    return view.mapInArrow(_counted(held), "key string, sources array<string>, n array<long>, docs long")
 
 
 _CHUNK = "lang string, terms array<string>, sources array<string>, at array<int>, of array<int>, n array<long>, sums array<long>"
 
 
-def _chunk(lang: str, table: pa.Table, kept: np.ndarray) -> pa.RecordBatch:
-    """One chunk as a row: sorted kept terms, its sources, and counts by (term id, source number)."""
-    source = table["source"].combine_chunks().dictionary_encode()
-    ids = np.searchsorted(kept, np.array([k.rsplit("\0", 1)[1] for k in table["key"].to_pylist()], object))
-    of, n = source.indices.to_numpy(), table["n"].to_numpy()
-    width = len(source.dictionary)
+def _flat(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Entries of lists one after another, and the number of entries of each list."""
+    return column.flatten(), np.diff(column.offsets.to_numpy())
+
+
+def _chunk(lang: str, table: pa.Table, starts: np.ndarray, kept: list[str]) -> pa.RecordBatch:
+    """One chunk as a row: sorted kept terms, the first row of each in starts, its sources, and counts by (term id, source number)."""
+    names, size = _flat(table["sources"].combine_chunks())
+    source, n = names.dictionary_encode(), _flat(table["n"].combine_chunks())[0].to_numpy()
+    ids = np.repeat(np.searchsorted(starts, np.arange(len(table)), "right") - 1, size)
+    of, width = source.indices.to_numpy(), len(source.dictionary)
     cells = np.bincount(ids * width + of, n, len(kept) * width).astype(np.int64)
     used = np.flatnonzero(cells)
-    row = ([lang], [kept.tolist()], [source.dictionary.to_pylist()], [(used // width).astype(np.int32)], [(used % width).astype(np.int32)], [cells[used]], [np.bincount(of, n, width).astype(np.int64)])
+    row = ([lang], [kept], [source.dictionary.to_pylist()], [(used // width).astype(np.int32)], [(used % width).astype(np.int32)], [cells[used]], [np.bincount(of, n, width).astype(np.int64)])
     types = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
     return pa.record_batch([pa.array(v, t) for v, t in zip(row, types)], [c.split()[0] for c in _CHUNK.split(", ")])
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    """Rows of one term with counts summed by source, so a term that many tasks know stays small."""
-    out = table.group_by(["key", "source"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
-    return out.rename_columns(["key", "source", "n", "docs"]).select(table.column_names).cast(table.schema)
+    """Rows of one term as one row with counts summed by source, so a term that many tasks know stays small."""
+    names, n = (_flat(table[c].combine_chunks())[0] for c in ("sources", "n"))
+    out = pa.table({"source": names, "n": n}).group_by("source", use_threads=False).aggregate([("n", "sum")])
+    row = [[table["key"][0].as_py()], [out["source"].to_pylist()], [out["n_sum"].to_pylist()], [pc.sum(table["docs"]).as_py()]]
+    return pa.table([pa.array(v, f.type) for v, f in zip(row, table.schema)], schema=table.schema)
 
 
 def _chunked(least: int, chunk_terms: int, chunk_counts: int):
@@ -106,17 +123,19 @@ def _chunked(least: int, chunk_terms: int, chunk_counts: int):
         new[1:] = pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(new)
         keep = np.add.reduceat(table["docs"].to_numpy(), starts) >= least
-        size = np.diff(np.append(starts, len(key)))
-        rows = table.filter(pa.array(np.repeat(keep, size)))
+        rows = np.diff(np.append(starts, len(key)))
+        table = table.filter(pa.array(np.repeat(keep, rows)))
         kept = [k.rsplit("\0", 1) for k in key.take(pa.array(starts[keep])).to_pylist()]
-        ends = np.cumsum(size[keep])
+        # Rows and counts up to each kept term.
+        first = np.concatenate([[0], np.cumsum(rows[keep])])
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(table["n"]).to_numpy())])[first]
         a = 0
         while a < len(kept):
-            most = np.searchsorted(ends, (ends[a - 1] if a else 0) + chunk_counts, "right")
-            b = min(max(int(most), a + 1), a + chunk_terms)
+            most = np.searchsorted(ends, ends[a] + chunk_counts, "right") - 1
+            b = min(max(int(most), a + 1), a + chunk_terms, len(kept))
             b = next((k for k in range(a, b) if kept[k][0] != kept[a][0]), b)
-            low, high = (int(ends[a - 1]) if a else 0), int(ends[b - 1])
-            yield _chunk(kept[a][0], rows.slice(low, high - low), np.array([t for _, t in kept[a:b]], object))
+            low, high = int(first[a]), int(first[b])
+            yield _chunk(kept[a][0], table.slice(low, high - low), first[a:b] - low, [t for _, t in kept[a:b]])
             a = b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +144,7 @@ def _chunked(least: int, chunk_terms: int, chunk_counts: int):
             if not batch.num_rows:
                 continue
             held.append(pa.Table.from_batches([batch]))
-            size += batch.num_rows
+            size += len(batch["n"].flatten())
             if size < chunk_counts:
                 continue
             table = pa.concat_tables(held).combine_chunks()
@@ -134,7 +153,7 @@ def _chunked(least: int, chunk_terms: int, chunk_counts: int):
             whole, rest = table.filter(pc.invert(last)), _summed(table.filter(last))
             if whole.num_rows:
                 yield from chunks(whole)
-            held, size = [rest], rest.num_rows
+            held, size = [rest], len(rest["n"].combine_chunks().flatten())
         if held:
             yield from chunks(pa.concat_tables(held))
 

@@ -93,3 +93,11 @@ def test_shares_are_exact_for_huge_counts():
 def test_agrees_with_sql(spark):
     folder = "/root/testdata/sf0.001"
     assert compare(entries.op13_source_divergence(spark, folder), duck(folder), entries.oracle_sql()["op13_source_divergence"]) == ""
+
+
+def test_a_task_sends_one_row_for_each_term(spark):
+    """However many sources a lang has, and each row tells all of them apart."""
+    docs = spark.createDataFrame([(f"one two {'two' if i % 2 else 'three'}", "en", f"s{i % 7}") for i in range(70)], "text string, lang string, source string").coalesce(1)
+    got = {r["key"]: r for r in divergence.term_counts(docs).collect()}
+    assert divergence.term_counts(docs).count() == len(got) == 3
+    assert got["en\0two"]["docs"] == 70 and sorted(zip(got["en\0two"]["sources"], got["en\0two"]["n"])) == [(f"s{k}", 15) for k in range(7)]
