@@ -372,3 +372,15 @@ def test_pairs_are_verified_together_as_one_by_one():
         assert list(zip(*[v.tolist() for v in got])) == want
         found += len(want)
     assert found > 100
+
+
+def test_rows_led_higher_up_are_left_out(spark):
+    """Against the definition, without a join of rows with rows."""
+    rng = random.Random(6)
+    rows = sorted({(*rng.sample(range(6), 2), a, a + rng.randrange(1, 9), b, b + rng.randrange(1, 9), 1.0) for a, b in ((rng.randrange(6), rng.randrange(6)) for _ in range(120))})
+    above = lambda x: {y[1] for y in rows if y[0] == x[1] and y[1] < x[1] and y[2] <= x[4] and y[3] >= x[5]}
+    want = [x for x in rows if not any(z[0] == x[0] and z[1] in above(x) and z[2] <= x[2] and z[3] >= x[3] for z in rows)]
+    good = spark.createDataFrame(rows, "node long, lead long, first_word int, last_word int, lead_first int, lead_last int, similarity double")
+    out = cw._led_once(good)
+    assert sorted(map(tuple, out.collect())) == want and 0 < len(want) < len(rows)
+    assert "<=" not in "".join(x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
