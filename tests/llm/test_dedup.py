@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from cases import edge_rows, frame, lower, prose, words
+from pyspark.sql import functions as F
 
 from pitchline.llm import compact_windows as cw
 from pitchline.llm.exact_dedup import CuckooIndex, exact_duplicates, index_of, keep_largest, maintain, members
@@ -384,3 +385,29 @@ def test_rows_led_higher_up_are_left_out(spark):
     out = cw._led_once(good)
     assert sorted(map(tuple, out.collect())) == want and 0 < len(want) < len(rows)
     assert "<=" not in "".join(x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
+
+
+def test_lists_of_leads_are_not_sent_with_each_row(spark):
+    """All pairs of 150 nodes: what is shuffled stays near the size of the rows."""
+    rng = random.Random(9)
+    rows = [(n, m, a, a + 60, b, b + 60, rng.random()) for n in range(150) for m in range(n) for a, b in [(rng.randrange(10**6), rng.randrange(10**6))]]
+    good = spark.createDataFrame(rows, "node long, lead long, first_word int, last_word int, lead_first int, lead_last int, similarity double")
+    written = lambda: sum(x.totalShuffleWrite() for x in [store.apply(i) for i in range(store.size())])
+    store = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    before = written()
+    assert cw._led_once(good).count() == len(rows)
+    store = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    assert written() - before < 200 * len(rows)
+
+
+def test_only_documents_that_may_hold_a_passage_are_cut_into_windows(spark, passages):
+    """Those that share 30 words only have no stretch; stretches hold every word of the passages, and their shingles are those of the text."""
+    docs = cw.base_view(frame(spark, passages))
+    named = docs.mapInArrow(cw._named, "doc_id long, node long, n_words long")
+    groups = named.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words"))
+    got = {r["rep"]: r for r in cw._passable(docs, groups, 46, 80).join(groups, "node").collect()}
+    assert set(got) == set(range(1, 13)) | set(range(20, 24))
+    for d, r in got.items():
+        assert len(r["grams"]) == r["n_words"] - 4
+        if d < 13:
+            assert any(a <= 90 and b >= 90 + 66 for a, b in zip(r["starts"], r["stops"]))
