@@ -395,7 +395,8 @@ def test_lists_of_leads_are_not_sent_with_each_row(spark):
     written = lambda: sum(x.totalShuffleWrite() for x in [store.apply(i) for i in range(store.size())])
     store = spark.sparkContext._jsc.sc().statusStore().executorList(False)
     before = written()
-    assert cw._led_once(good).count() == len(rows)
+    with cw.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        assert cw._led_once(good).count() == len(rows)
     store = spark.sparkContext._jsc.sc().statusStore().executorList(False)
     assert written() - before < 200 * len(rows)
 
@@ -411,3 +412,11 @@ def test_only_documents_that_may_hold_a_passage_are_cut_into_windows(spark, pass
         assert len(r["grams"]) == r["n_words"] - 4
         if d < 13:
             assert any(a <= 90 and b >= 90 + 66 for a, b in zip(r["starts"], r["stops"]))
+
+
+def test_pairs_are_verified_in_parts_with_the_same_result(spark, passages, monkeypatch):
+    rows = lambda: sorted(map(tuple, cw.repeated_passages(frame(spark, passages)).collect()))
+    want, sizes, write = rows(), [], cw.cut
+    monkeypatch.setattr(cw, "TIMES", 0.2)
+    monkeypatch.setattr(cw, "cut", lambda df, name="cut": (sizes.append(name), write(df, name))[1])
+    assert rows() == want and sizes.count("part") > 1
