@@ -417,6 +417,6 @@ def test_only_documents_that_may_hold_a_passage_are_cut_into_windows(spark, pass
 def test_pairs_are_verified_in_parts_with_the_same_result(spark, passages, monkeypatch):
     rows = lambda: sorted(map(tuple, cw.repeated_passages(frame(spark, passages)).collect()))
     want, sizes, write = rows(), [], cw.cut
-    monkeypatch.setattr(cw, "TIMES", 0.2)
+    monkeypatch.setattr(cw, "WHOLE", 0)
     monkeypatch.setattr(cw, "cut", lambda df, name="cut": (sizes.append(name), write(df, name))[1])
     assert rows() == want and sizes.count("part") > 1
