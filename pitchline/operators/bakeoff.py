@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from importlib.metadata import version
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +18,13 @@ from ..config import SETTINGS
 from ..schema import FEATURE_COLUMNS, check_features
 from .calibration import Calibrated, calibrate
 from .features import fixture_features
-from .folds import require_days, with_groups
+from .folds import before_and_in, first_days, require_days
 from .models import BoostedTrees, Fitted, Goals, ImpliedOdds, Logistic, OutcomeModel, load_model, save_model
 from .scoring import leaderboard, score_summary, select_best
 
+#: Candidates and folds of each that are fitted side by side: a fit is a chain of small jobs, or one task, that leaves most cores idle.
+CANDIDATES_ABREAST, FOLDS_ABREAST = 2, 4
+
 
 @dataclass(frozen=True)
 class Candidate:
@@ -41,26 +48,38 @@ def fit_candidate(candidate: Candidate, table: DataFrame, method: str = "sigmoid
 
 def out_of_sample(candidate: Candidate, table: DataFrame, n_splits: int = SETTINGS.cv_splits) -> DataFrame:
     """Rows of all test folds with probabilities of models that were fitted on earlier days: a column fold more."""
-    split = with_groups(table, n_splits)
-    parts = []
+    days, parts = first_days(table, n_splits), []
     for fold in range(1, n_splits + 1):
-        fitted = fit_candidate(candidate, split.where(F.col("fold_group") <= fold).drop("fold_group"))
-        parts.append(fitted.transform(split.where(F.col("fold_group") == fold + 1).drop("fold_group")).withColumn("fold", F.lit(fold)))
+        train, test = before_and_in(table, days, fold + 1)
+        parts.append(fit_candidate(candidate, train).transform(test).withColumn("fold", F.lit(fold)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def _fold_score(candidate: Candidate, table: DataFrame, days: dict[int, dt.date], fold: int) -> dict:
+    train, test = before_and_in(table, days, fold + 1)
+    return {"fold": fold} | score_summary(fit_candidate(candidate, train).transform(test)).first().asDict()
+
+
+def _abreast(table: DataFrame, most: int, run: Callable, rest: list[tuple]) -> list:
+    """run(*arguments) for each of `rest`, at most so many at a time, in threads that keep the session's settings."""
+    run = inheritable_thread_target(table.sparkSession)(run)
+    with ThreadPoolExecutor(most) as pool:
+        begun = [pool.submit(run, *arguments) for arguments in rest]
+        try:
+            return [found.result() for found in begun]
+        except BaseException:
+            pool.shutdown(wait=False, cancel_futures=True)
+            raise
+
+
 def fold_scores(candidate: Candidate, table: DataFrame, n_splits: int = SETTINGS.cv_splits) -> list[dict]:
     """Scores of each fold, one aggregation a fold: fold, log_loss, brier, accuracy, n_scored."""
-    split = with_groups(table, n_splits)
-    out = []
-    for fold in range(1, n_splits + 1):
-        fitted = fit_candidate(candidate, split.where(F.col("fold_group") <= fold).drop("fold_group"))
-        scores = score_summary(fitted.transform(split.where(F.col("fold_group") == fold + 1).drop("fold_group")))
-        out.append({"fold": fold} | scores.first().asDict())
-    return out
+    days = first_days(table, n_splits)
+    # Long folds first.
+    return _abreast(table, FOLDS_ABREAST, _fold_score, [(candidate, table, days, fold) for fold in range(n_splits, 0, -1)])[::-1]
 
 
 def compare(table: DataFrame, candidates: tuple[Candidate, ...] = CANDIDATES, n_splits: int = SETTINGS.cv_splits) -> DataFrame:
@@ -70,8 +89,7 @@ def compare(table: DataFrame, candidates: tuple[Candidate, ...] = CANDIDATES, n_
     """
     require_days(table, n_splits)
     rows = []
-    for place, c in enumerate(candidates):
-        found = fold_scores(c, table, n_splits)
+    for place, (c, found) in enumerate(zip(candidates, _abreast(table, CANDIDATES_ABREAST, fold_scores, [(c, table, n_splits) for c in candidates]))):
         mean = {k: [f[k] for f in found if f[k] is not None] for k in ("log_loss", "brier", "accuracy")}
         rows.append((c.name, place, c.deployable, *[sum(v) / len(v) if v else None for v in mean.values()]))
     schema = "name string, place int, deployable boolean, log_loss double, brier double, accuracy double"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.outcomes import encode
 from ..schema import PROBABILITIES
-from .folds import calibration_splits, with_groups
+from .folds import before_and_in, calibration_splits, first_days
 from .models import FittedTrees, MlModel, OutcomeModel
 from .scoring import score_columns
 
@@ -81,8 +81,7 @@ def select_method(base: MlModel, hold_out: DataFrame) -> str:
     n = calibration_splits(hold_out)
     if n is None:
         return METHODS[0]
-    split = with_groups(hold_out, n)
-    early, late = split.where(F.col("fold_group") <= n).drop("fold_group"), split.where(F.col("fold_group") == n + 1).drop("fold_group")
+    early, late = before_and_in(hold_out, first_days(hold_out, n), n + 1)
     loss = {m: fit_curves(base, early, m).transform(late).agg(score_columns()["log_loss"]).first()[0] for m in METHODS}
     return min(METHODS, key=lambda m: (loss[m] is None, loss[m]))
 
@@ -92,7 +91,6 @@ def calibrate(model: OutcomeModel, table: DataFrame, method: str = "auto", n_spl
     n = n_splits or calibration_splits(table)
     if n is None:
         return None
-    split = with_groups(table, n)
-    base = model.fit(split.where(F.col("fold_group") <= n).drop("fold_group"))
-    hold_out = split.where(F.col("fold_group") == n + 1).drop("fold_group")
+    earlier, hold_out = before_and_in(table, first_days(table, n), n + 1)
+    base = model.fit(earlier)
     return fit_curves(base, hold_out, select_method(base, hold_out) if method == "auto" else method)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,17 @@ def with_groups(df: DataFrame, n_splits: int = SETTINGS.cv_splits) -> DataFrame:
     return df.join(F.broadcast(fold_groups(df, n_splits)), "date")
 
 
+def first_days(df: DataFrame, n_splits: int = SETTINGS.cv_splits) -> dict[int, dt.date]:
+    """The first day of each fold_group that has one."""
+    return {r["fold_group"]: r["day"] for r in fold_groups(df, n_splits).where("date is not null").groupBy("fold_group").agg(F.min("date").alias("day")).collect()}
+
+
+def before_and_in(df: DataFrame, days: dict[int, dt.date], group: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the groups before this one and its own, by the first days: filters, so that no pass over either joins the days again."""
+    day, after = days.get(group, dt.date.max), days.get(group + 1, dt.date.max)
+    return df.where(F.col("date") < F.lit(day)), df.where((F.col("date") >= F.lit(day)) & (F.col("date") < F.lit(after)))
+
+
 def train_test(df: DataFrame, n_splits: int = SETTINGS.cv_splits) -> DataFrame:
     """Rows of df once for each fold they take part in: fold, part ('train' or 'test')."""
     folds = F.explode(F.sequence(F.lit(1), F.lit(n_splits)))

@@ -99,20 +99,25 @@ def quantiles(x: np.ndarray) -> list[np.ndarray]:
 Splits = list[tuple[int, int, bool]]
 
 
-def nodes_of(bins: np.ndarray, splits: Splits) -> np.ndarray:
-    """The node of each row on the level below the splits."""
-    node, rows, done = np.zeros(len(bins), np.int64), np.arange(len(bins)), 0
+def nodes_of(bins: np.ndarray, splits: Splits, node: np.ndarray | None = None, done: int = 0) -> np.ndarray:
+    """The node of each row, a column of bins, on the level below the splits; node is known below the first `done` of them."""
+    rows = np.arange(bins.shape[1])
     while done < len(splits):
-        f, last, side = (np.array(v)[node] for v in zip(*splits[done : 2 * done + 1]))
-        own = bins[rows, f]
-        node = 2 * node + ~np.where((own == BINS - 1) & (last < BINS), side, own <= last)
+        level = splits[done : 2 * done + 1]
+        # For each node and bin whether rows go right.
+        right = np.array([[not side if b == BINS - 1 and last < BINS else b > last for b in range(BINS)] for _, last, side in level])
+        if done == 0:
+            node = right[0][bins[level[0][0]]].astype(np.intp)
+        else:
+            own = bins[np.array([f for f, _, _ in level])[node], rows]
+            node = 2 * node + right[node, own]
         done = 2 * done + 1
-    return node
+    return np.zeros(bins.shape[1], np.intp) if node is None else node
 
 
 @dataclass
 class Block:
-    """Rows of a task: bins, labels as places among the classes, and scores under the trees of all rounds before `seen`."""
+    """Rows of a task: bins by feature, labels as places among the classes, and scores under the trees of all rounds before `seen`."""
 
     bins: np.ndarray
     label: np.ndarray
@@ -124,23 +129,50 @@ class Block:
         raw = self.raw.copy()
         for splits, leaf in grown[self.seen - first :]:
             for k, tree in enumerate(splits):
-                raw[:, k] += leaf[k, nodes_of(self.bins, tree)]
+                raw[:, k] += leaf[k, self.nodes(k, tree)]
         return Block(self.bins, self.label, raw, first + len(grown))
 
-    def sums(self, growing: list[Splits]) -> np.ndarray:
-        """(class, node, feature, bin, 2): whole-number sums of first and second derivatives on the level to be split."""
-        width, classes = self.bins.shape[1], self.raw.shape[1]
-        nodes, p = len(growing[0]) + 1, softmax(self.raw)
-        out = np.empty((classes, nodes, width, BINS, 2), np.int64)
-        place = self.bins + (np.arange(width) * BINS)
-        for k in range(classes):
-            cells = (place + (nodes_of(self.bins, growing[k]) * width * BINS)[:, None]).ravel()
-            slopes = p[:, k] - (self.label == k), np.maximum(2 * p[:, k] * (1 - p[:, k]), 1e-16)
-            for d, v in enumerate(slopes):
-                # Doubles hold these sums exactly: a block has few rows.
-                out[k, ..., d] = np.bincount(cells, np.repeat(np.rint(v * FINE), width), nodes * width * BINS).reshape(nodes, width, BINS)
+    def nodes(self, k: int, splits: Splits) -> np.ndarray:
+        """The node of each row below the splits of class k; the last answer is kept, as trees grow level by level."""
+        known = self.__dict__.setdefault("_nodes", {})
+        before, node = known.get(k, ([], None))
+        if before != splits[: len(before)]:
+            before, node = [], None
+        node = nodes_of(self.bins, splits, node, len(before))
+        known[k] = splits, node
+        return node
+
+    def slopes(self) -> np.ndarray:
+        """(class, 2, row): first and second derivatives as whole numbers."""
+        if "_slopes" not in self.__dict__:
+            p = softmax(self.raw).T
+            first = p - (self.label == np.arange(len(p))[:, None])
+            self._slopes = np.rint(np.stack([first, np.maximum(2 * p * (1 - p), 1e-16)], 1) * FINE)
+        return self._slopes
+
+    def sums(self, growing: list[Splits], wanted: list[list[int]]) -> np.ndarray:
+        """(class, wanted node, feature, bin, 2): whole-number sums of first and second derivatives of nodes on the level to be split."""
+        width, n = self.bins.shape
+        out = np.empty((len(growing), len(wanted[0]), width, BINS, 2), np.int64)
+        for k, slopes in enumerate(self.slopes()):
+            node = self.nodes(k, growing[k])
+            for at, i in enumerate(wanted[k]):
+                rows = np.flatnonzero(node == i)
+                # A feature at a time: its cells are few enough to stay near the processor.
+                bins = self.wide() if len(rows) == n else np.take(self.bins, rows, 1).astype(np.intp)
+                for d in range(2):
+                    v = slopes[d] if len(rows) == n else slopes[d][rows]
+                    for f in range(width):
+                        # Doubles hold these sums exactly: a block has few rows.
+                        out[k, at, f, :, d] = np.bincount(bins[f], v, BINS)
         return out
 
+    def wide(self) -> np.ndarray:
+        """The bins as bincount takes them."""
+        if "_wide" not in self.__dict__:
+            self._wide = self.bins.astype(np.intp)
+        return self._wide
+
 
 def _chosen(sums: np.ndarray, penalty: float, least: float) -> tuple[Splits, np.ndarray]:
     """The best split of each node by its (node, feature, bin, 2) sums, and the sums (2, node, side) on either side of it."""
@@ -163,16 +195,30 @@ def _chosen(sums: np.ndarray, penalty: float, least: float) -> tuple[Splits, np.
     return choice, sides
 
 
-def boosted(level_sums: Callable[[list[tuple[list[Splits], np.ndarray]], list[Splits]], np.ndarray], classes: tuple[int, ...], edges: list[np.ndarray], rounds: int, depth: int, rate: float, penalty: float, least: float) -> Forest:
-    """Grow a forest; level_sums(trees so far, splits of the growing trees) gives the sums of Block over all rows."""
+def _both(parents: np.ndarray | None, sums: np.ndarray, wanted: list[list[int]]) -> np.ndarray:
+    """(class, node, feature, bin, 2) of all nodes of a level by those of the level above and of one node of each split."""
+    if parents is None:
+        return sums
+    out = np.empty((len(sums), 2 * parents.shape[1], *sums.shape[2:]), sums.dtype)
+    for k, nodes in enumerate(wanted):
+        at = np.array(nodes)
+        out[k, at], out[k, at ^ 1] = sums[k], parents[k] - sums[k]
+    return out
+
+
+def boosted(level_sums: Callable[[list[tuple[list[Splits], np.ndarray]], list[Splits], list[list[int]]], np.ndarray], classes: tuple[int, ...], edges: list[np.ndarray], rounds: int, depth: int, rate: float, penalty: float, least: float) -> Forest:
+    """Grow a forest; level_sums(trees so far, splits of the growing trees, nodes) gives the sums of Block over all rows."""
     inner = (1 << depth) - 1
     shape = (rounds, len(classes), inner)
     feature, value, nulls, leaf = np.zeros(shape, np.int64), np.full(shape, np.inf), np.ones(shape, bool), np.zeros((rounds, len(classes), inner + 1))
     grown: list[tuple[list[Splits], np.ndarray]] = []
     for r in range(rounds):
         growing: list[Splits] = [[] for _ in classes]
+        sums = found = None
         for _ in range(depth):
-            sums = level_sums(grown, growing)
+            # Of two nodes that one split makes only one is summed up, the one with less of the second derivatives; sums are exact.
+            wanted = [[2 * i + int(h[0] > h[1]) for i, h in enumerate(sides[1])] for _, sides in found] if found else [[0]] * len(classes)
+            sums = _both(sums, level_sums(grown, growing, wanted), wanted)
             found = [_chosen(sums[k], penalty, least) for k in range(len(classes))]
             growing = [splits + new for splits, (new, _) in zip(growing, found)]
         for k, (_, sides) in enumerate(found):
@@ -187,11 +233,12 @@ def boosted(level_sums: Callable[[list[tuple[list[Splits], np.ndarray]], list[Sp
 def _on_one(block: Block, *growth) -> Forest:
     """Grow on the rows of one block."""
 
-    def level_sums(grown: list, growing: list[Splits]) -> np.ndarray:
+    def level_sums(grown: list, growing: list[Splits], wanted: list[list[int]]) -> np.ndarray:
         nonlocal block
         if block.seen < len(grown):
-            block = block.after(grown, 0)
-        return block.sums(growing)
+            old, block = block, block.after(grown, 0)
+            block._wide = old.wide()
+        return block.sums(growing, wanted)
 
     return boosted(level_sums, *growth)
 
@@ -200,7 +247,7 @@ def fit_forest(x: np.ndarray, label: np.ndarray, rounds: int, depth: int, rate:
     """Boost on rows x in memory (nan for null) with labels 0 to 2; penalty is on squared leaves, least a side's sum of second derivatives."""
     classes = tuple(int(c) for c in np.unique(label))
     edges = quantiles(x) if edges is None else edges
-    block = Block(binned(x, edges), np.searchsorted(classes, label), np.zeros((len(x), len(classes))))
+    block = Block(np.ascontiguousarray(binned(x, edges).T), np.searchsorted(classes, label), np.zeros((len(x), len(classes))))
     return _on_one(block, classes, edges, rounds, depth, rate, penalty, least)
 
 
@@ -255,7 +302,7 @@ def train(rows: DataFrame, features: tuple[str, ...], rounds: int, depth: int, r
 
     def block(row) -> Block:
         label = np.frombuffer(row["label"], np.uint8)
-        return Block(np.frombuffer(row["bins"], np.uint8).reshape(len(label), width), label, np.zeros((len(label), len(classes))))
+        return Block(np.ascontiguousarray(np.frombuffer(row["bins"], np.uint8).reshape(len(label), width).T), label, np.zeros((len(label), len(classes))))
 
     growth = (classes, edges, rounds, depth, rate, penalty, least)
 
@@ -271,7 +318,7 @@ def train(rows: DataFrame, features: tuple[str, ...], rounds: int, depth: int, r
     base = table.rdd.map(block)
     kept, seen = base.persist(StorageLevel.MEMORY_AND_DISK), 0
 
-    def level_sums(grown: list, growing: list[Splits]) -> np.ndarray:
+    def level_sums(grown: list, growing: list[Splits], wanted: list[list[int]]) -> np.ndarray:
         nonlocal kept, seen
         if len(grown) >= seen + REFRESH:
             # Always from the first blocks: a lost part needs all trees once, not a chain of kept scores.
@@ -280,7 +327,7 @@ def train(rows: DataFrame, features: tuple[str, ...], rounds: int, depth: int, r
             kept.count()
             old.unpersist()
         new, first = grown[seen:], seen
-        found = kept.map(lambda b: b.after(new, first).sums(growing))
+        found = kept.map(lambda b: b.after(new, first).sums(growing, wanted))
         return found.treeReduce(np.add, 2) if parts > 8 else found.reduce(np.add)
 
     forest = boosted(level_sums, *growth)

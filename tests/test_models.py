@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitchline.operators import bakeoff, calibration, goals, models, trees
+from pitchline.operators import bakeoff, calibration, folds, goals, models, trees
 from pitchline.operators.features import feature_table
 from pitchline.schema import KEY, MATCHES
 from pitchline.sources.shared import materialised
@@ -128,6 +128,47 @@ def test_trees_grown_by_spark_are_those_grown_in_memory(spark, monkeypatch, bloc
     assert not [p for p in trees.feature_edges(rows, names) if len(p) >= trees.BINS]
 
 
+def test_siblings_need_no_sums_of_their_own():
+    """Of each split's two nodes one is summed up, the smaller one, and both come out as all rows give them."""
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, trees.BINS, (3, 500)).astype(np.uint8)
+    block = trees.Block(bins, rng.integers(0, 2, 500), rng.normal(size=(500, 2)))
+    splits = [[(0, 90, True)], [(2, 200, False)]]
+    parents = block.sums([[], []], [[0], [0]])
+    wanted = [[0], [1]]
+    both = trees._both(parents, block.sums(splits, wanted), wanted)
+    p = trees.softmax(block.raw)
+    for k, (f, last, side) in enumerate(s[0] for s in splits):
+        right = np.where(bins[f] == trees.BINS - 1, not side, bins[f] > last)
+        for node in (0, 1):
+            for d, v in enumerate((p[:, k] - (block.label == k), 2 * p[:, k] * (1 - p[:, k]))):
+                want = [np.bincount(bins[c][right == node], np.rint(v * trees.FINE)[right == node], trees.BINS) for c in range(3)]
+                assert (both[k, node, :, :, d] == want).all()
+
+
+def test_fits_of_a_contest_run_side_by_side(spark, table):
+    """Each of two folds' fits waits for the other."""
+    from threading import Barrier
+
+    both = Barrier(2, timeout=60)
+
+    class Waits(models.ImpliedOdds):
+        def fit(self, table):
+            both.wait()
+            return self
+
+    found = bakeoff.fold_scores(bakeoff.Candidate(Waits()), table, 2)
+    assert [f["fold"] for f in found] == [1, 2] and all(f["n_scored"] for f in found)
+
+
+def test_folds_by_days_are_those_of_the_groups(spark, table):
+    split, days = folds.with_groups(table, 4), folds.first_days(table, 4)
+    keys = lambda df: sorted(tuple(r) for r in df.select(*KEY).collect())
+    for group in range(1, 7):
+        earlier, own = folds.before_and_in(table, days, group)
+        assert keys(earlier) == keys(split.where(F.col("fold_group") < group)) and keys(own) == keys(split.where(F.col("fold_group") == group))
+
+
 def test_trees_without_rows(spark):
     with pytest.raises(ValueError):
         trees.train(spark.createDataFrame([], "a double, __label int"), ("a",), 2, 2, 0.1)
