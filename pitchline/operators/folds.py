@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
+from ..sources.shared import materialised
 
 
 def fold_groups(df: DataFrame, n_splits: int = SETTINGS.cv_splits) -> DataFrame:
@@ -77,13 +78,14 @@ def calibration_splits(df: DataFrame, most: int = SETTINGS.cv_splits) -> int | N
 
 def guard(df: DataFrame, most: int = SETTINGS.cv_splits) -> DataFrame:
     """One row: distinct_dates, rarest, n_splits, usable; see calibration_splits."""
-    by_class = {c: F.count_if(F.col("result") == c) for c in ("H", "D", "A")}
-    sizes = df.agg(F.countDistinct("date").alias("distinct_dates"), F.least(*by_class.values()).alias("rarest"))
+    # A calendar's worth of rows, however many the matches: df, which may be a long derivation, is passed over once.
+    daily = materialised(df.groupBy("date").agg(*[F.count_if(F.col("result") == c).alias(c) for c in ("H", "D", "A")]), "days")
+    sizes = daily.agg(F.count("date").alias("distinct_dates"), F.least(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("H", "D", "A")]).alias("rarest"))
     row = sizes.select("distinct_dates", "rarest", F.least(F.lit(most).cast("long"), F.col("distinct_dates") - 1, F.col("rarest")).alias("n_splits"))
     n = int(row.first()["n_splits"])
     if n < 2:
         return row.withColumn("usable", F.lit(False))
-    groups = with_groups(df, n).groupBy("fold_group").agg(*[F.count_if(F.col("result") == c).alias(c) for c in by_class])
+    groups = with_groups(daily, n).groupBy("fold_group").agg(*[F.sum(c).alias(c) for c in ("H", "D", "A")])
     # The first training part is group 1 and all others contain it.
     holds = groups.where(F.col("fold_group").isin(1, n + 1)).agg(F.min(F.least("H", "D", "A")).alias("least"))
     return row.crossJoin(F.broadcast(holds)).select("distinct_dates", "rarest", "n_splits", F.coalesce(F.col("least") > 0, F.lit(False)).alias("usable"))

@@ -20,10 +20,11 @@ def raw_matches(spark: SparkSession, folder: str) -> DataFrame:
     """All derived rows before deduplication, with the columns that order them."""
     t = {n: table(spark, folder, n) for n in ("lineitem", "orders", "supplier", "customer", "nation", "region")}
     nation = lambda side: t["nation"].select(F.col("n_nationkey").alias(f"{side}_key"), F.col("n_name").alias(side), F.col("n_regionkey").alias(f"{side}_region"))
-    hosts = t["supplier"].join(nation("home"), F.col("s_nationkey") == F.col("home_key")).select("s_suppkey", "home", "home_region")
-    guests = t["customer"].join(nation("away"), F.col("c_nationkey") == F.col("away_key")).select("c_custkey", "away", "away_region")
-    orders = t["orders"].select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("date"))
-    played = t["lineitem"].select(*_ORDER).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(hosts, F.col("l_suppkey") == F.col("s_suppkey")).join(guests, F.col("o_custkey") == F.col("c_custkey"))
+    # Guests meet the orders and not their lines, and nations, of a few rows, come last: lines are dealt by supplier and by order only.
+    orders = t["orders"].select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("date")).join(t["customer"].select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    lines = t["lineitem"].select(*_ORDER).join(t["supplier"].select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    played = lines.join(orders.select("o_orderkey", "date", "c_nationkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    played = played.join(nation("home"), F.col("s_nationkey") == F.col("home_key")).join(nation("away"), F.col("c_nationkey") == F.col("away_key"))
     played = played.where("home_region = away_region and home != away").join(t["region"], F.col("home_region") == F.col("r_regionkey"))
     goals = played.select(F.col("r_name").alias("league"), "date", "home", "away", F.pmod("l_partkey", F.lit(4)).cast("long").alias("ft_home_goals"), F.pmod("l_suppkey", F.lit(3)).cast("long").alias("ft_away_goals"), *_ORDER)
     return goals.withColumn("result", F.when(F.col("ft_home_goals") > F.col("ft_away_goals"), "H").when(F.col("ft_home_goals") < F.col("ft_away_goals"), "A").otherwise("D"))
@@ -41,7 +42,8 @@ def with_odds(df: DataFrame) -> DataFrame:
 
 def matches(spark: SparkSession, folder: str) -> DataFrame:
     """The master table: the first row of each (league, date, home, away), with odds."""
-    first = keep_first(raw_matches(spark, folder), list(_ORDER))
+    # Lines that agree in these have the same goals, so what else orders them needn't be carried; SQL has nulls last.
+    first = keep_first(raw_matches(spark, folder), [F.asc_nulls_last(c) for c in _ORDER[:4]])
     return with_odds(first).withColumn("source", F.lit("football-data")).select(*MATCHES.fieldNames())
 
 

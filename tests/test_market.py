@@ -118,6 +118,20 @@ def test_guard(spark):
     assert folds.calibration_splits(df([(d, "H" if n < 12 else r) for n, (d, r) in enumerate(rows)])) is None
 
 
+def test_guard_passes_over_its_rows_once(spark):
+    """They may be a long derivation, which would take its shuffles with each pass."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(dt.date(2020, 1, 1 + n), "HDA"[n % 3]) for n in range(24)] + [(None, "H")], "date date, result string").mapInArrow(run, "date date, result string")
+    assert folds.guard(rows).first().asDict() == {"distinct_dates": 24, "rarest": 8, "n_splits": 5, "usable": True}
+    assert seen.value == 25
+
+
 def test_histogram(spark):
     df = spark.createDataFrame([(0.0,), (0.5,), (1.0,), (None,)], "x double")
     assert {r["bin"]: r["n"] for r in market.histogram(df, "x", 4).collect()} == {0: 1, 2: 1, 3: 1}
