@@ -38,8 +38,12 @@ class Book:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """df with doubles rounded, as sums in another order differ in the last digits; negative zero becomes zero."""
-    return df.select(*[(F.round(c.name, digits) + F.lit(0.0)).alias(c.name) if isinstance(c.dataType, T.DoubleType) else F.col(c.name) for c in df.schema])
+    """df with doubles rounded, as sums in another order differ in the last digits; negative zero becomes zero.
+
+    As SQL does it, by the double's product with a power of ten: 641 / 640 is 1.001562 so, and 1.001563 by its decimal digits.
+    """
+    scale = F.lit(10.0**digits)
+    return df.select(*[(F.round(F.col(c.name) * scale) / scale + F.lit(0.0)).alias(c.name) if isinstance(c.dataType, T.DoubleType) else F.col(c.name) for c in df.schema])
 
 
 def number(name: str | Column) -> Column:
