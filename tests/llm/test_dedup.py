@@ -375,6 +375,18 @@ def test_pairs_are_verified_together_as_one_by_one():
     assert found > 100
 
 
+def test_first_nodes_are_found_in_one_pass(spark, monkeypatch):
+    """Buckets of one node go, others get the first window of their first node; all by one frame over a bucket."""
+    seen, real = [], cw.cut
+    monkeypatch.setattr(cw, "cut", lambda df, *a: seen.append(df) or real(df, *a))
+    rows = [(1, 5, 9), (1, 3, 8), (1, 3, 2), (1, 7, 1), (2, 4, 4), (2, 4, 5), (3, -6, 1), (3, 6, 0)]
+    led, files = cw._led(spark.createDataFrame([(*r, None) for r in rows], "key long, node long, window long, hot long"))
+    first = {1: (3, 2), 3: (-6, 1)}
+    assert sorted((r["key"], r["node"], r["window"], r["lead"], r["lead_window"]) for r in led.collect()) == sorted((*r, *first[r[0]]) for r in rows if r[0] in first)
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    cw.release(*files)
+
+
 def test_rows_led_higher_up_are_left_out(spark):
     """Against the definition, without a join of rows with rows."""
     rng = random.Random(6)
